@@ -41,7 +41,7 @@ _CRUMB = re.compile(r"(?:home|inicio|portada) *[>/»|] *.{3,}")
 _SEPARATED = re.compile(r"\s*[|·/»>•#]\s*|\s+-\s+|\s{2,}")
 _STREET = r"(?:calle|avenida|pasaje|diagonal|ruta|boulevard)"
 _TAGGED = re.compile(rf"[^.;:!?\"|#,]{{3,45}}(?P<s> \| | #|, | · ){_W}(?P=s){_STREET} {_W}(?P=s){_W}")
-_SUBHEAD = re.compile(r"(?:el antecedente de|la palabra de|que dijo|los [\d.]+ [a-z ]+ de) .{2,60}|[\d.]+ [a-z ]+ para .{2,60}")
+_SUBHEAD = re.compile(r"(?:el antecedente de|la palabra de|que dijo|los [\d.]+ [a-z ]+ de) .{2,60}|(?:[\d.]*\d) [a-z ]{2,40} para .{2,60}")
 _HEADLINE = re.compile(rf".+, segun {_N}|{_N}: [\"“].+[\"”] en {_N}|con [\d.,]+ [a-z ]+, .+, dijo {_W}|.+ y {_W}(?: {_W})+ celebro|{_N} en {_N}: .+|.+ tras el reclamo de {_N}")
 _NUMBERED = re.compile(r"^(?:\d{1,2}[.)°-]+|[a-z]\)) +")
 _DIGITS = re.compile(r"\d+")
@@ -51,7 +51,7 @@ NAV = ("menu", "inicio", "buscar", "portada", "home", "contacto", "ultimas", "ul
 
 #: Kinds that start a block of teasers.
 _OPENERS = {"header", "more"}
-_BREAK = re.compile(r"(?:\.\.\.|…|\(\.\.\.\)|\[\.\.\.\]|\(…\)|\[…\])$")
+_BREAK = re.compile(r"(?:\.\.\.|…|\(\+\)|\[\+\]|\(contin[uú]a?[^)]*\)|\(\.\.\.\)|\[\.\.\.\]|\(…\)|\[…\])$")
 
 
 def _kind(core: str, folded: str, nav: frozenset[str]) -> str:
@@ -122,6 +122,15 @@ def main_lines(text: str | None, nav: frozenset[str]) -> list[tuple[int, str]]:
     return [(no, s) for no, kind, _, s in page_lines(text, nav) if kind in ("", "own")]
 
 
+def is_whole(lines: list[tuple[int, str, str, str]]) -> bool:
+    """Whether a page's main text is there and is not broken off before its end."""
+    own = [r for r in lines if r[1] in ("", "own")]
+    if not any(kind == "" and token for _, kind, token, _ in own):
+        return False
+    _, kind, _, last = own[-1]
+    return kind == "own" or not _BREAK.search(last) and last.endswith((".", "!", "?", '"', "”", "»", ")"))
+
+
 def nav_words(section_rows: list) -> frozenset[str]:
     """Folded section names and aliases (rows of the canonical list) with the fixed navigation words."""
     names = {fold(" ".join(x.split())) for r in section_rows for x in [r["nombre"], *(r["alias"] or [])] if x}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gacetilla.llm import boilerplate, repeated_lines
+from gacetilla.llm import boilerplate, golden, repeated_lines, subjects
 from gacetilla.llm.lines import nav_words
 from gacetilla.llm.text import table
 
@@ -20,6 +20,15 @@ def navigation(spark: SparkSession, folder: str) -> frozenset[str]:
     return nav_words(table(spark, folder, "secciones").select("nombre", "alias").limit(MAX_SECTIONS).collect())
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    long = golden.votes(table(spark, folder, "noticias"), table(spark, folder, "fuentes"), navigation(spark, folder))
+    return golden.winners(long, order="trust")
+
+
+def p1_best_record(spark: SparkSession, folder: str) -> DataFrame:
+    return golden.best_record(table(spark, folder, "noticias"), table(spark, folder, "fuentes"), navigation(spark, folder))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_lines.repeated_lines(table(spark, folder, "noticias")).select("id", "line_no")
 
@@ -29,6 +38,10 @@ def p3_clean(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_lines.without_repeated_lines(notes, repeated_lines.repeated_lines(notes))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return subjects.find_subjects(table(spark, folder, "noticias"), table(spark, folder, "etiquetas"), table(spark, folder, "temas"), navigation(spark, folder)).select("id", "tema_id")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return boilerplate.find_boilerplate(table(spark, folder, "noticias"), navigation(spark, folder))
 
