@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gacetilla.llm import boilerplate, golden, repeated_lines, subjects
+from gacetilla.llm import boilerplate, golden, near_dupes, repeated_lines, subjects
 from gacetilla.llm.lines import nav_words
 from gacetilla.llm.text import table
 
@@ -51,5 +51,20 @@ def p5_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return boilerplate.main_text(notes, boilerplate.find_boilerplate(notes, navigation(spark, folder)))
 
 
+def _note_sets(spark: SparkSession, folder: str, n: int) -> DataFrame:
+    notes = table(spark, folder, "noticias").select("id", F.col("cuerpo").alias("text"))
+    return near_dupes.ngram_sets(notes, n, near_dupes.article_text(navigation(spark, folder)))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    sets = _note_sets(spark, folder, 3)
+    return near_dupes.near_pairs(sets, near_dupes.node_links(sets, 3, (3, 5)))
+
+
+def p7_groups(spark: SparkSession, folder: str) -> DataFrame:
+    sets = _note_sets(spark, folder, 3)
+    return near_dupes.near_groups(sets, near_dupes.node_links(sets, 3, (3, 5)))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
