@@ -8,7 +8,7 @@ lengths allow t and both remaining lengths still allow the overlap that t needs
 the others is counted over the whole sets. Nothing is lost: the order decides the work, not the result.
 
 Identical sets are one node, however many records share it. The n-gram frequencies behind the order are counted over
-all records, in 2^20 counters, a size that does not depend on the data; n-grams that share a counter only change the order.
+all records, in 2^23 counters, a size that does not depend on the data; n-grams that share a counter only change the order.
 
 Scale: one Arrow pass over the texts; words are written once as packed 32-bit hashes. The join shuffles one small row
 for each n-gram of a prefix. Members of an n-gram are sorted by size and crossed step by step within the length bound;
@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, functions as F
 from gacetilla.llm.lines import main_lines
 from gacetilla.llm.text import mix, stable_hash, word_table, written
 
-BUCKETS = 1 << 20
-CHUNK = 1 << 12
+BUCKETS = 1 << 23
+CHUNK = 1 << 15
 
 
 def article_text(nav: frozenset[str]) -> Callable[[str | None], str]:
@@ -81,11 +81,12 @@ def ngram_sets(records: DataFrame, n: int, prepare: Callable[[str | None], str]
 
 def _count(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+        total = np.zeros(BUCKETS, np.int32)
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 grams = [_grams(p, n) for p in batch.column("words").slice(start, 1000).to_pylist()]
-                total += np.bincount(np.concatenate(grams) & np.uint32(BUCKETS - 1), minlength=BUCKETS)
+                at, k = np.unique(np.concatenate(grams) & np.uint32(BUCKETS - 1), return_counts=True)
+                total[at] += k.astype(np.int32)
         parts = total.reshape(-1, CHUNK)
         used = np.flatnonzero(parts.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([parts[i].tobytes() for i in used], pa.binary())], names=["chunk", "counts"])
@@ -97,7 +98,7 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
-            c = np.frombuffer(counts, np.int64)
+            c = np.frombuffer(counts, np.int32)
             total[chunk] = total[chunk] + c if chunk in total else c
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([c.tobytes() for c in total.values()], pa.binary())], names=["chunk", "counts"])
 
@@ -105,10 +106,10 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _frequencies(sets: DataFrame, n: int) -> np.ndarray:
     """In how many records the n-grams of each bucket stand. BUCKETS counters reach the driver, whatever the data."""
     schema = "chunk int, counts binary"
-    total = np.zeros((BUCKETS // CHUNK, CHUNK), np.int64)
+    total = np.zeros((BUCKETS // CHUNK, CHUNK), np.int32)
     for r in sets.select("words").mapInArrow(_count(n), schema).repartition("chunk").mapInArrow(_add, schema).collect():
-        total[r["chunk"]] = np.frombuffer(r["counts"], np.int64)
-    return np.minimum(total.reshape(-1), np.iinfo(np.int32).max).astype(np.int32)
+        total[r["chunk"]] = np.frombuffer(r["counts"], np.int32)
+    return total.reshape(-1)
 
 
 def _prefixes(shared, n: int, num: int, den: int, hot: int):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gacetilla.llm import boilerplate, golden, near_dupes, repeated_lines, subjects
+from gacetilla.llm import boilerplate, canonical, golden, near_dupes, repeated_lines, subjects
 from gacetilla.llm.lines import nav_words
 from gacetilla.llm.text import table
 
@@ -51,6 +51,21 @@ def p5_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return boilerplate.main_text(notes, boilerplate.find_boilerplate(notes, navigation(spark, folder)))
 
 
+def _section_names(spark: SparkSession, folder: str) -> DataFrame:
+    each = F.explode(F.array_union(F.array("nombre"), F.coalesce("alias", F.array().cast("array<string>")))).alias("name")
+    return table(spark, folder, "secciones").select(F.col("seccion_id").alias("key"), each, "nombre").select("key", "name", (F.col("name") == F.col("nombre")).alias("is_name"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    mapped = canonical.map_to_canonical(table(spark, folder, "noticias"), "seccion", _section_names(spark, folder), keep_exact=False)
+    return mapped.select("id", F.col("key").alias("seccion_id"))
+
+
+def p6_values(spark: SparkSession, folder: str) -> DataFrame:
+    notes = table(spark, folder, "noticias").select(F.col("seccion").alias("value")).where(F.trim("value") != "")
+    return canonical.match_values(notes, _section_names(spark, folder))
+
+
 def _note_sets(spark: SparkSession, folder: str, n: int) -> DataFrame:
     notes = table(spark, folder, "noticias").select("id", F.col("cuerpo").alias("text"))
     return near_dupes.ngram_sets(notes, n, near_dupes.article_text(navigation(spark, folder)))
