@@ -1,11 +1,11 @@
 """Near-duplicate records by a prefix join over globally ordered n-gram sets.
 
 A record is the set of runs of n consecutive words in its text. All sets follow one global order, rare n-grams
-first, as the paths of a trie do: two sets with Jaccard similarity t share an n-gram among their first
-|x| - ceil(t |x|) + 1, the depth beyond which the remaining length can no longer reach the overlap, so only paths to
-that depth are stored and traversed. Two records that meet at an n-gram at depths i and j are pruned unless their
-lengths allow t and both remaining lengths still allow the overlap that t needs of these two lengths; the overlap of
-the others is counted over the whole sets. Nothing is lost: the order decides the work, not the result.
+first, as the paths of a trie do. If sizes x and y need an overlap of o for similarity t, the first k n-grams in common lie
+within the first x - o + k of the one and y - o + k of the other, for else the remaining lengths could no longer reach
+o. So only paths to the depth x - ceil(t x) + k are stored and traversed; of the pairs that meet, those are pruned
+whose lengths do not allow t, that meet too deep, or that meet fewer than k times (k is MEETINGS, or o where that is
+less). The overlap of the others is counted over the whole sets. Nothing is lost: the order decides the work, not the result.
 
 Identical sets are one node, however many records share it. The n-gram frequencies behind the order are counted over
 all records, in 2^23 counters, a size that does not depend on the data; n-grams that share a counter only change the order.
@@ -31,6 +31,8 @@ from gacetilla.llm.text import mix, stable_hash, word_table, written
 
 BUCKETS = 1 << 23
 CHUNK = 1 << 15
+#: n-grams that two records must share within their prefixes to become a candidate pair.
+MEETINGS = 5
 
 
 def article_text(nav: frozenset[str]) -> Callable[[str | None], str]:
@@ -132,7 +134,7 @@ def _prefixes(shared, n: int, num: int, den: int, hot: int):
                 seen.add(node)
                 g = _grams(packed, n)
                 size = len(g)
-                depth = size + (-size * num // den) + 1
+                depth = min(size, size + (-size * num // den) + MEETINGS)
                 count = frequency[g & np.uint32(BUCKETS - 1)]
                 order = np.argsort(count, kind="stable")[:depth]
                 first, count, pos = g[order], count[order], np.arange(depth, dtype=np.int32)
@@ -153,12 +155,20 @@ def _prefixes(shared, n: int, num: int, den: int, hot: int):
 
 
 def _meetings(num: int, den: int):
-    """Streams rows sorted by n-gram and size, and gives the pairs (a, b) that meet within both their prefixes for the
-    overlap that their sizes need."""
+    """Streams rows sorted by n-gram, cell and size. Gives (a, b, met, least): how often a pair met early enough in both
+    prefixes for the overlap that its sizes need, and how often it must."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            a, b, least = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            with np.errstate(over="ignore"):
+                _, first, met = np.unique(mix(a.astype(np.uint64)) + b.astype(np.uint64), return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(met.astype(np.int32)), pa.array(least[first].astype(np.int32))], names=["a", "b", "met", "least"])
+
         rest: list[np.ndarray] | None = None
-        known: set[int] = set()
 
         def work(g: np.ndarray, c: np.ndarray, v: np.ndarray, n: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
             at, step = np.arange(len(g)), 0
@@ -173,21 +183,16 @@ def _meetings(num: int, den: int):
                 if not len(at):
                     return
                 need = -(-num * (n[at] + n[to]) // (num + den))
-                fit = (pos[at] <= n[at] - need) & (pos[to] <= n[to] - need) & (v[at] != v[to])
-                x, y = v[at[fit]], v[to[fit]]
-                if not len(x):
-                    continue
-                a, b = np.minimum(x, y), np.maximum(x, y)
-                with np.errstate(over="ignore"):
-                    name = (mix(a.astype(np.uint64)) + b.astype(np.uint64)).tolist()
-                fresh = [i for i, h in enumerate(name) if h not in known and not known.add(h)]
-                if len(known) > 2_000_000:
-                    known.clear()
-                if fresh:
-                    yield pa.RecordBatch.from_arrays([pa.array(a[fresh]), pa.array(b[fresh])], names=["a", "b"])
+                least = np.minimum(need, MEETINGS)
+                fit = (pos[at] < n[at] - need + least) & (pos[to] < n[to] - need + least) & (v[at] != v[to])
+                if fit.any():
+                    x, y = v[at[fit]], v[to[fit]]
+                    held.append((np.minimum(x, y), np.maximum(x, y), least[fit]))
+                    if sum(len(h[0]) for h in held) > 1_000_000:
+                        yield flush()
 
         for batch in batches:
-            cols = [batch.column(c).to_numpy() for c in ("gram", "cell", "node", "n", "pos")]
+            cols = [batch.column(k).to_numpy() for k in ("gram", "cell", "node", "n", "pos")]
             if rest is not None:
                 cols = [np.concatenate(x) for x in zip(rest, cols)]
             if not len(cols[0]):
@@ -197,6 +202,8 @@ def _meetings(num: int, den: int):
             yield from work(*(c[:cut] for c in cols))
         if rest is not None:
             yield from work(*rest)
+        if held:
+            yield flush()
 
     return run
 
@@ -226,8 +233,8 @@ def node_links(sets: DataFrame, n: int, threshold: tuple[int, int] = (4, 5), hot
     num, den = threshold
     shared = sets.sparkSession.sparkContext.broadcast(_frequencies(sets, n))
     prefixes = sets.select("node", "words").mapInArrow(_prefixes(shared, n, num, den, hot), "gram int, cell int, node long, n int, pos int")
-    met = prefixes.repartition("gram", "cell").sortWithinPartitions("gram", "cell", "n").mapInArrow(_meetings(num, den), "a long, b long")
-    candidates = written(met.distinct(), "candidates")
+    met = prefixes.repartition("gram", "cell").sortWithinPartitions("gram", "cell", "n").mapInArrow(_meetings(num, den), "a long, b long, met int, least int")
+    candidates = written(met.groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("least").alias("least")).where("met >= least").select("a", "b"), "candidates")
     packed = sets.select("node", "words")
     joined = candidates.join(packed.select(F.col("node").alias("a"), F.col("words").alias("wa")), "a").join(packed.select(F.col("node").alias("b"), F.col("words").alias("wb")), "b")
     return written(joined.select("a", "b", "wa", "wb").mapInArrow(_verify(n, num, den), "a long, b long, common int, union int").dropDuplicates(["a", "b"]), "links")
