@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gacetilla.llm import boilerplate, canonical, golden, near_dupes, repeated_lines, subjects
+from gacetilla.llm import boilerplate, canonical, golden, near_dupes, newness, repeated_lines, subjects
 from gacetilla.llm.lines import nav_words
 from gacetilla.llm.text import table
 
@@ -29,6 +29,21 @@ def p1_best_record(spark: SparkSession, folder: str) -> DataFrame:
     return golden.best_record(table(spark, folder, "noticias"), table(spark, folder, "fuentes"), navigation(spark, folder))
 
 
+def _history_and_cards(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    history = table(spark, folder, "noticias").select(F.concat(F.lit("n"), "id").alias("key"), "titulo", F.col("url_original").alias("url"))
+    return history, table(spark, folder, "cards").select(F.concat(F.lit("c"), "card_id").alias("key"), "lote", "titulo", "url")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    known = newness.known_entries(*_history_and_cards(spark, folder))
+    return known.select(F.substring("key", 2, 40).cast("long").alias("card_id"))
+
+
+def p2_new(spark: SparkSession, folder: str) -> DataFrame:
+    fresh = newness.new_entries(*_history_and_cards(spark, folder))
+    return fresh.select(F.substring("key", 2, 40).cast("long").alias("card_id"), "lote", "titulo", "url")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_lines.repeated_lines(table(spark, folder, "noticias")).select("id", "line_no")
 

@@ -93,7 +93,7 @@ def source_key(c: Column) -> Column:
 
 
 def _address(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(clean_space(c)), r"^[a-z][a-z0-9+.-]*://|^//", ""), r"#.*$", "")
+    return F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(c, r"(?U)[\s ]+", "")), r"^[a-z][a-z0-9+.-]*://|^//", ""), r"#.*$", "")
 
 
 def site(c: Column) -> Column:
