@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gacetilla.llm import boilerplate, canonical, golden, near_dupes, newness, repeated_lines, subjects
+from gacetilla.llm import boilerplate, canonical, golden, leakage, near_dupes, newness, packing, repeated_lines, residue, subjects
 from gacetilla.llm.lines import nav_words
 from gacetilla.llm.text import table
 
@@ -96,5 +96,25 @@ def p7_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_dupes.near_groups(sets, near_dupes.node_links(sets, 3, (3, 5)))
 
 
+#: File of the public byte-level vocabulary.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def p8_pack(spark: SparkSession, folder: str, tokenizer: str = TOKENIZER, capacity: int = 2048) -> DataFrame:
+    return packing.pack(packing.token_counts(table(spark, folder, "documents"), tokenizer), capacity)
+
+
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill_report(p8_pack(spark, folder))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.find_residue(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
