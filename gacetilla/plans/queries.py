@@ -1,17 +1,273 @@
-"""Queries of the engine's own operators over the test tables, with their oracle SQL."""
+"""Queries of the engine's own operators over the test tables."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from gacetilla.functions import dates, html, json as J, text as T
+from gacetilla.operators import cluster, ingest, lifecycle, services
+from gacetilla.plans import sql
+from gacetilla.sources import tables as S
+from gacetilla.streaming.ingest import append_unseen, landed_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: The moment at which the queries run; never the clock.
+AS_OF = "2026-01-15 00:00:00"
+
+
+def _notes(spark: SparkSession, folder: str) -> DataFrame:
+    return S.table(spark, folder, "noticias").dropDuplicates(["id"])
+
+
+def _cards(spark: SparkSession, folder: str) -> DataFrame:
+    return S.table(spark, folder, "cards").withColumn("ord", F.col("card_id"))
+
+
+def _as_of() -> F.Column:
+    return F.to_timestamp(F.lit(AS_OF))
+
+
+def _words(c: F.Column) -> F.Column:
+    return F.array_join(F.array_sort(c), " ")
+
+
+def lifecycle_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return lifecycle.state_counts(S.table(spark, folder, "noticias"))
+
+
+def expire_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return lifecycle.expired(S.table(spark, folder, "noticias"), _as_of()).select("id", "estado")
+
+
+def discard_orphans(spark: SparkSession, folder: str) -> DataFrame:
+    return lifecycle.orphans_discarded(S.table(spark, folder, "noticias")).select("id", "estado")
+
+
+def discard_siblings(spark: SparkSession, folder: str) -> DataFrame:
+    notes = S.table(spark, folder, "noticias")
+    chosen = notes.where("grupo_id is not null").groupBy("grupo_id").agg(F.min("id").alias("id"))
+    return lifecycle.siblings_discarded(notes, chosen).select("id", "estado")
+
+
+def front_page_swap(spark: SparkSession, folder: str) -> DataFrame:
+    notes = S.table(spark, folder, "noticias")
+    first = notes.agg(F.min("id").alias("id")).first()["id"]
+    return lifecycle.front_page(notes, first, _as_of()).select("id", "es_portada")
+
+
+def publish_rows(spark: SparkSession, folder: str) -> DataFrame:
+    notes = S.table(spark, folder, "noticias")
+    ids = [r["id"] for r in notes.select("id").distinct().orderBy("id").limit(3).collect()]
+    return lifecycle.published(notes, ids, "publicada", _as_of()).select("id", "estado", F.date_format("fecha_publicacion", "yyyy-MM-dd HH:mm:ss").alias("fecha"))
+
+
+def upsert_by_key(spark: SparkSession, folder: str) -> DataFrame:
+    customer = S.table(spark, folder, "customer")
+    delta = S.table(spark, folder, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_name").alias("c_name"), F.col("s_nationkey").alias("c_nationkey"), F.col("s_acctbal").alias("c_acctbal"))
+    return lifecycle.upserted(customer, delta, "c_custkey", ["c_name", "c_nationkey", "c_acctbal"], ["c_custkey"])
+
+
+def rewrite_update(spark: SparkSession, folder: str) -> DataFrame:
+    notes = _notes(spark, folder)
+    answers = notes.where("estado = 'raw'").select("id", F.upper("titulo").alias("titulo"), F.lit("resumen").alias("resumen_seo"), F.lit("").alias("fuente"), F.array().cast("array<struct<fuente:string,url:string>>").alias("fuentes_urls"), F.when(F.col("grupo_id").isNull(), "Cultura").alias("seccion_sugerida"))
+    return lifecycle.rewritten(notes, answers, ["titulo", "resumen_seo"], ["fuente", "fuentes_urls"]).select("id", "titulo", "resumen_seo", "fuente", "seccion", "estado")
+
+
+def raw_insert(spark: SparkSession, folder: str) -> DataFrame:
+    cards = _cards(spark, folder)
+    rows = cards.select(F.col("card_id").cast("string").alias("id"), F.col("titulo").alias("titulo_original"), F.lit("texto").alias("cuerpo"), "seccion", "fuente", F.col("url").alias("url_original"), "imagen_url", T.url_slug(F.col("url"), F.col("titulo")).alias("slug"), F.lit(None).cast("string").alias("grupo_id"))
+    return lifecycle.raw_rows(rows).select("id", "titulo", "seccion", "estado", "slug", "resumen_seo", "es_portada")
+
+
+def seed_config(spark: SparkSession, folder: str) -> DataFrame:
+    config = S.table(spark, folder, "scraper_config").select("id", "activo")
+    return lifecycle.seeded(config, spark.createDataFrame([(1, False), (2, False)], "id int, activo boolean"), "id")
+
+
+def last_k(spark: SparkSession, folder: str) -> DataFrame:
+    return lifecycle.last_rows(_notes(spark, folder), 5, "created_at", "id").select("id", "titulo")
+
+
+def point_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    return S.table(spark, folder, "part").where("p_partkey = 7").select("p_partkey", "p_name", "p_brand")
+
+
+def group_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    notes = _notes(spark, folder)
+    group = notes.agg(F.min("grupo_id").alias("grupo_id"))
+    return notes.join(F.broadcast(group), "grupo_id").where("estado = 'raw'").select("grupo_id", "id", "titulo")
+
+
+def in_list_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    part = S.table(spark, folder, "part").withColumn("id", F.col("p_partkey").cast("string"))
+    return S.by_ids(part, ["5", "3", "11", "3000000"], ["p_partkey", "p_name"])
+
+
+def active_source_union(spark: SparkSession, folder: str) -> DataFrame:
+    config = S.table(spark, folder, "scraper_config")
+    active = S.active_sources(S.table(spark, folder, "fuentes"), config).select(T.strip(F.lower("nombre")).alias("f"), "clave")
+    notes = _notes(spark, folder).select(F.col("titulo"), F.col("url_original").alias("url"), "fuente")
+    both = S.union_sources([_cards(spark, folder).select("titulo", "url", "fuente"), notes])
+    return both.withColumn("f", T.strip(F.lower("fuente"))).join(active, "f").groupBy("clave").agg(F.count("*").alias("notas"))
+
+
+def run_gate(spark: SparkSession, folder: str) -> DataFrame:
+    return S.may_run(S.table(spark, folder, "scraper_config"), _as_of())
+
+
+def known_url_anti(spark: SparkSession, folder: str) -> DataFrame:
+    cards = ingest.usable_cards(_cards(spark, folder))
+    return ingest.unseen(cards, S.known_urls(S.table(spark, folder, "noticias")), ["lote", "card_id"]).select("card_id", "url")
+
+
+def url_slug(spark: SparkSession, folder: str) -> DataFrame:
+    return _notes(spark, folder).select("id", T.url_slug(F.col("url_original"), F.col("titulo")).alias("slug"))
+
+
+def url_domain(spark: SparkSession, folder: str) -> DataFrame:
+    return _notes(spark, folder).select("id", T.url_domain(F.col("url_original")).alias("domain"))
+
+
+def url_denylist(spark: SparkSession, folder: str) -> DataFrame:
+    return _notes(spark, folder).where(T.is_article_url(F.col("url_original"))).select("id", "url_original")
+
+
+def section_normalize(spark: SparkSession, folder: str) -> DataFrame:
+    section = T.section_of(F.col("seccion"))
+    return _notes(spark, folder).select("id", section.alias("section"), T.section_class(section).alias("class"))
+
+
+def title_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return _notes(spark, folder).select("id", _words(T.title_tokens(F.col("titulo"))).alias("tokens"))
+
+
+def title_entities(spark: SparkSession, folder: str) -> DataFrame:
+    return _notes(spark, folder).select("id", _words(T.title_entities(F.col("titulo"))).alias("entities"))
+
+
+def query_terms(spark: SparkSession, folder: str) -> DataFrame:
+    return _notes(spark, folder).select("id", T.query_terms(F.col("titulo")).alias("terms"))
+
+
+def token_idf(spark: SparkSession, folder: str) -> DataFrame:
+    return cluster.token_idf(cluster.prepared(_cards(spark, folder))).select("token", "df", F.round("idf", 6).alias("idf"))
+
+
+def similar_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return cluster.similar_pairs(cluster.prepared(_cards(spark, folder))).select("a", "b", F.round("sim", 6).alias("sim"), "shared")
+
+
+def leader_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    ready = cluster.prepared(_cards(spark, folder))
+    return cluster.leader_clusters(ready, cluster.similar_pairs(ready))
+
+
+def group_limit(spark: SparkSession, folder: str) -> DataFrame:
+    cards = _cards(spark, folder)
+    ready = cluster.prepared(cards)
+    members = cluster.leader_clusters(ready, cluster.similar_pairs(ready)).join(cards.select("ord", "url"), "ord")
+    return ingest.first_groups(members, S.known_urls(S.table(spark, folder, "noticias")))
+
+
+def stored_once(spark: SparkSession, folder: str) -> DataFrame:
+    notes = _notes(spark, folder).select("id", F.col("url_original").alias("url"), "cuerpo", "created_at").where("url is not null")
+    return ingest.stored_once(notes, ["created_at", "id"]).select("id", "url")
+
+
+def source_list(spark: SparkSession, folder: str) -> DataFrame:
+    return ingest.merged_group(_notes(spark, folder).where("grupo_id is not null"), "grupo_id", "id").select("grupo_id", "lider", "fuentes", F.size("fuentes_urls").alias("direcciones"))
+
+
+def versions_concat(spark: SparkSession, folder: str) -> DataFrame:
+    return ingest.merged_group(_notes(spark, folder).where("grupo_id is not null"), "grupo_id", "id").select("grupo_id", "versiones", "texto")
+
+
+def prompts(spark: SparkSession, folder: str) -> DataFrame:
+    n = _notes(spark, folder).where("cuerpo is not null and titulo is not null and seccion is not null")
+    return n.select("id", ingest.prompt(F.col("titulo"), F.col("seccion"), F.col("cuerpo"), F.col("fuente")).alias("prompt"))
+
+
+def image_paths(spark: SparkSession, folder: str) -> DataFrame:
+    kind = F.concat(F.lit("image/"), F.regexp_extract("imagen_url", r"\.([a-z]+)$", 1))
+    return _notes(spark, folder).select("id", T.image_path(F.col("id"), F.col("imagen_url"), F.lit(200), kind, F.lit(5_000_000)).alias("path"))
+
+
+def image_choice(spark: SparkSession, folder: str) -> DataFrame:
+    return _notes(spark, folder).select("id", ingest.best_image(F.col("imagen_url"), F.col("url_original"), F.lit("none")).alias("image"))
+
+
+def coherence(spark: SparkSession, folder: str) -> DataFrame:
+    return _notes(spark, folder).select("id", T.is_coherent(F.col("titulo"), F.col("cuerpo")).alias("coherent"))
+
+
+def masks(spark: SparkSession, folder: str) -> DataFrame:
+    return S.table(spark, folder, "part").select("p_partkey", T.masked(F.col("p_name")).alias("masked"))
+
+
+def message_actions(spark: SparkSession, folder: str) -> DataFrame:
+    data = F.concat(F.lit("sec_grupo_set_"), F.col("grupo_id"), F.lit("_"), F.coalesce("seccion", F.lit("")))
+    return _notes(spark, folder).where("grupo_id is not null").select("id", T.parse_action(data).alias("p")).select("id", "p.action", "p.head", "p.tail")
+
+
+def _notices(spark: SparkSession, folder: str) -> DataFrame:
+    return services.notices(S.table(spark, folder, "documents"), "doc_id", "text", trigger=r"^(Actualizado|Publicado)")
+
+
+def line_segments(spark: SparkSession, folder: str) -> DataFrame:
+    return _notices(spark, folder)
+
+
+def month_rollup(spark: SparkSession, folder: str) -> DataFrame:
+    return services.by_month(_notices(spark, folder), ["doc_id", "start"])
+
+
+def shift_table(spark: SparkSession, folder: str) -> DataFrame:
+    docs = S.table(spark, folder, "documents").where("text is not null").select("doc_id", F.concat(F.lit("Farmacias\nTurnos del mes de mayo\n"), "text", F.lit("\n1\nBelgrano\nCentro\n2\nMitre")).alias("raw"))
+    return services.shift_table(docs, "doc_id", "raw")
+
+
+def first_dates(spark: SparkSession, folder: str) -> DataFrame:
+    d = dates.first_date(F.col("text"))
+    return S.table(spark, folder, "documents").select("doc_id", d.alias("d")).select("doc_id", "d.anio", "d.mes")
+
+
+def json_required(spark: SparkSession, folder: str) -> DataFrame:
+    fence = F.concat(F.lit("```json\n"), "props", F.lit("\n```"))
+    prose = F.concat(F.lit("Respuesta: "), "props", F.lit(" Fin."))
+    e = S.table(spark, folder, "events").select("event_id", J.json_object(F.col("props")).alias("a"), J.json_object(fence).alias("b"), J.json_object(prose).alias("c"), F.array_join(J.missing_fields(F.col("props"), ["k", "titulo"]), ",").alias("missing"))
+    return e.select("event_id", (F.col("a") == F.col("b")).alias("fenced"), (F.col("a") == F.col("c")).alias("embedded"), "missing")
+
+
+def article_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Articles of pages made of each note's paragraphs (rows only: no page table is given)."""
+    n = _notes(spark, folder).where("cuerpo is not null")
+    page = F.concat(F.lit("<html><head><title>"), F.coalesce("titulo", F.lit("")), F.lit("</title></head><body><nav>Menu</nav><article><p>"), F.regexp_replace("cuerpo", "\n+", "</p><p>"), F.lit("</p></article></body></html>"))
+    return n.select("id", html.article(page, F.coalesce("url_original", F.lit(""))).alias("a")).select("id", "a.text", "a.title")
+
+
+def stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """All cards as a stream, each address stored once."""
+    base = f"{S.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    cards = S.table(spark, folder, "cards")
+    cards.select("card_id", "lote", "url").repartition(4).write.parquet(f"{base}/in")
+    append_unseen(landed_stream(spark, f"{base}/in", "card_id long, lote int, url string"), f"{base}/store", f"{base}/progress", ["card_id"]).awaitTermination()
+    return spark.read.parquet(f"{base}/store").select("url")
+
+
+_NAMES = (
+    "lifecycle_stats expire_rows discard_orphans discard_siblings front_page_swap publish_rows upsert_by_key rewrite_update raw_insert seed_config last_k point_lookup group_lookup in_list_lookup "
+    "active_source_union run_gate known_url_anti url_slug url_domain url_denylist section_normalize title_tokens title_entities query_terms token_idf similar_pairs leader_clusters group_limit stored_once "
+    "source_list versions_concat prompts image_paths image_choice coherence masks message_actions line_segments month_rollup shift_table first_dates json_required article_text stream_dedup"
+).split()
+
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {n: globals()[n] for n in _NAMES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()
