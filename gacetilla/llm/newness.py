@@ -5,7 +5,8 @@ word's weight is its inverse document frequency), so that two headlines agree on
 probability of their weighted similarity, and on the first two with its square. The history is kept as runs: for each
 tree the signatures as keys of fixed depth, sorted. A batch is located by a range search on its keys at the full depth;
 entries without a verified match are searched again with the prefix shortened by one word, until the chance of missing
-a headline of the stated similarity is below the recall target. Candidates are verified word by word. Runs are merged
+a headline of the stated similarity is below the recall target. Candidates whose figures or word bits rule them out are
+dropped at once, the others are verified word by word. Runs are merged
 when there are many.
 
 Addresses are looked up first: the same site and article number (or path) is the same story.
@@ -23,6 +24,7 @@ from __future__ import annotations
 import html
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,10 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gacetilla.llm.canonical import edits
-from gacetilla.llm.text import article_key, fold, mix, stable_hash, written
+from gacetilla.llm.text import article_key, fold, mix, shared_folder, stable_hash, written
 
 TREES = 12
-DEPTH = 3
+DEPTHS = (3, 2)
+#: Power of the inverse document frequency in the sampling weights.
+SHARPNESS = 1.5
+#: Words besides link words in which two headlines may differ, each.
+MOST_CHANGED = 4
 #: Words that are known to carry no weight of their own get this weight; the weight of rare words is log(1 / RARE).
 RARE = 0.001
 
@@ -89,7 +95,7 @@ def same_headline(a: list[str], b: list[str]) -> bool:
     if any(w.isdigit() for w in x) or any(w.isdigit() for w in y):
         return False
     x, y = [w for w in x if w not in LINKS], [w for w in y if w not in LINKS]
-    if max(len(x), len(y)) > 4 or abs(len(x) - len(y)) > 1:
+    if max(len(x), len(y)) > MOST_CHANGED or abs(len(x) - len(y)) > 1:
         return False
     alone = 0
     for w in x:
@@ -108,13 +114,13 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def tokenized(records: DataFrame) -> DataFrame:
-    """(key, lote, link, words) of records (key string, lote int, titulo, url): written once."""
-    kept = records.select("key", "lote", article_key(F.col("url")).alias("link"), "titulo")
-    return written(kept.mapInArrow(_tokens, "key string, lote int, link string, words array<string>"), "headlines")
+    """(id, lote, link, words) of records (key string, lote int, titulo, url), id being the key's hash: written once."""
+    kept = records.select(F.xxhash64("key").alias("id"), "lote", article_key(F.col("url")).alias("link"), "titulo")
+    return written(kept.mapInArrow(_tokens, "id long, lote int, link string, words array<string>"), "headlines")
 
 
 def common_words(heads: DataFrame, share: float = RARE) -> dict[str, float]:
-    """Weights of the words that stand in more than ``share`` of all headlines."""
+    """Inverse document frequencies of the words that stand in more than ``share`` of all headlines."""
     total = heads.count()
     if not total:
         return {}
@@ -122,54 +128,64 @@ def common_words(heads: DataFrame, share: float = RARE) -> dict[str, float]:
     return {r["w"]: max(0.05, math.log(total / r["count"])) for r in seen.collect()}
 
 
-def _signatures(shared, trees: int, depth: int):
-    """Rows (key, lote, tree, k1 ... k_depth, words): the hash of the first 1 ... depth words of each tree."""
+def _signatures(shared, trees: int, depths: tuple[int, ...]):
+    """Rows (id, lote, tree, bits, figures, k<depth> ...): for each tree the hashes of the first words of its order.
+
+    bits has one of 64 bits for each word but link words: headlines that differ in m words each differ in at most 2 m bits.
+    figures is a hash of all figures, which must agree."""
     salts = mix(np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, rare = shared.value, math.log(1 / RARE)
-        memo: dict[str, tuple[int, float]] = {}
+        known, rare = shared.value, math.log(1 / RARE)
+        memo: dict[str, tuple[int, float, int, int]] = {}
         for batch in batches:
-            owner, hashes, w = [], [], []
+            owner, hashes, w, bits, figures = [], [], [], [], []
             for i, words in enumerate(batch.column("words").to_pylist()):
-                for x in set(words):
+                b = f = 0
+                for x in words:
                     m = memo.get(x)
                     if m is None:
-                        m = memo[x] = (stable_hash(x), weights.get(x, rare))
+                        h = stable_hash(x)
+                        m = memo[x] = (h, known.get(x, rare) ** SHARPNESS, 0 if x in LINKS or x.isdigit() else 1 << (h >> 7 & 63), h if x.isdigit() else 0)
+                    b ^= m[2]
+                    f = (f + m[3]) & 0xFFFFFFFFFFFFFFFF
                     owner.append(i), hashes.append(m[0]), w.append(m[1])
+                bits.append(b), figures.append(f)
             if len(memo) > 1_000_000:
                 memo.clear()
             if not owner:
                 continue
             o, h, w = np.array(owner), np.array(hashes, np.uint64), np.array(w)
-            keys = [[] for _ in range(depth)]
-            rows, tree_of = [], []
+            once = np.unique(np.stack([o.astype(np.uint64), h]), axis=1, return_index=True)[1]
+            o, h, w = o[once], h[once], w[once]
             starts = np.flatnonzero(np.r_[True, o[1:] != o[:-1]])
             size = np.diff(np.r_[starts, len(o)])
+            keys: dict[int, list[np.ndarray]] = {d: [] for d in depths}
             for t in range(trees):
                 r = mix(h ^ salts[t])
                 race = -np.log((r >> np.uint64(11)).astype(np.float64) / 2.0**53 + 1e-18) / w
-                order = np.lexsort((h, race, o))
-                r = r[order]
+                r = r[np.lexsort((h, race, o))]
                 acc = np.zeros(len(starts), np.uint64)
-                for d in range(depth):
+                for d in range(max(depths)):
                     with np.errstate(over="ignore"):
                         acc = mix(acc * np.uint64(31) + np.where(size > d, r[np.minimum(starts + d, len(r) - 1)], np.uint64(7)))
-                    keys[d].append(acc.view(np.int64))
-                rows.append(o[starts])
-                tree_of.append(np.full(len(starts), t, np.int32))
-            at = pa.array(np.concatenate(rows))
+                    if d + 1 in keys:
+                        keys[d + 1].append(acc.view(np.int64))
+            at = np.tile(o[starts], trees)
+            tree = np.repeat(np.arange(trees, dtype=np.int32), len(starts))
+            ids, lotes = (batch.column(c).to_numpy(zero_copy_only=False)[at] for c in ("id", "lote"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key").take(at), batch.column("lote").take(at), pa.array(np.concatenate(tree_of)), *(pa.array(np.concatenate(k)) for k in keys)], names=["key", "lote", "tree", *(f"k{d + 1}" for d in range(depth))]
+                [pa.array(ids), pa.array(lotes), pa.array(tree), pa.array(np.array(bits, np.uint64)[at].view(np.int64)), pa.array(np.array(figures, np.uint64)[at].view(np.int64)), *(pa.array(np.concatenate(keys[d])) for d in depths)],
+                names=["id", "lote", "tree", "bits", "figures", *(f"k{d}" for d in depths)],
             )
 
     return run
 
 
-def signatures(heads: DataFrame, weights: dict[str, float], trees: int = TREES, depth: int = DEPTH) -> DataFrame:
+def signatures(heads: DataFrame, weights: dict[str, float], trees: int = TREES, depths: tuple[int, ...] = DEPTHS) -> DataFrame:
     shared = heads.sparkSession.sparkContext.broadcast(weights)
-    schema = "key string, lote int, tree int, " + ", ".join(f"k{d + 1} long" for d in range(depth))
-    return heads.where(F.size("words") > 0).select("key", "lote", "words").mapInArrow(_signatures(shared, trees, depth), schema)
+    schema = "id long, lote int, tree int, bits long, figures long, " + ", ".join(f"k{d} long" for d in depths)
+    return heads.where(F.size("words") > 0).select("id", "lote", "words").mapInArrow(_signatures(shared, trees, depths), schema)
 
 
 def trees_for(similarity: float, depth: int, recall: float) -> int:
@@ -182,17 +198,18 @@ class HashForest:
 
     ``add`` writes a run, ``merge`` makes one sorted run of all, ``search`` gives the candidates of a batch."""
 
-    def __init__(self, spark, folder: str, weights: dict[str, float], trees: int = TREES, depth: int = DEPTH):
-        self.spark, self.folder, self.weights, self.trees, self.depth = spark, folder, weights, trees, depth
+    def __init__(self, spark, folder: str, weights: dict[str, float], trees: int = TREES, depths: tuple[int, ...] = DEPTHS):
+        self.spark, self.folder, self.weights, self.trees, self.depths = spark, folder, weights, trees, depths
         self.runs: list[str] = []
 
     def _write(self, rows: DataFrame) -> str:
-        path = f"{self.folder}/run-{len(self.runs)}-{np.random.default_rng().integers(1 << 60):x}"
-        rows.repartition("tree", F.col("k1") % 64).sortWithinPartitions("tree", *(f"k{d + 1}" for d in range(self.depth))).write.parquet(path)
+        path = f"{self.folder}/run-{len(self.runs)}-{uuid.uuid4().hex}"
+        shallow = f"k{min(self.depths)}"
+        rows.repartition("tree", F.pmod(shallow, F.lit(16))).sortWithinPartitions("tree", *(f"k{d}" for d in sorted(self.depths))).write.parquet(path)
         return path
 
     def add(self, heads: DataFrame) -> None:
-        self.runs.append(self._write(signatures(heads, self.weights, self.trees, self.depth)))
+        self.runs.append(self._write(signatures(heads, self.weights, self.trees, self.depths)))
 
     def merge(self) -> None:
         if len(self.runs) > 1:
@@ -202,49 +219,49 @@ class HashForest:
         return self.spark.read.parquet(*self.runs)
 
     def search(self, batch: DataFrame, depth: int) -> DataFrame:
-        """(key, other): entries of the forest that share a prefix of this depth with a batch entry and came before it."""
-        asked = signatures(batch, self.weights, self.trees, self.depth).select("tree", F.col(f"k{depth}").alias("k"), "key", "lote")
-        held = self.rows().select("tree", F.col(f"k{depth}").alias("k"), F.col("key").alias("other"), F.col("lote").alias("earlier"))
-        return asked.join(held, ["tree", "k"]).where("earlier < lote").select("key", "other").distinct()
+        """(id, other): entries of the forest that came before a batch entry, share a prefix of this depth with it and can
+        still be the same headline by their figures and words."""
+        k = f"k{depth}"
+        asked = signatures(batch, self.weights, self.trees, self.depths).select("tree", k, "id", "lote", "bits", "figures")
+        held = self.rows().select("tree", k, "figures", F.col("id").alias("other"), F.col("lote").alias("earlier"), F.col("bits").alias("other_bits"))
+        near = F.bit_count(F.col("bits").bitwiseXOR(F.col("other_bits"))) <= 2 * MOST_CHANGED
+        return asked.join(held, ["tree", k, "figures"]).where((F.col("earlier") < F.col("lote")) & near).select("id", "other").distinct()
 
 
 def _same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ok = [same_headline(a, b) for a, b in zip(batch.column("words").to_pylist(), batch.column("other_words").to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column("key").filter(pa.array(ok, pa.bool_()))], names=["key"])
+        yield pa.RecordBatch.from_arrays([batch.column("id").filter(pa.array(ok, pa.bool_()))], names=["id"])
 
 
 def verified(candidates: DataFrame, heads: DataFrame) -> DataFrame:
-    """The keys whose headline a candidate repeats."""
-    words = heads.select("key", "words")
-    both = candidates.join(words, "key").join(words.select(F.col("key").alias("other"), F.col("words").alias("other_words")), "other")
-    return both.select("key", "words", "other_words").mapInArrow(_same, "key string").distinct()
+    """The ids whose headline a candidate repeats."""
+    words = heads.select("id", "words")
+    both = candidates.join(words, "id").join(words.select(F.col("id").alias("other"), F.col("words").alias("other_words")), "other")
+    return both.select("id", "words", "other_words").mapInArrow(_same, "id long").distinct()
 
 
-def known_entries(history: DataFrame, batches: DataFrame, similarity: float = 0.55, recall: float = 0.98) -> DataFrame:
+def known_entries(history: DataFrame, batches: DataFrame, similarity: float = 0.6, recall: float = 0.99) -> DataFrame:
     """(key): entries of the batches whose story is in the history or in an earlier batch.
 
     history: (key, titulo, url); batches: (key, lote, titulo, url). Keys are strings, unique over both."""
     heads = tokenized(history.select("key", F.lit(-1).alias("lote"), "titulo", "url").unionByName(batches.select("key", F.col("lote").cast("int").alias("lote"), "titulo", "url")))
-    linked = heads.where("link is not null")
+    linked = heads.where("link is not null").select("id", "lote", "link")
     first = linked.groupBy("link").agg(F.min("lote").alias("first"))
-    by_link = linked.where("lote >= 0").join(first, "link").where("first < lote").select("key")
-    title = F.xxhash64(F.array_join("words", " "))
-    titled = heads.where(F.size("words") > 0).select("key", "lote", title.alias("title"))
+    by_link = linked.where("lote >= 0").join(first, "link").where("first < lote").select("id")
+    titled = heads.where(F.size("words") > 0).select("id", "lote", F.xxhash64(F.array_join("words", " ")).alias("title"))
     first_title = titled.groupBy("title").agg(F.min("lote").alias("first"))
-    by_title = titled.where("lote >= 0").join(first_title, "title").where("first < lote").select("key")
+    by_title = titled.where("lote >= 0").join(first_title, "title").where("first < lote").select("id")
     known = written(by_link.unionByName(by_title).distinct(), "known")
 
-    from gacetilla.llm.text import shared_folder
-
     forest = HashForest(heads.sparkSession, f"{shared_folder(heads.sparkSession)}/forest", common_words(heads))
     forest.add(heads)
-    last = max(d for d in range(1, DEPTH + 1) if trees_for(similarity, d, recall) <= TREES)
-    for depth in range(DEPTH, last - 1, -1):
-        open_entries = heads.where("lote >= 0").join(known, "key", "left_anti")
-        found = verified(forest.search(open_entries, depth), heads)
-        known = written(known.unionByName(found).distinct(), "known")
-    return known
+    for depth in sorted(DEPTHS, reverse=True):
+        open_entries = heads.where("lote >= 0").join(known, "id", "left_anti")
+        known = known.unionByName(written(verified(forest.search(open_entries, depth), heads), "known"))
+        if trees_for(similarity, depth, recall) <= TREES:
+            break
+    return batches.select("key", F.xxhash64("key").alias("id")).distinct().join(known, "id", "left_semi").select("key")
 
 
 def new_entries(history: DataFrame, batches: DataFrame, **options) -> DataFrame:
