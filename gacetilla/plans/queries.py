@@ -254,7 +254,7 @@ def stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
     base = f"{S.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     cards = S.table(spark, folder, "cards")
     cards.select("card_id", "lote", "url").repartition(4).write.parquet(f"{base}/in")
-    append_unseen(landed_stream(spark, f"{base}/in", "card_id long, lote int, url string"), f"{base}/store", f"{base}/progress", ["card_id"]).awaitTermination()
+    append_unseen(landed_stream(spark, f"{base}/in", "card_id long, lote long, url string"), f"{base}/store", f"{base}/progress", ["card_id"]).awaitTermination()
     return spark.read.parquet(f"{base}/store").select("url")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Transient and stored records.
 SCHEMAS = {
-    "cards": "card_id long, lote int, ord int, titulo string, url string, imagen_url string, seccion string, fuente string, visto_at timestamp",
+    "cards": "card_id long, lote long, ord int, titulo string, url string, imagen_url string, seccion string, fuente string, visto_at timestamp",
     "pages": "page_id long, url string, html string",
     "notices": "notice_id long, raw_text string",
     "noticias": "id string, titulo string, cuerpo string, resumen_seo string, seccion string, estado string, fuente string, url_original string, imagen_url string, instagram_text string, twitter_text string, guion_video string, instagram_titulo string, slug string, es_portada boolean, orden_portada int, imagen_fuente string, instagram_descartado boolean, grupo_id string, titulo_original string, fuentes_urls array<struct<fuente: string, url: string>>, fecha_publicacion timestamp, created_at timestamp",
