@@ -21,10 +21,10 @@ _W = r"[a-z'’.-]+"
 
 #: Kinds of lines that news sites add to a page, by their folded text without ornaments.
 _KINDS = [
-    ("cookies", r".*\bcookies\b.*"),
+    ("cookies", r".{2,60} (?:utiliza|usa) cookies (?:propias|de terceros|para)\b.*|(?:usamos|utilizamos) cookies\b.*|(?:aceptar|rechazar|configurar|gestionar) (?:todas las |las )?cookies\b.*|si continuas en .*\bcookies\b.*|politica de cookies.{0,80}"),
     ("byline", rf"por {_W}(?: {_W}){{1,3}}(?:,? (?:para|de|en) {_N})?|(?:escribe|escriben|texto|textos|produccion|fotos?|fotografias?|corresponsal|informe|video|cobertura|edicion|autora?|enviad[oa] especial|imagenes?|creditos?|ilustracion)\s?: ?{_N}|{_W}(?: {_W}){{1,3}} \(redaccion[^)]*\)|de la redaccion de {_N}|redaccion {_N}"),
-    ("contact", r".*@[a-z0-9.-]+\.[a-z]{2,}\b.*|oficina comercial.*|.*\btel\.? ?\d[\d -]+|.*\b(?:whatsapp|telefono):? \+?\d[\d -]+"),
-    ("legal", r".*derechos reservados.*|.*propiedad intelectual.*|.*director(?:a)?(?: |-)(?:propietari[oa]|responsable)\b.*|prohibida la reproduccion.*|.*no se hace responsable.*|.*es una publicacion de .*|nosotros y nuestros socios .*|los comentarios publicados son .*|terminos y condiciones.*|.*politica de privacidad.*|(?:©|\(c\)) ?\d{4}.*|aviso legal.*"),
+    ("contact", r"(?:redaccion|publicidad|contacto|ventas|correo|mail|¿?tenes algo para contar)\b.{0,120}@[a-z0-9.-]+\.[a-z]{2,}\b.{0,60}|oficina comercial de .{2,60}: .{2,60}|(?:auspicia|publicidad|aviso|espacio cedido|contacto|anuncie)\b.{2,80}\btel\.? ?\d[\d -]+|(?:whatsapp|telefono|tel\.?):? \+?\d[\d -]+"),
+    ("legal", r"(?:©|\(c\)|copyright) ?.{0,120}|todos los derechos reservados.{0,40}|registro de (?:la )?propiedad intelectual.{0,100}|edicion (?:digital )?n.{0,3}\d+\b.{0,100}|director(?:a)?(?: propietari[oa]| responsable|es)?: .{2,60}|prohibida la reproduccion.{0,140}|.{3,60} no se hace responsable por .{0,80}|.{3,60} es una publicacion de .{3,80}, con domicilio legal en .*|nosotros y nuestros socios .*|los comentarios publicados son .*|terminos y condiciones[^a-z]+politica de privacidad.{0,80}|politica de privacidad.{0,60}|aviso legal.{0,60}"),
     ("share", r"segui(?:nos|me)\b.*|sumate\b.*|suscrib(?:ite|irse|ase)\b.*|compart(?:i|ir|ila|ilo|e)\b.*|¿?te gusto la nota\b.*|.*\bsuscribite|.*exclusiv[oa] para suscriptores.*|enviar por correo.*|copiar enlace.*|hace clic aca.*|imprimir\b.{0,60}|si esta (?:noticia|nota) te resulto util.*|¿?tenes algo para contar.*|descarga(?:te)? nuestra app.*|recibi (?:las|nuestras) noticias.*"),
     ("counter", r"compartid[oa] [\d.]+ ve(?:z|ces)|[\d.]+ (?:lecturas?|comentarios?|visitas?|vistas|compartidos?|me gusta|veces compartid[oa])|me gusta:? ?[\d.]+|(?:tiempo de )?lectura(?: de|:)? ?\d+ min(?:utos|\.)?|hace \d+ (?:horas?|minutos?|dias?)(?: en .{2,60})?"),
     ("date", rf"(?:(?:actualizad[oa]|publicad[oa]|fecha)(?: el)?:? ?)?(?:{_DAY},? )?(?:\d{{1,2}}[/.-]\d{{1,2}}[/.-]\d{{2,4}}|\d{{1,2}} de [a-z]+(?: de \d{{4}}))?(?:[ ,|-]*(?:a las )?\d{{1,2}}[:.h]\d{{2}}(?: ?hs?)?)?"),
@@ -92,7 +92,7 @@ def page_lines(text: str | None, nav: frozenset[str]) -> list[tuple[int, str, st
         if not f:
             out.append((no, "", "", s))
             continue
-        if s.startswith(">>") and len(f) > 20:
+        if s.lstrip("•▸*-–—· ").startswith(">>") and len(f) > 20:
             kind = "teaser"
         else:
             kind = _kind(core, f, nav)
