@@ -140,8 +140,8 @@ def _prefixes(shared, n: int, num: int, den: int, hot: int):
                 first, count, pos = g[order], count[order], np.arange(depth, dtype=np.int32)
                 add(first, np.zeros(depth, np.int32), np.full(depth, node, np.int64), np.full(depth, size, np.int32), pos)
                 if count[-1] > hot:
-                    spread = np.where(count > hot, count // hot + 1, 1)
-                    cols[1][-1] = (spread > 1) * (node % spread * (spread + 1) + 1).astype(np.int32)
+                    spread = np.where(count > hot, count // hot + 1, 1).astype(np.int64)
+                    cols[1][-1] = np.where(spread > 1, node % spread * (spread + 1) + 1, 0).astype(np.int32)
                     for i in np.flatnonzero(spread > 1):
                         k = int(spread[i])
                         own, other = node % k, np.delete(np.arange(k), node % k)
