@@ -53,6 +53,7 @@ _SCRIPT = re.compile(
 _WAITING = re.compile(r"(?:espere|aguarde|espera|aguarda) un momento.{0,20}|redirigiendo en .{0,20}|cargando.{0,12}|loading.{0,12}|recargar la pagina|intenta con el buscador.{0,40}|nginx(?:/[\d.]+)?|cloudflare|ray id.{0,40}|tal vez te interesen estas notas")
 _EDGES = re.compile(r"^[\s•»▸*\-–—>·.…!¡|#]+|[\s»\-–—*.…!·|:]+$")
 
+_DIGITS = re.compile(r"\d+")
 STRONG, WEAK, FORM = 1, 2, 3
 
 
@@ -62,20 +63,31 @@ def _quoted(line: str, at: int) -> bool:
     return bool(before.count('"') % 2 and '"' in line[at:] or before.count("“") > before.count("”") or before.count("«") > before.count("»"))
 
 
-def line_evidence(line: str) -> int:
+#: A line without any of these holds no placeholder; the same for filler below.
+_HINT = re.compile(r"[\[{<%$#@]|__|&lt;|[Xx]/|tk tk|undefined|null null|nan nan", re.I)
+_LATIN_HINTS, _MASH_HINTS = ("ipsum", "lorem", "amet", "commodo", "cillum"), ("asdf", "xxx", "qwert", "aaa", "bla", "test", "texto", "foo")
+_SAMPLE_HINTS = ("ejemplo", "prueba", "relleno", "simulad", "borrar antes", "va el", "va la")
+
+
+def line_evidence(line: str, folded: str | None = None) -> int:
     """STRONG, WEAK, FORM (one heading of an empty form) or 0."""
-    for m in PLACEHOLDER.finditer(line):
-        if not _quoted(line, m.start()):
-            return STRONG
-    f = fold(line)
-    run = 0
-    if "ipsum" in f or "lorem" in f or "amet" in f or "commodo" in f or "cillum" in f:
+    if _HINT.search(line):
+        for m in PLACEHOLDER.finditer(line):
+            if not _quoted(line, m.start()):
+                return STRONG
+    f = fold(line) if folded is None else folded
+    if any(h in f for h in _LATIN_HINTS):
+        run = 0
         for m in re.finditer(r"[a-z]+", f):
             run = run + 1 if m[0] in _LATIN else 0
             if run >= 6:
                 return STRONG
-    if _MASHED.search(f) or (m := _SAMPLE.search(f)) and not _quoted(f, m.start()):
+    if any(h in f for h in _MASH_HINTS) and _MASHED.search(f):
         return STRONG
+    if any(h in f for h in _SAMPLE_HINTS) and (m := _SAMPLE.search(f)) and not _quoted(f, m.start()):
+        return STRONG
+    if len(f) > 240:
+        return 0
     core = _EDGES.sub("", f)
     if not core or len(core) > 220 or '"' in core or "“" in core or "«" in core:
         return 0
@@ -89,12 +101,13 @@ def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sorts, sizes = [], [], []
         for text in batch.column("text").to_pylist():
             k, s, n = [], [], []
-            for line in (text or "").split("\n"):
+            text = text or ""
+            for line, f in zip(text.split("\n"), fold(text).split("\n")):
                 line = " ".join(line.split())
                 if line:
-                    f = re.sub(r"\d+", "0", _EDGES.sub("", fold(line)))
-                    k.append(stable_hash(f) >> 1)
-                    s.append(line_evidence(line))
+                    f = " ".join(f.split())
+                    k.append(stable_hash(_DIGITS.sub("0", _EDGES.sub("", f))) >> 1)
+                    s.append(line_evidence(line, f))
                     n.append(line.count(" ") + 1)
             keys.append(k), sorts.append(s), sizes.append(n)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), pa.array(keys, pa.list_(pa.int64())), pa.array(sorts, pa.list_(pa.int8())), pa.array(sizes, pa.list_(pa.int32()))], names=["doc_id", "host", "keys", "sorts", "sizes"])
