@@ -32,7 +32,8 @@ def prepared(notes: DataFrame, titulo: Column | str = "titulo", seccion: Column
 def token_idf(ready: DataFrame) -> DataFrame:
     """(token, df, idf): idf = ln((N + 1) / (df + 1)) + 1 over all notes, short headlines included."""
     counted = ready.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    return counted.crossJoin(F.broadcast(ready.agg(F.count("*").alias("n")))).select("token", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    n = ready.count()
+    return counted.select("token", "df", (F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
 def similar_pairs(ready: DataFrame, strong: float = 0.40, gray: float = 0.25, least_entities: int = 2) -> DataFrame:

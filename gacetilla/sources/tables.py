@@ -40,10 +40,8 @@ def may_run(config: DataFrame, as_of: Column) -> DataFrame:
 
 def active_sources(sources: DataFrame, config: DataFrame, key: str = "clave") -> DataFrame:
     """Rows of the sources that the configuration names; all of them if it names none. Unknown names are ignored."""
-    named = config_row(config).select(F.explode(F.coalesce("fuentes_activas", F.array().cast("array<string>"))).alias(key))
-    chosen = sources.join(named.distinct(), key, "left_semi").withColumn("_all", F.lit(False))
-    every = sources.join(F.broadcast(config_row(config).where(F.coalesce(F.size("fuentes_activas"), F.lit(0)) <= 0).select(F.lit(True).alias("_all"))))
-    return chosen.unionByName(every).drop("_all")
+    named = config_row(config).first()["fuentes_activas"]
+    return sources.where(F.col(key).isin(named)) if named else sources
 
 
 def union_sources(parts: list[DataFrame]) -> DataFrame:
