@@ -59,7 +59,7 @@ def repeated_lines(notes: DataFrame, least_documents: int = 4, least_share: floa
         notes.select("id", F.xxhash64("id").alias("doc"), source_key(F.col("fuente")).alias("source"), line_keys(F.coalesce("cuerpo", F.lit(""))).alias("keys")).where("source is not null"), "line-keys"
     )
     totals = docs.groupBy("source").agg(F.countDistinct("doc").alias("n"))
-    every = totals.agg(F.sum("n").alias("all_n"))
+    all_n = totals.agg(F.sum("n").alias("n")).first()["n"] or 0
     single = docs.select("source", "doc", F.explode(F.array_compact(F.array_distinct("keys"))).alias("key"))
     # repeated deliveries can only raise these counts, so no line is lost by them
     many = single.groupBy("source", "key").agg(F.count("*").alias("rows")).where(F.col("rows") >= least_documents).join(totals, "source").where(F.col("rows") >= least_share * F.col("n")).select("source", "key")
@@ -67,10 +67,10 @@ def repeated_lines(notes: DataFrame, least_documents: int = 4, least_share: floa
     outside = single.join(many.select("key").distinct(), "key", "left_semi").select("source", "key", "doc").distinct().groupBy("source", "key").agg(F.count("*").alias("k"))
     all_k = outside.groupBy("key").agg(F.sum("k").alias("all_k"))
     # an average line: documents with a line, over distinct lines, over documents; here one in n for each distinct line
-    tested = outside.join(many, ["source", "key"], "left_semi").join(totals, "source").crossJoin(F.broadcast(every)).join(all_k, "key")
+    tested = outside.join(many, ["source", "key"], "left_semi").join(totals, "source").join(all_k, "key")
     k, n = F.col("k").cast("double"), F.col("n").cast("double")
-    same = _ratio(k, n, (F.col("all_k") - F.col("k")).cast("double"), (F.col("all_n") - F.col("n")).cast("double"))
-    base = _ratio(k, n, F.lit(1.0), F.greatest(F.col("all_n").cast("double"), F.lit(1000.0)))
+    same = _ratio(k, n, (F.col("all_k") - F.col("k")).cast("double"), F.lit(float(all_n)) - n)
+    base = _ratio(k, n, F.lit(1.0), F.lit(max(float(all_n), 1000.0)))
     tested = tested.withColumn("llr", F.greatest(F.coalesce(same, F.lit(0.0)), base)).withColumn("p", _tail(F.col("llr")))
     rank = Window.partitionBy("source").orderBy("p", "key")
     tests = Window.partitionBy("source")

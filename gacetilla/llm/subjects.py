@@ -179,7 +179,7 @@ def fit_lexicon(notes: DataFrame, labels: DataFrame, themes: DataFrame, nav: fro
     subjects = sorted(r["tema_id"] for r in names)
     seeds = {r["tema_id"]: words(f"{r['nombre']} {r['descripcion'] or ''}") for r in names}
     sample = labels.where("id is not null and tema_id is not null").groupBy("id").agg(F.collect_set("tema_id").alias("temas")).orderBy(F.xxhash64("id"), "id").limit(max_labelled)
-    rows = notes.select("id", "cuerpo", "seccion", "fuente").join(sample, "id").dropDuplicates(["id"]).collect()
+    rows = notes.select("id", "cuerpo", "seccion", "fuente").join(F.broadcast(sample), "id").dropDuplicates(["id"]).collect()
     documents = [(paragraphs(r["cuerpo"], nav), set(r["temas"]), _section(r["seccion"]), _section(r["fuente"])) for r in sorted(rows, key=lambda r: r["id"])]
     return Lexicon.fit(documents, subjects, seeds)
 
