@@ -115,47 +115,44 @@ def _frequencies(sets: DataFrame, n: int) -> np.ndarray:
 
 
 def _prefixes(shared, n: int, num: int, den: int, hot: int):
-    """Rows (gram, cell, node, n, pos) of the prefix of each set. An n-gram of more than ``hot`` records is spread over
-    a triangle of cells; any two of its members meet in one of them."""
+    """Rows (place, node, depth) of the prefix of each set: place holds the n-gram and its cell, depth the set's size and
+    the position. An n-gram of more than ``hot`` records is spread over a triangle of cells; any two of its members
+    meet in one of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         frequency = shared.value
         for batch in batches:
-            cols: list[list[np.ndarray]] = [[], [], [], [], []]
-
-            def add(*row: np.ndarray) -> None:
-                for c, x in zip(cols, row):
-                    c.append(x)
-
+            places, nodes, depths = [], [], []
             for node, packed in zip(batch.column("node").to_pylist(), batch.column("words").to_pylist()):
                 if node in seen:
                     continue
                 seen.add(node)
                 g = _grams(packed, n)
                 size = len(g)
-                depth = min(size, size + (-size * num // den) + MEETINGS)
+                long = min(size, size + (-size * num // den) + MEETINGS)
                 count = frequency[g & np.uint32(BUCKETS - 1)]
-                order = np.argsort(count, kind="stable")[:depth]
-                first, count, pos = g[order], count[order], np.arange(depth, dtype=np.int32)
-                add(first, np.zeros(depth, np.int32), np.full(depth, node, np.int64), np.full(depth, size, np.int32), pos)
-                if count[-1] > hot:
-                    spread = np.where(count > hot, count // hot + 1, 1).astype(np.int64)
-                    cols[1][-1] = np.where(spread > 1, node % spread * (spread + 1) + 1, 0).astype(np.int32)
-                    for i in np.flatnonzero(spread > 1):
-                        k = int(spread[i])
-                        own, other = node % k, np.delete(np.arange(k), node % k)
-                        cell = (np.minimum(own, other) * k + np.maximum(own, other) + 1).astype(np.int32)
-                        add(np.full(k - 1, first[i]), cell, np.full(k - 1, node, np.int64), np.full(k - 1, size, np.int32), np.full(k - 1, i, np.int32))
-            if cols[0]:
-                g, *rest = (np.concatenate(c) for c in cols)
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int32)), *map(pa.array, rest)], names=["gram", "cell", "node", "n", "pos"])
+                order = np.argsort(count, kind="stable")[:long]
+                place = g[order].astype(np.int64) << 32
+                depth = (size << 32) + np.arange(long, dtype=np.int64)
+                spread = np.where(count[order] > hot, count[order] // hot + 1, 1).astype(np.int64)
+                for i in np.flatnonzero(spread > 1):
+                    k = int(spread[i])
+                    own, other = node % k, np.delete(np.arange(k), node % k)
+                    places.append(place[i] + np.minimum(own, other) * k + np.maximum(own, other) + 1)
+                    nodes.append(np.full(k - 1, node, np.int64))
+                    depths.append(np.full(k - 1, depth[i]))
+                places.append(place + np.where(spread > 1, node % spread * (spread + 1) + 1, 0))
+                nodes.append(np.full(long, node, np.int64))
+                depths.append(depth)
+            if places:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (places, nodes, depths)], names=["place", "node", "depth"])
 
     return run
 
 
 def _meetings(num: int, den: int):
-    """Streams rows sorted by n-gram, cell and size. Gives (a, b, met, least): how often a pair met early enough in both
+    """Streams rows sorted by place and size. Gives (a, b, met, least): how often a pair met early enough in both
     prefixes for the overlap that its sizes need, and how often it must."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,15 +167,15 @@ def _meetings(num: int, den: int):
 
         rest: list[np.ndarray] | None = None
 
-        def work(g: np.ndarray, c: np.ndarray, v: np.ndarray, n: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def work(g: np.ndarray, v: np.ndarray, depth: np.ndarray) -> Iterator[pa.RecordBatch]:
             at, step = np.arange(len(g)), 0
-            n, pos = n.astype(np.int64), pos.astype(np.int64)
+            n, pos = depth >> 32, depth & 0xFFFFFFFF
             while True:
                 step += 1
                 at = at[at + step < len(g)]
                 to = at + step
                 # sizes ascend within a run: beyond the length bound no later member fits
-                keep = (g[to] == g[at]) & (c[to] == c[at]) & (n[at] * den >= n[to] * num)
+                keep = (g[to] == g[at]) & (n[at] * den >= n[to] * num)
                 at, to = at[keep], to[keep]
                 if not len(at):
                     return
@@ -192,7 +189,7 @@ def _meetings(num: int, den: int):
                         yield flush()
 
         for batch in batches:
-            cols = [batch.column(k).to_numpy() for k in ("gram", "cell", "node", "n", "pos")]
+            cols = [batch.column(k).to_numpy() for k in ("place", "node", "depth")]
             if rest is not None:
                 cols = [np.concatenate(x) for x in zip(rest, cols)]
             if not len(cols[0]):
@@ -232,8 +229,8 @@ def node_links(sets: DataFrame, n: int, threshold: tuple[int, int] = (4, 5), hot
     """(a, b, common, union), a < b: every two nodes with Jaccard similarity of at least threshold[0]/threshold[1]."""
     num, den = threshold
     shared = sets.sparkSession.sparkContext.broadcast(_frequencies(sets, n))
-    prefixes = sets.select("node", "words").mapInArrow(_prefixes(shared, n, num, den, hot), "gram int, cell int, node long, n int, pos int")
-    met = prefixes.repartition("gram", "cell").sortWithinPartitions("gram", "cell", "n").mapInArrow(_meetings(num, den), "a long, b long, met int, least int")
+    prefixes = sets.select("node", "words").mapInArrow(_prefixes(shared, n, num, den, hot), "place long, node long, depth long")
+    met = prefixes.repartition("place").sortWithinPartitions("place", "depth").mapInArrow(_meetings(num, den), "a long, b long, met int, least int")
     candidates = written(met.groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("least").alias("least")).where("met >= least").select("a", "b"), "candidates")
     packed = sets.select("node", "words")
     joined = candidates.join(packed.select(F.col("node").alias("a"), F.col("words").alias("wa")), "a").join(packed.select(F.col("node").alias("b"), F.col("words").alias("wb")), "b")
