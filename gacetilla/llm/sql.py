@@ -21,5 +21,13 @@ joined AS (SELECT e.id, string_agg(e.line, chr(10) ORDER BY e.line_no) AS cuerpo
 SELECT e.id, CASE WHEN e.cuerpo IS NULL THEN NULL ELSE coalesce(j.cuerpo, '') END AS cuerpo FROM everything e LEFT JOIN joined j USING (id)"""
 
 
+P9_FOUND = r"""WITH
+d AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+b AS (SELECT item_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS w FROM benchmark WHERE text IS NOT NULL),
+dg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM d),
+bg AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM b)
+SELECT DISTINCT doc_id, item_id FROM dg JOIN bg USING (g)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_FOUND, "p3_clean": P3_CLEAN}
+    return {"p3_found": P3_FOUND, "p3_clean": P3_CLEAN, "p9_found": P9_FOUND}
