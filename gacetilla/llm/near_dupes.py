@@ -232,7 +232,7 @@ def node_links(sets: DataFrame, n: int, threshold: tuple[int, int] = (4, 5), hot
     prefixes = sets.select("node", "words").mapInArrow(_prefixes(shared, n, num, den, hot), "place long, node long, depth long")
     met = prefixes.repartition("place").sortWithinPartitions("place", "depth").mapInArrow(_meetings(num, den), "a long, b long, met int, least int")
     candidates = written(met.groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("least").alias("least")).where("met >= least").select("a", "b"), "candidates")
-    packed = sets.select("node", "words")
+    packed = sets.select("node", "words").dropDuplicates(["node"])  # one of equal sets, map-side first
     joined = candidates.join(packed.select(F.col("node").alias("a"), F.col("words").alias("wa")), "a").join(packed.select(F.col("node").alias("b"), F.col("words").alias("wb")), "b")
     return written(joined.select("a", "b", "wa", "wb").mapInArrow(_verify(n, num, den), "a long, b long, common int, union int").dropDuplicates(["a", "b"]), "links")
 
