@@ -241,29 +241,68 @@ def verified(candidates: DataFrame, heads: DataFrame) -> DataFrame:
     return both.select("id", "words", "other_words").mapInArrow(_same, "id long").distinct()
 
 
+def _seen_before(heads: DataFrame, asked: DataFrame, column: str) -> DataFrame:
+    """(id) of asked entries whose value of the column an earlier entry has."""
+    first = heads.where(F.col(column).isNotNull()).groupBy(column).agg(F.min("lote").alias("first"))
+    return asked.join(first, column).where("first < lote").select("id")
+
+
+def _known(heads: DataFrame, asked: DataFrame, forest: HashForest, similarity: float, recall: float) -> DataFrame:
+    """(id) of asked entries whose story an earlier entry of heads tells."""
+    title = F.when(F.size("words") > 0, F.xxhash64(F.array_join("words", " ")))
+    narrow, short = (df.select("id", "lote", "link", title.alias("title")) for df in (heads, asked))
+    known = written(_seen_before(narrow, short, "link").unionByName(_seen_before(narrow, short, "title")).distinct(), "known")
+    for depth in sorted(forest.depths, reverse=True):
+        open_entries = asked.join(known, "id", "left_anti")
+        known = known.unionByName(written(verified(forest.search(open_entries, depth), heads), "known"))
+        if trees_for(similarity, depth, recall) <= forest.trees:
+            break
+    return known
+
+
 def known_entries(history: DataFrame, batches: DataFrame, similarity: float = 0.6, recall: float = 0.99) -> DataFrame:
     """(key): entries of the batches whose story is in the history or in an earlier batch.
 
     history: (key, titulo, url); batches: (key, lote, titulo, url). Keys are strings, unique over both."""
     heads = tokenized(history.select("key", F.lit(-1).alias("lote"), "titulo", "url").unionByName(batches.select("key", F.col("lote").cast("int").alias("lote"), "titulo", "url")))
-    linked = heads.where("link is not null").select("id", "lote", "link")
-    first = linked.groupBy("link").agg(F.min("lote").alias("first"))
-    by_link = linked.where("lote >= 0").join(first, "link").where("first < lote").select("id")
-    titled = heads.where(F.size("words") > 0).select("id", "lote", F.xxhash64(F.array_join("words", " ")).alias("title"))
-    first_title = titled.groupBy("title").agg(F.min("lote").alias("first"))
-    by_title = titled.where("lote >= 0").join(first_title, "title").where("first < lote").select("id")
-    known = written(by_link.unionByName(by_title).distinct(), "known")
-
     forest = HashForest(heads.sparkSession, f"{shared_folder(heads.sparkSession)}/forest", common_words(heads))
     forest.add(heads)
-    for depth in sorted(DEPTHS, reverse=True):
-        open_entries = heads.where("lote >= 0").join(known, "id", "left_anti")
-        known = known.unionByName(written(verified(forest.search(open_entries, depth), heads), "known"))
-        if trees_for(similarity, depth, recall) <= TREES:
-            break
+    known = _known(heads, heads.where("lote >= 0"), forest, similarity, recall)
     return batches.select("key", F.xxhash64("key").alias("id")).distinct().join(known, "id", "left_semi").select("key")
 
 
+class History:
+    """A growing history: each batch is checked against what was added before, then added as a run of its own.
+
+    Word weights are those of the first records; they only decide how selective the trees are. ``merge_at`` runs are
+    merged into one."""
+
+    def __init__(self, records: DataFrame, folder: str, merge_at: int = 8):
+        first = self._heads(records, -1)
+        self.forest = HashForest(first.sparkSession, folder, common_words(first))
+        self.parts, self.merge_at, self.batches = [first], merge_at, 0
+        self.forest.add(first)
+
+    @staticmethod
+    def _heads(records: DataFrame, lote: int) -> DataFrame:
+        return tokenized(records.select("key", F.lit(lote).alias("lote"), "titulo", "url"))
+
+    def check_and_add(self, batch: DataFrame, similarity: float = 0.6, recall: float = 0.99) -> DataFrame:
+        """(key) of the batch's entries that are known already; the whole batch is then part of the history."""
+        asked = self._heads(batch, self.batches)
+        heads = asked
+        for p in self.parts:
+            heads = heads.unionByName(p)
+        known = written(_known(heads, asked, self.forest, similarity, recall), "known")
+        self.parts.append(asked)
+        self.forest.add(asked)
+        self.batches += 1
+        if len(self.forest.runs) >= self.merge_at:
+            self.forest.merge()
+            self.parts = [written(heads, "headlines")]
+        return batch.select("key", F.xxhash64("key").alias("id")).distinct().join(known, "id", "left_semi").select("key")
+
+
 def new_entries(history: DataFrame, batches: DataFrame, **options) -> DataFrame:
     """The batch rows that are new."""
     return batches.join(known_entries(history, batches, **options), "key", "left_anti")

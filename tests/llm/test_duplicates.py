@@ -131,6 +131,16 @@ def test_known_entries(spark):
     assert {r.key for r in newness.new_entries(h.limit(0), b.where("lote = 1")).collect()} == {r[0] for r in batches if r[1] == 1}
 
 
+def test_growing_history_equals_all_at_once(spark, tmp_path):
+    h = spark.createDataFrame([(f"n{i}", f"{HEAD} {w}", f"http://s.ar/?p={i}") for i, w in enumerate(("alfa", "beta"))], "key string, titulo string, url string")
+    rows = [("a", 0, f"VIDEO. {HEAD} alfa", None), ("b", 0, "uno dos tres cuatro cinco seis siete", "http://o.ar/?p=1"), ("c", 1, "uno dos tres cuatro cinco sies siete", None), ("d", 2, None, "o.ar/?p=1&x=2"), ("e", 2, "otra historia sin nada que ver con nada", None)]
+    b = spark.createDataFrame(rows, "key string, lote int, titulo string, url string")
+    grown = newness.History(h, str(tmp_path), merge_at=3)
+    got = {r.key for k in range(3) for r in grown.check_and_add(b.where(F.col("lote") == k)).collect()}
+    assert got == {r.key for r in newness.known_entries(h, b).collect()} == {"a", "c", "d"}
+    assert len(grown.forest.runs) < 4
+
+
 def test_forest_runs_merge(spark, tmp_path):
     heads = newness.tokenized(spark.createDataFrame([(f"k{i}", i, f"palabra{i % 3} comun otra{i % 3} mas{i % 3}", None) for i in range(9)], "key string, lote int, titulo string, url string"))
     f = newness.HashForest(spark, str(tmp_path), {})
