@@ -148,3 +148,30 @@ def test_stream_stores_each_address_once(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         append_unseen(landed_stream(spark, f"{tmp_path}/in", "card_id long, url string"), f"{tmp_path}/store", f"{tmp_path}/progress", ["card_id"]).awaitTermination()
     assert sorted(r.url for r in spark.read.parquet(f"{tmp_path}/store").collect()) == ["a", "b"]
+
+
+class _Session:
+    """A session without spark.checkpoint.dir."""
+
+    def __init__(self, master):
+        self.conf = type("C", (), {"get": staticmethod(lambda k, d: d)})
+        self.sparkContext = type("S", (), {"master": master, "applicationId": f"app-{master}"})
+
+
+def test_shared_folder_without_setting(spark):
+    assert S.shared_folder(_Session("local[2]")) == S.shared_folder(_Session("local[2]"))
+    with pytest.raises(ValueError):
+        S.shared_folder(_Session("spark://host:7077"))
+    assert S.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_properties(spark, notes):
+    as_of = F.to_timestamp(F.lit("2030-01-01"))
+    assert states(lifecycle.expired(notes, as_of))["d"] == "publicada"
+    cards = spark.createDataFrame([(1, "u"), (2, "u"), (3, "v"), (4, None)], "i int, url string")
+    once = ingest.unseen(cards, spark.createDataFrame([], "url string"), ["i"])
+    assert sorted(r.i for r in once.collect()) == [1, 3]
+    assert ingest.unseen(cards, once.select("url"), ["i"]).count() == 0
+    df = spark.createDataFrame([(1, NOTICES)], "k int, t string")
+    lines = [x for r in services.notices(df, "k", "t").collect() for x in r.cuerpo.split("\n")]
+    assert len(lines) == len(set(lines))
