@@ -15,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from gacetilla.sources.tables import shared_folder  # noqa: F401 - used by the operators
+
 _COMMON = [("á", "a"), ("é", "e"), ("í", "i"), ("ó", "o"), ("ú", "u"), ("ü", "u"), ("ñ", "n"), ("́", "")]
 _PLAIN = set("áéíóúüñ¿¡«»“”‘’…–—•·▸©°ºª§ ́")
 _WORD = re.compile(r"[^\W_]+")
@@ -125,17 +127,6 @@ def article_key(c: Column) -> Column:
     return F.when(n.isNotNull(), F.concat_ws("#", site(c), n)).when(path != "", F.concat(site(c), path))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, else one set here (single machine)."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        import tempfile
-
-        d = tempfile.mkdtemp(prefix="gacetilla-shared-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    return d.rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df computed once, written to the shared folder and read back: lineage is cut, and losing an executor
     costs no recomputation."""
