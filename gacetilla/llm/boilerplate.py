@@ -26,8 +26,8 @@ from gacetilla.llm.lines import page_lines
 from gacetilla.llm.text import article_number, site, source_key, stable_hash, written
 
 PAGE_SCHEMA = "id string, host string, path string, nos array<int>, toks array<long>, sorts array<byte>"
-#: Sorts of lines in a page table.
-PROSE, OWN, KIND = 0, 1, 2
+#: Sorts of lines in a page table: prose, other short lines, lines of a known kind, subheads and lists of an article.
+PROSE, SHORT, KIND, OWN = 0, 1, 2, 3
 
 
 def _signed(h: int) -> int:
@@ -52,7 +52,7 @@ def _paginate(nav: frozenset[str]):
                         h = _signed(stable_hash(token))
                     out.append(h)
                 toks.append(out)
-                sorts.append([KIND if k and k != "own" else OWN if k or len(t) < 60 else PROSE for _, k, t, _ in rows])
+                sorts.append([OWN if k == "own" else KIND if k else SHORT if len(t) < 60 else PROSE for _, k, t, _ in rows])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("host"), batch.column("path"), pa.array(nos, pa.list_(pa.int32())), pa.array(toks, pa.list_(pa.int64())), pa.array(sorts, pa.list_(pa.int8()))],
                 names=["id", "host", "path", "nos", "toks", "sorts"],
@@ -146,18 +146,18 @@ def _flush(shared: dict[int, int]) -> pa.RecordBatch:
     return out
 
 
-def furniture_lines(pages_table: DataFrame, reach: int = 6, partners: int = 2, least_pairs: int = 3, least_rate: float = 0.01) -> DataFrame:
+def furniture_lines(pages_table: DataFrame, reach: int = 6, partners: int = 2, least_pairs: int = 5, least_rate: float = 0.01) -> DataFrame:
     """(id, line_no) of the lines that belong to the site.
 
     A token of a known kind needs one pair of neighbouring pages that share it; a literal line needs
-    ``least_pairs`` pairs and as many as ``least_rate`` of all its occurrences."""
+    ``least_pairs`` pairs and as many as ``least_rate`` of all its occurrences. Subheads and lists of an article are kept."""
     order = pages_table.select("host", "path", "id", "toks", "sorts")
     aligned = (
         order.repartitionByRange("host", "path", "id").sortWithinPartitions("host", "path", "id").select("host", "toks", "sorts")
         .mapInArrow(_differences(reach, partners), "tok long, shared long").groupBy("tok").agg(F.sum("shared").alias("shared"))
     )
     aligned = written(aligned, "aligned")
-    lines = pages_table.select("id", F.explode(F.arrays_zip("nos", "toks", "sorts")).alias("l")).select("id", F.col("l.nos").alias("line_no"), F.col("l.toks").alias("tok"), (F.col("l.sorts") == KIND).alias("known"))
+    lines = pages_table.select("id", F.explode(F.arrays_zip("nos", "toks", "sorts")).alias("l")).where(F.col("l.sorts") != OWN).select("id", F.col("l.nos").alias("line_no"), F.col("l.toks").alias("tok"), (F.col("l.sorts") == KIND).alias("known"))
     counts = lines.select("tok", "known").join(aligned, "tok", "left_semi").groupBy("tok").agg(F.count("*").alias("seen"), F.max("known").alias("known"))
     furniture = aligned.join(counts, "tok").where(F.col("known") | (F.col("shared") >= least_pairs) & (F.col("shared") >= least_rate * F.col("seen"))).select("tok")
     return lines.select("id", "line_no", "tok").join(furniture, "tok", "left_semi").select("id", "line_no").distinct()
