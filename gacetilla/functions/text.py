@@ -129,6 +129,12 @@ def image_path(note_id: Column, url: Column, status: Column, content_type: Colum
     return F.when(ok, F.concat(F.lit("noticias/"), note_id, F.lit("."), image_extension(content_type)))
 
 
+def group_id(leader_url: Column) -> Column:
+    """A group's identifier in UUID form, the same for the same leader in every run."""
+    m = F.md5(F.coalesce(leader_url, F.lit("")).cast("binary"))
+    return F.concat_ws("-", *[F.substring(m, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+
+
 def split_uuid(c: Column) -> Column:
     """struct(head, tail): cut after a leading UUID, else at the first underscore."""
     uuid = (F.char_length(c) > 36) & (F.substring(c, 37, 1) == "_")

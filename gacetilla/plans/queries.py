@@ -204,6 +204,10 @@ def coherence(spark: SparkSession, folder: str) -> DataFrame:
     return _notes(spark, folder).select("id", T.is_coherent(F.col("titulo"), F.col("cuerpo")).alias("coherent"))
 
 
+def group_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return _notes(spark, folder).select("id", T.group_id(F.col("url_original")).alias("group_id"))
+
+
 def masks(spark: SparkSession, folder: str) -> DataFrame:
     return S.table(spark, folder, "part").select("p_partkey", T.masked(F.col("p_name")).alias("masked"))
 
@@ -261,7 +265,7 @@ def stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
 _NAMES = (
     "lifecycle_stats expire_rows discard_orphans discard_siblings front_page_swap publish_rows upsert_by_key rewrite_update raw_insert seed_config last_k point_lookup group_lookup in_list_lookup "
     "active_source_union run_gate known_url_anti url_slug url_domain url_denylist section_normalize title_tokens title_entities query_terms token_idf similar_pairs leader_clusters group_limit stored_once "
-    "source_list versions_concat prompts image_paths image_choice coherence masks message_actions line_segments month_rollup shift_table first_dates json_required article_text stream_dedup"
+    "source_list versions_concat prompts image_paths image_choice coherence group_ids masks message_actions line_segments month_rollup shift_table first_dates json_required article_text stream_dedup"
 ).split()
 
 

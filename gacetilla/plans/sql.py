@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from gacetilla.functions import constants as K
-from gacetilla.functions.text import ACTIONS  # noqa: F401 - the action tested below is one of these
 
 _N = "n AS (SELECT DISTINCT ON (id) * FROM noticias)"
 _S = r"[\s\x{00A0}]"
@@ -137,6 +136,7 @@ g AS (SELECT grupo_id, count(*) AS k, string_agg('[Versión ' || i || ']:' || ch
         "image_paths": rf"WITH {_N}, e AS (SELECT id, imagen_url, regexp_extract(imagen_url, '\.([a-z]+)$', 1) AS x FROM n) SELECT id, CASE WHEN starts_with(imagen_url, 'http') THEN 'noticias/' || id || '.' || CASE WHEN x IN ('png', 'webp', 'gif') THEN x ELSE 'jpg' END END AS path FROM e",
         "image_choice": f"WITH {_N} SELECT id, coalesce(nullif(imagen_url, ''), nullif(url_original, ''), 'none') AS image FROM n",
         "coherence": f"WITH {_N}, w AS (SELECT id, w FROM {_COHERENT} WHERE {short}), c AS (SELECT id, count(*) AS k, count(*) FILTER (contains(lower(cuerpo), w)) AS hit FROM w JOIN n USING (id) GROUP BY id) SELECT id, CASE WHEN coalesce(cuerpo, '') = '' OR k IS NULL THEN true ELSE hit / k >= 0.2 END AS coherent FROM n LEFT JOIN c USING (id)",
+        "group_ids": f"WITH {_N}, h AS (SELECT id, md5(coalesce(url_original, '')) AS m FROM n) SELECT id, m[1:8] || '-' || m[9:12] || '-' || m[13:16] || '-' || m[17:20] || '-' || m[21:32] AS group_id FROM h",
         "masks": "SELECT p_partkey, CASE WHEN coalesce(p_name, '') = '' THEN '(VACÍO)' WHEN length(p_name) <= 6 THEN left(p_name, 2) || '***' ELSE left(p_name, 4) || '...' || right(p_name, 4) END AS masked FROM part",
         "message_actions": f"WITH {_N} SELECT id, 'sec_grupo_set' AS action, grupo_id AS head, coalesce(seccion, '') AS tail FROM n WHERE grupo_id IS NOT NULL",
         "line_segments": f"WITH {_NOTICES} SELECT doc_id, start, nombre, cuerpo, anio, mes FROM notices",

@@ -94,6 +94,18 @@ def test_images_and_cards(spark):
     assert [(r.page_id, r.titulo, r.url, r.imagen_url, r.seccion) for r in rows] == [(1, "Un título largo", "http://s.ar/n/1", "http://s.ar/i.jpg", "Salud")]
 
 
+def test_notice_pages(spark):
+    page = f"<div class='elementor elementor-location-header'>{LONG * 3}</div><div class='elementor'><p>uno</p><p>{LONG * 2}</p></div>"
+    assert html.block_text(page, [".elementor"], "elementor-location-") == f"uno\n{LONG * 2}"
+    assert html.block_text(page, [".otro", ".elementor"], least=1000) is None and html.block_text(None, ["article"]) is None
+    assert one(spark, html.notice_text(F.col("h"), [".elementor"], "elementor-location-"), h=page).startswith("uno")
+    from gacetilla.operators.services import cut_at_markers
+
+    assert one(spark, cut_at_markers(F.col("t")), t="avisos\nNoticias relacionadas\nx") == "avisos\n"
+    assert one(spark, cut_at_markers(F.col("t")), t="Noticias relacionadas y avisos") == "Noticias relacionadas y avisos"
+    assert one(spark, T.group_id(F.col("u")), u="x") == one(spark, T.group_id(F.col("u")), u="x") and len(one(spark, T.group_id(F.col("u")), u=None)) == 36
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.text(max_size=60))
 def test_slug_form(spark, t):
