@@ -70,19 +70,6 @@ def word_table(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), offsets, coded.dictionary.to_pylist()
 
 
-def gram_hashes(texts: list[str], n: int) -> list[np.ndarray]:
-    """For each text the sorted distinct 64-bit hashes of its runs of n consecutive words."""
-    codes, offsets, vocabulary = word_table(texts)
-    if not len(codes):
-        return [np.empty(0, np.uint64) for _ in texts]
-    h = np.array([stable_hash(w) for w in vocabulary], np.uint64)[codes]
-    g = np.zeros(max(0, len(h) - n + 1), np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(n):
-            g = mix(g * np.uint64(3) + h[k : len(h) - n + 1 + k] + np.uint64(k + 1))
-    return [np.unique(g[a : max(a, b - n + 1)]) for a, b in zip(offsets[:-1], offsets[1:])]
-
-
 def clean_space(c: Column) -> Column:
     """White space of any kind trimmed and collapsed to single spaces."""
     return F.trim(F.regexp_replace(c, r"(?U)[\s ]+", " "))

@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from gacetilla.llm import canonical, leakage, packing, repeated_lines, residue, subjects
 from gacetilla.llm.text import words
