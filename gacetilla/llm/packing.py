@@ -131,20 +131,16 @@ def pack(counts: DataFrame, capacity: int = 2048) -> DataFrame:
     )
     pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
     salted = pieces.groupBy("size", "salt").agg(F.count("*").alias("n"))
-    rows = salted.collect()  # at most capacity x SALTS rows
-    total: Counter = Counter()
-    offsets = []
-    for r in sorted(rows, key=lambda r: (r["size"], r["salt"])):
-        offsets.append((r["size"], r["salt"], total[r["size"]]))
-        total[r["size"]] += r["n"]
-    placed = placements(plan(dict(total), capacity))
-    offset = spark.createDataFrame(offsets, "size int, salt int, offset long") if offsets else spark.createDataFrame([], "size int, salt int, offset long")
+    total = {r["size"]: r["n"] for r in salted.groupBy("size").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
+    placed = placements(plan(total, capacity))
+    earlier = Window.partitionBy("size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    offset = salted.select("size", "salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
     runs: dict[int, list] = {}
     for s, a, b, c in placed:
         runs.setdefault(s, []).append((a, b, c))
     by_size = spark.createDataFrame([(s, sorted(v)) for s, v in runs.items()], "size int, runs array<struct<a: long, b: long, c: long>>")
     w = Window.partitionBy("size", "salt").orderBy("doc_id", "piece")
-    ranked = pieces.withColumn("rank", F.row_number().over(w) - 1).join(F.broadcast(offset), ["size", "salt"]).withColumn("rank", F.col("rank") + F.col("offset"))
+    ranked = pieces.withColumn("rank", F.row_number().over(w) - 1).join(offset, ["size", "salt"]).withColumn("rank", F.col("rank") + F.col("offset"))
     run = F.element_at(F.filter("runs", lambda r: (r["a"] <= F.col("rank")) & (F.col("rank") <= r["b"])), 1)
     return ranked.join(F.broadcast(by_size), "size").select("doc_id", "piece", "first_token", F.col("size").alias("tokens"), run.alias("r"), "rank").select("doc_id", "piece", "first_token", "tokens", (F.col("r.c") + F.col("rank") - F.col("r.a")).alias("container"))
 
