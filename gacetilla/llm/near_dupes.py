@@ -8,7 +8,7 @@ whose lengths do not allow t, that meet too deep, or that meet fewer than k time
 less). The overlap of the others is counted over the whole sets. Nothing is lost: the order decides the work, not the result.
 
 Identical sets are one node, however many records share it. The n-gram frequencies behind the order are counted over
-all records, in 2^23 counters, a size that does not depend on the data; n-grams that share a counter only change the order.
+all records, in 2^21 counters, a size that does not depend on the data; n-grams that share a counter only change the order.
 
 Scale: one Arrow pass over the texts; words are written once as packed 32-bit hashes. The join shuffles one small row
 for each n-gram of a prefix. Members of an n-gram are sorted by size and crossed step by step within the length bound;
@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, functions as F
 from gacetilla.llm.lines import main_lines
 from gacetilla.llm.text import mix, stable_hash, word_table, written
 
-BUCKETS = 1 << 23
-CHUNK = 1 << 15
+BUCKETS = 1 << 21
+CHUNK = 1 << 13
 #: n-grams that two records must share within their prefixes to become a candidate pair.
 MEETINGS = 5
 
