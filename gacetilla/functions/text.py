@@ -85,11 +85,7 @@ def url_domain(url: Column) -> Column:
 
 
 def is_article_url(url: Column) -> Column:
-    low = F.lower(url)
-    hit = F.lit(False)
-    for part in K.NOT_ARTICLES:
-        hit = hit | F.contains(low, F.lit(part))
-    return ~hit
+    return ~F.lower(url).rlike("|".join(rf"\Q{part}\E" for part in K.NOT_ARTICLES))
 
 
 def query_terms(c: Column, most: int = 3) -> Column:
