@@ -4,14 +4,14 @@ Pages are sorted by site and address; each page is aligned with its nearest neig
 by longest common subsequence over its lines. What two neighbouring pages share belongs to the site. The
 alignment works on line tokens (``lines.page_lines``), so that a byline or a counter aligns although its
 name or figure differs; prose aligns only word for word, and neighbours that carry the same story are no
-evidence. A token is furniture if pages shared it often enough; its lines are then deleted everywhere.
+evidence. A token is furniture of a site if pages of that site shared it often enough; its lines are then deleted there.
 
 Scale: one pass over the texts in Arrow batches leaves eight bytes a line; that table is written once,
 range-partitioned by site and address (a site with a third of all pages is split), and read for the
 alignment and for the result. Nothing is collected; the furniture tokens are joined, not broadcast by force.
 
 Defined results: null, empty and blank texts have no lines; a page without address takes its source as
-site; repeated rows give one result; a page without a comparable neighbour is judged by what other pages share.
+site; repeated rows give one result and no evidence; a site with few comparable pages is judged by what pages of all sites share.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gacetilla.llm.lines import page_lines
 from gacetilla.llm.text import article_number, site, source_key, stable_hash, written
@@ -110,29 +110,48 @@ def common_subsequence(a: list[int], b: list[int]) -> list[int]:
 def _differences(reach: int, partners: int):
     """Compares each page with the nearest earlier pages of its site in a partition sorted by site and address.
 
-    Looks back over ``reach`` pages for ``partners`` that carry another story."""
+    Looks back over ``reach`` pages for ``partners`` that carry another story, and for each line of a known kind to the
+    nearest earlier page of the site that has a line of this kind and another story, however far: a rare kind is never
+    met next door. A pair counts once for a token. The row with a null token counts the compared pages of a site."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared: dict[int, int] = {}
+        shared: dict[tuple[str, int | None], int] = {}
         recent: deque = deque(maxlen=reach)
-        site_now = None
+        carriers: dict[int, deque] = {}
+        site_now = page_now = None
         for batch in batches:
-            for host, toks, sorts in zip(batch.column("host").to_pylist(), batch.column("toks").to_pylist(), batch.column("sorts").to_pylist()):
+            for host, page, toks, sorts in zip(*(batch.column(c).to_pylist() for c in ("host", "id", "toks", "sorts"))):
                 if host != site_now:
-                    site_now = host
+                    site_now, page_now = host, None
                     recent.clear()
+                    carriers.clear()
+                if page == page_now:
+                    continue  # delivered again
+                page_now = page
                 prose = {t for t, s in zip(toks, sorts) if s == PROSE}
+                kinds = {t for t, s in zip(toks, sorts) if s == KIND}
+                met: set[int] = set()
                 used = 0
                 for other, other_prose in reversed(recent):
-                    same = len(prose & other_prose)
-                    if same and same * 3 >= min(len(prose), len(other_prose)):
+                    if _same_story(prose, other_prose):
                         continue
                     for t in set(common_subsequence(toks, other)):
-                        shared[t] = shared.get(t, 0) + 1
+                        shared[host, t] = shared.get((host, t), 0) + 1
+                        met.add(t)
                     used += 1
                     if used == partners:
                         break
+                if used:
+                    shared[host, None] = shared.get((host, None), 0) + 1
+                for t in kinds - met:
+                    for other, other_prose in reversed(carriers.get(t, ())):
+                        if not _same_story(prose, other_prose):
+                            if t in common_subsequence(toks, other):
+                                shared[host, t] = shared.get((host, t), 0) + 1
+                            break
                 recent.append((toks, prose))
+                for t in kinds:
+                    carriers.setdefault(t, deque(maxlen=reach)).append((toks, prose))
             if len(shared) > 200_000:
                 yield _flush(shared)
         yield _flush(shared)
@@ -140,27 +159,43 @@ def _differences(reach: int, partners: int):
     return run
 
 
-def _flush(shared: dict[int, int]) -> pa.RecordBatch:
-    out = pa.RecordBatch.from_arrays([pa.array(list(shared), pa.int64()), pa.array(list(shared.values()), pa.int64())], names=["tok", "shared"])
+def _same_story(prose: set[int], other: set[int]) -> bool:
+    same = len(prose & other)
+    return same > 0 and same * 3 >= min(len(prose), len(other))
+
+
+def _flush(shared: dict[tuple[str, int | None], int]) -> pa.RecordBatch:
+    out = pa.RecordBatch.from_arrays([pa.array([h for h, _ in shared], pa.string()), pa.array([t for _, t in shared], pa.int64()), pa.array(list(shared.values()), pa.int64())], names=["host", "tok", "shared"])
     shared.clear()
     return out
 
 
-def furniture_lines(pages_table: DataFrame, reach: int = 6, partners: int = 2, least_pairs: int = 5, least_rate: float = 0.01) -> DataFrame:
+def furniture_lines(pages_table: DataFrame, reach: int = 6, partners: int = 2, least_pairs: int = 5, least_rate: float = 0.01, least_kind_rate: float = 0.002, least_compared: int = 50) -> DataFrame:
     """(id, line_no) of the lines that belong to the site.
 
-    A token of a known kind needs one pair of neighbouring pages that share it; a literal line needs
-    ``least_pairs`` pairs and as many as ``least_rate`` of all its occurrences. Subheads and lists of an article are kept."""
+    Each site decides by its own pages: a token of a known kind needs as many pairs that share it as ``least_kind_rate`` of
+    the site's compared pages, and one at least; a literal line needs ``least_pairs`` pairs and as many as ``least_rate`` of
+    its occurrences there. Sites of fewer than ``least_compared`` compared pages take the same rules over the pages of all
+    sites. Subheads and lists of an article are kept."""
     order = pages_table.select("host", "path", "id", "toks", "sorts")
     aligned = (
-        order.repartitionByRange("host", "path", "id").sortWithinPartitions("host", "path", "id").select("host", "toks", "sorts")
-        .mapInArrow(_differences(reach, partners), "tok long, shared long").groupBy("tok").agg(F.sum("shared").alias("shared"))
+        order.repartitionByRange("host", "path", "id").sortWithinPartitions("host", "path", "id").select("host", "id", "toks", "sorts")
+        .mapInArrow(_differences(reach, partners), "host string, tok long, shared long").groupBy("host", "tok").agg(F.sum("shared").alias("shared"))
     )
     aligned = written(aligned, "aligned")
-    lines = pages_table.select("id", F.explode(F.arrays_zip("nos", "toks", "sorts")).alias("l")).where(F.col("l.sorts") != OWN).select("id", F.col("l.nos").alias("line_no"), F.col("l.toks").alias("tok"), (F.col("l.sorts") == KIND).alias("known"))
-    counts = lines.select("tok", "known").join(aligned, "tok", "left_semi").groupBy("tok").agg(F.count("*").alias("seen"), F.max("known").alias("known"))
-    furniture = aligned.join(counts, "tok").where(F.col("known") | (F.col("shared") >= least_pairs) & (F.col("shared") >= least_rate * F.col("seen"))).select("tok")
-    return lines.select("id", "line_no", "tok").join(furniture, "tok", "left_semi").select("id", "line_no").distinct()
+    sites = aligned.where("tok is null").select("host", F.col("shared").alias("compared"))
+    shares = aligned.where("tok is not null")
+    lines = pages_table.select("id", "host", F.explode(F.arrays_zip("nos", "toks", "sorts")).alias("l")).where(F.col("l.sorts") != OWN).select("id", "host", F.col("l.nos").alias("line_no"), F.col("l.toks").alias("tok"), (F.col("l.sorts") == KIND).alias("known"))
+    seen = lines.select("host", "tok", "known").join(shares.select("tok").distinct(), "tok", "left_semi").groupBy("host", "tok").agg(F.count("*").alias("seen"), F.max("known").alias("known"))
+    own = seen.join(shares, ["host", "tok"], "left").join(sites, "host", "left").fillna(0, ["shared", "compared"])
+    own = written(own.select("host", "tok", "known", "seen", "shared", "compared"), "shares")
+    pooled = own.groupBy("tok").agg(F.sum("shared").alias("all_shared"), F.sum("seen").alias("all_seen")).crossJoin(sites.agg(F.sum("compared").alias("all_compared")))
+
+    def enough(shared: str, seen: str, compared: str) -> Column:
+        return F.when(F.col("known"), F.col(shared) >= F.greatest(F.lit(1.0), least_kind_rate * F.col(compared))).otherwise((F.col(shared) >= least_pairs) & (F.col(shared) >= least_rate * F.col(seen)))
+
+    furniture = own.join(pooled, "tok").where(F.when(F.col("compared") >= least_compared, enough("shared", "seen", "compared")).otherwise(enough("all_shared", "all_seen", "all_compared"))).select("host", "tok")
+    return lines.select("id", "host", "line_no", "tok").join(furniture, ["host", "tok"], "left_semi").select("id", "line_no").distinct()
 
 
 def find_boilerplate(notes: DataFrame, nav: frozenset[str], **options) -> DataFrame:

@@ -90,3 +90,17 @@ def test_boilerplate(spark):
     clean = {r.id: r.cuerpo for r in main_text(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(found, "id string, line_no int")).collect()}
     assert clean["03"] == rows[3][1].split("\n")[0] and clean["n"] is None and clean["e"] == ""
     assert find_boilerplate(spark.createDataFrame([], SCHEMA), NAV).count() == 0
+
+
+def test_each_site_decides_by_its_own_pages(spark):
+    def page(i, host, *more):
+        name = "".join(chr(97 + int(d)) for d in f"{i:03d}") * 3
+        return (f"{host}{i:03d}", "\n".join([f"La nota {name} cuenta con detalle lo que pasó en {host} con los vecinos de {name}.", *more]), f"http://{host}/?p={i}", "S", 1)
+
+    carrier = [page(i, "a.ar", *["380 lecturas"][: i in (0, 1, 40, 80)]) for i in range(120)]  # mostly too rare to be met next door
+    plain = [page(i, "b.ar", *["12 comentarios"][: i == 40]) for i in range(120)]
+    twice = [("b.ar900", "Por Ana Paz, para El Sitio", "http://b.ar/?p=900", "S", 1)] * 2
+    rows = carrier + plain + twice + [page(0, "c.ar", "525 lecturas")]
+    found = sorted(map(tuple, find_boilerplate(spark.createDataFrame(rows, SCHEMA), NAV).collect()))
+    assert found == sorted([(f"a.ar{i:03d}", 2) for i in (0, 1, 40, 80)] + [("c.ar000", 2)])
+    assert find_boilerplate(spark.createDataFrame(carrier, SCHEMA), NAV, least_kind_rate=0.04).count() == 0
