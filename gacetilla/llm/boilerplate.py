@@ -110,9 +110,9 @@ def common_subsequence(a: list[int], b: list[int]) -> list[int]:
 def _differences(reach: int, partners: int):
     """Compares each page with the nearest earlier pages of its site in a partition sorted by site and address.
 
-    Looks back over ``reach`` pages for ``partners`` that carry another story, and for each line of a known kind to the
-    nearest earlier page of the site that has a line of this kind and another story, however far: a rare kind is never
-    met next door. A pair counts once for a token. The row with a null token counts the compared pages of a site."""
+    Looks back over ``reach`` pages for ``partners`` that carry another story, and for each line of a known kind and each
+    recurrent line to the nearest earlier page of the site that has it and another story, however far: what is rare is
+    never met next door. A pair counts once for a token. The row with a null token counts the compared pages of a site."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared: dict[tuple[str, int | None], int] = {}
@@ -120,7 +120,7 @@ def _differences(reach: int, partners: int):
         carriers: dict[int, deque] = {}
         site_now = page_now = None
         for batch in batches:
-            for host, page, toks, sorts in zip(*(batch.column(c).to_pylist() for c in ("host", "id", "toks", "sorts"))):
+            for host, page, toks, sorts, recurrent in zip(*(batch.column(c).to_pylist() for c in ("host", "id", "toks", "sorts", "recurrent"))):
                 if host != site_now:
                     site_now, page_now = host, None
                     recent.clear()
@@ -128,12 +128,14 @@ def _differences(reach: int, partners: int):
                 if page == page_now:
                     continue  # delivered again
                 page_now = page
+                site_lines = set(recurrent or ())
                 prose = {t for t, s in zip(toks, sorts) if s == PROSE}
-                kinds = {t for t, s in zip(toks, sorts) if s == KIND}
+                story = prose, prose - site_lines or {t for t, s in zip(toks, sorts) if s == SHORT} - site_lines
+                kinds = {t for t, s in zip(toks, sorts) if s == KIND} | site_lines
                 met: set[int] = set()
                 used = 0
-                for other, other_prose in reversed(recent):
-                    if _same_story(prose, other_prose):
+                for other, other_story in reversed(recent):
+                    if _same_story(story, other_story):
                         continue
                     for t in set(common_subsequence(toks, other)):
                         shared[host, t] = shared.get((host, t), 0) + 1
@@ -144,14 +146,14 @@ def _differences(reach: int, partners: int):
                 if used:
                     shared[host, None] = shared.get((host, None), 0) + 1
                 for t in kinds - met:
-                    for other, other_prose in reversed(carriers.get(t, ())):
-                        if not _same_story(prose, other_prose):
+                    for other, other_story in reversed(carriers.get(t, ())):
+                        if not _same_story(story, other_story):
                             if t in common_subsequence(toks, other):
                                 shared[host, t] = shared.get((host, t), 0) + 1
                             break
-                recent.append((toks, prose))
+                recent.append((toks, story))
                 for t in kinds:
-                    carriers.setdefault(t, deque(maxlen=reach)).append((toks, prose))
+                    carriers.setdefault(t, deque(maxlen=reach)).append((toks, story))
             if len(shared) > 200_000:
                 yield _flush(shared)
         yield _flush(shared)
@@ -159,9 +161,16 @@ def _differences(reach: int, partners: int):
     return run
 
 
-def _same_story(prose: set[int], other: set[int]) -> bool:
-    same = len(prose & other)
-    return same > 0 and same * 3 >= min(len(prose), len(other))
+def _same_story(a: tuple[set[int], set[int]], b: tuple[set[int], set[int]]) -> bool:
+    """Whether two pages, each given by its prose and its lines that do not recur over the site, tell one story.
+
+    Recurrent lines alone make no story, unless there are three and they are most of a page or nothing else is there."""
+    (prose, own), (other_prose, other_own) = a, b
+    both = len(prose & other_prose)
+    if not own or not other_own:
+        return both > 0 and both * 3 >= min(len(prose), len(other_prose))
+    same = len(own & other_own)
+    return same > 0 and same * 3 >= min(len(own), len(other_own)) or both >= 3 and both * 2 > min(len(prose), len(other_prose))
 
 
 def _flush(shared: dict[tuple[str, int | None], int]) -> pa.RecordBatch:
@@ -170,16 +179,25 @@ def _flush(shared: dict[tuple[str, int | None], int]) -> pa.RecordBatch:
     return out
 
 
-def furniture_lines(pages_table: DataFrame, reach: int = 6, partners: int = 2, least_pairs: int = 5, least_rate: float = 0.01, least_kind_rate: float = 0.002, least_compared: int = 50) -> DataFrame:
+def recurrent_lines(pages_table: DataFrame, many: int) -> DataFrame:
+    """(id, recurrent): the literal lines of each page that stand on at least ``many`` pages of its site."""
+    literal = pages_table.select("id", "host", F.explode(F.arrays_zip("toks", "sorts")).alias("l")).where(F.col("l.sorts").isin(PROSE, SHORT)).select("id", F.col("l.toks").alias("tok"), F.xxhash64("host", "l.toks").alias("key"))
+    often = literal.groupBy("key").count().where(F.col("count") >= many).select("key")
+    held = literal.join(often, "key", "left_semi").distinct()
+    return held.join(held.groupBy("key").count().where(F.col("count") >= many).select("key"), "key", "left_semi").groupBy("id").agg(F.collect_set("tok").alias("recurrent"))
+
+
+def furniture_lines(pages_table: DataFrame, reach: int = 6, partners: int = 2, least_pairs: int = 5, least_rate: float = 0.01, least_kind_rate: float = 0.002, least_compared: int = 50, many: int = 10) -> DataFrame:
     """(id, line_no) of the lines that belong to the site.
 
     Each site decides by its own pages: a token of a known kind needs as many pairs that share it as ``least_kind_rate`` of
-    the site's compared pages, and one at least; a literal line needs ``least_pairs`` pairs and as many as ``least_rate`` of
-    its occurrences there. Sites of fewer than ``least_compared`` compared pages take the same rules over the pages of all
+    the site's compared pages, and one at least; a literal line needs ``least_pairs`` pairs (on sites of fewer than 20 times
+    as many compared pages one in 20 of these) and as many as ``least_rate`` of its occurrences there. Literal lines on
+    ``many`` pages of a site do not tell that two pages carry one story. Sites of fewer than ``least_compared`` compared pages take the same rules over the pages of all
     sites. Subheads and lists of an article are kept."""
-    order = pages_table.select("host", "path", "id", "toks", "sorts")
+    order = pages_table.select("host", "path", "id", "toks", "sorts").join(recurrent_lines(pages_table, many), "id", "left")
     aligned = (
-        order.repartitionByRange("host", "path", "id").sortWithinPartitions("host", "path", "id").select("host", "id", "toks", "sorts")
+        order.repartitionByRange("host", "path", "id").sortWithinPartitions("host", "path", "id").select("host", "id", "toks", "sorts", "recurrent")
         .mapInArrow(_differences(reach, partners), "host string, tok long, shared long").groupBy("host", "tok").agg(F.sum("shared").alias("shared"))
     )
     aligned = written(aligned, "aligned")
@@ -192,7 +210,7 @@ def furniture_lines(pages_table: DataFrame, reach: int = 6, partners: int = 2, l
     pooled = own.groupBy("tok").agg(F.sum("shared").alias("all_shared"), F.sum("seen").alias("all_seen")).crossJoin(sites.agg(F.sum("compared").alias("all_compared")))
 
     def enough(shared: str, seen: str, compared: str) -> Column:
-        return F.when(F.col("known"), F.col(shared) >= F.greatest(F.lit(1.0), least_kind_rate * F.col(compared))).otherwise((F.col(shared) >= least_pairs) & (F.col(shared) >= least_rate * F.col(seen)))
+        return F.when(F.col("known"), F.col(shared) >= F.greatest(F.lit(1.0), least_kind_rate * F.col(compared))).otherwise((F.col(shared) >= F.least(F.lit(float(least_pairs)), F.col(compared) / 20)) & (F.col(shared) >= least_rate * F.col(seen)))
 
     furniture = own.join(pooled, "tok").where(F.when(F.col("compared") >= least_compared, enough("shared", "seen", "compared")).otherwise(enough("all_shared", "all_seen", "all_compared"))).select("host", "tok")
     return lines.select("id", "host", "line_no", "tok").join(furniture, ["host", "tok"], "left_semi").select("id", "line_no").distinct()

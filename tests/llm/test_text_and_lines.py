@@ -104,3 +104,19 @@ def test_each_site_decides_by_its_own_pages(spark):
     found = sorted(map(tuple, find_boilerplate(spark.createDataFrame(rows, SCHEMA), NAV).collect()))
     assert found == sorted([(f"a.ar{i:03d}", 2) for i in (0, 1, 40, 80)] + [("c.ar000", 2)])
     assert find_boilerplate(spark.createDataFrame(carrier, SCHEMA), NAV, least_kind_rate=0.04).count() == 0
+
+
+def test_notice_on_a_site_of_short_notes(spark):
+    notice = "Esta casa edita todas las tardes un boletín en papel para quienes no tienen pantalla en el barrio."
+    few = "El archivo de láminas de la ciudad se abre a quien lo pida con tiempo en la sala del primer piso."
+
+    def page(i):
+        name = "".join(chr(97 + int(d)) for d in f"{i:03d}") * 3
+        own = [f"La nota {name} cuenta con detalle lo que pasó en la ciudad con los vecinos de {name}."] if i % 3 else [f"Breve de {name}"]
+        return (f"{i:03d}", "\n".join([*own, notice, *([few] if i % 13 == 0 else [])]), f"http://s.ar/?p={i}", "S", 1)
+
+    story = [f"El relato {k} de los copistas de la villa dice lo mismo en todas partes y no cambia." for k in "abc"]
+    copies = [(f"k{i}", "\n".join([*story, notice]), f"http://s.ar/?p={500 + i}", "S", 1) for i in range(8)]
+    rows = [page(i) for i in range(140)] + copies
+    found = sorted(map(tuple, find_boilerplate(spark.createDataFrame(rows, SCHEMA), NAV).collect()))
+    assert found == sorted([(f"{i:03d}", 2) for i in range(140)] + [(f"{i:03d}", 3) for i in range(0, 140, 13)] + [(f"k{i}", 4) for i in range(8)])
