@@ -12,12 +12,15 @@ from gacetilla.llm.text import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: The canonical list of sections is a fixed list kept by hand; it is read whole up to this many rows.
+#: The canonical list of sections is a fixed list kept by hand; it is read whole; more rows than these raise an error.
 MAX_SECTIONS = 10_000
 
 
 def navigation(spark: SparkSession, folder: str) -> frozenset[str]:
-    return nav_words(table(spark, folder, "secciones").select("nombre", "alias").limit(MAX_SECTIONS).collect())
+    rows = table(spark, folder, "secciones").select("nombre", "alias").limit(MAX_SECTIONS + 1).collect()
+    if len(rows) > MAX_SECTIONS:
+        raise ValueError(f"more than {MAX_SECTIONS} sections")
+    return nav_words(rows)
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:

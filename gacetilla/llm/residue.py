@@ -66,9 +66,24 @@ def _quoted(line: str, at: int) -> bool:
 #: A line without any of these holds no placeholder; the same for filler below.
 _HINT = re.compile(r"[\[{<%$#@]|__|&lt;|[Xx]/|tk tk|undefined|null null|nan nan", re.I)
 _LATIN_HINTS, _MASH_HINTS = ("ipsum", "lorem", "amet", "commodo", "cillum"), ("asdf", "xxx", "qwert", "aaa", "bla", "test", "texto", "foo")
+#: No script notice is without one of these.
+_SCRIPT_HINTS = ("script", "robot", "captcha", "browser", "ddos", "seguridad", "human", "moment")
+_SENTENCE_ENDS = re.compile(r"[.!?…][)\]]* +| [|»·-] ")
 _SAMPLE_HINTS = ("ejemplo", "prueba", "relleno", "simulad", "borrar antes", "va el", "va la")
 
 
+def _sentence_evidence(f: str) -> bool:
+    """Whether a sentence of a long line, outside quotation marks, is nothing but an error message or a script notice."""
+    script = any(h in f for h in _SCRIPT_HINTS)
+    at = 0
+    for end in [*(m.end() for m in _SENTENCE_ENDS.finditer(f)), len(f)]:
+        core = _EDGES.sub("", f[at:end])
+        if core and len(core) <= 220 and not any(q in core for q in '"“«') and not _quoted(f, at) and (_ERROR.fullmatch(core) or script and _SCRIPT.fullmatch(core)):
+            return True
+        at = end
+    return False
+
+
 def line_evidence(line: str, folded: str | None = None) -> int:
     """STRONG, WEAK, FORM (one heading of an empty form) or 0."""
     if _HINT.search(line):
@@ -87,7 +102,7 @@ def line_evidence(line: str, folded: str | None = None) -> int:
     if any(h in f for h in _SAMPLE_HINTS) and (m := _SAMPLE.search(f)) and not _quoted(f, m.start()):
         return STRONG
     if len(f) > 240:
-        return 0
+        return STRONG if _sentence_evidence(f) else 0
     core = _EDGES.sub("", f)
     if not core or len(core) > 220 or '"' in core or "“" in core or "«" in core:
         return 0

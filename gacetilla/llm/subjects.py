@@ -173,9 +173,11 @@ def latent_accuracies(patterns: dict[int, int], k: int, rounds: int = 25) -> dic
     return dict(zip(codes, post))
 
 
-def fit_lexicon(notes: DataFrame, labels: DataFrame, themes: DataFrame, nav: frozenset[str], max_labelled: int = 4000) -> Lexicon:
+def fit_lexicon(notes: DataFrame, labels: DataFrame, themes: DataFrame, nav: frozenset[str], max_labelled: int = 4000, max_themes: int = 1000) -> Lexicon:
     """The lexicon from at most ``max_labelled`` labelled documents, taken by hash of their id."""
-    names = themes.limit(1000).collect()
+    names = themes.limit(max_themes + 1).collect()
+    if len(names) > max_themes:
+        raise ValueError(f"more than {max_themes} subjects")
     subjects = sorted(r["tema_id"] for r in names)
     seeds = {r["tema_id"]: words(f"{r['nombre']} {r['descripcion'] or ''}") for r in names}
     sample = labels.where("id is not null and tema_id is not null").groupBy("id").agg(F.collect_set("tema_id").alias("temas")).orderBy(F.xxhash64("id"), "id").limit(max_labelled)

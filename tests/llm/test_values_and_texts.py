@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from gacetilla.llm import canonical, leakage, packing, repeated_lines, residue, subjects
+from gacetilla.llm import canonical, leakage, packing, queries, repeated_lines, residue, subjects
 from gacetilla.llm.text import words
 
 NAV = frozenset({"menu"})
@@ -165,3 +165,21 @@ def test_residue(spark):
     df = spark.createDataFrame([(*r, 1) for r in rows + rows[20:22]], "doc_id long, source string, text string, n int")
     assert sorted(r.doc_id for r in residue.find_residue(df).collect()) == [50, 51, 52, 57]
     assert residue.find_residue(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("line", ["Error 404. Página no encontrada.", "Por favor, habilite JavaScript para ver esta página.", "| 503 Service Unavailable |"])
+def test_evidence_in_a_long_line(line):
+    assert residue.line_evidence(f"{ARTICLE}{line} {ARTICLE}") == residue.STRONG
+    assert residue.line_evidence(f'{ARTICLE}Decía: "Hola. {line} Chau." {ARTICLE}') == 0
+    assert residue.line_evidence(f"{ARTICLE}Ana contó que vio durante horas el cartel de error 404 y el de JavaScript. {ARTICLE}") == 0
+
+
+def test_more_entries_than_allowed_raise(spark, tmp_path, monkeypatch):
+    notes = spark.createDataFrame([], "id string, cuerpo string, seccion string, url_original string, fuente string")
+    themes = spark.createDataFrame([(i, "a", None) for i in range(3)], "tema_id int, nombre string, descripcion string")
+    with pytest.raises(ValueError):
+        subjects.fit_lexicon(notes, spark.createDataFrame([], "id string, tema_id int"), themes, NAV, max_themes=2)
+    spark.createDataFrame([("a", None), ("b", None)], "nombre string, alias array<string>").write.parquet(f"{tmp_path}/secciones.parquet")
+    monkeypatch.setattr(queries, "MAX_SECTIONS", 1)
+    with pytest.raises(ValueError):
+        queries.navigation(spark, str(tmp_path))
