@@ -20,6 +20,7 @@ twice counts once; similarity is compared as an exact fraction.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -245,12 +246,13 @@ def near_pairs(sets: DataFrame, links: DataFrame) -> DataFrame:
     return twins.unionByName(x.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")))
 
 
-def components(links: DataFrame, nodes: DataFrame, rounds: int = 30) -> DataFrame:
+def components(links: DataFrame, nodes: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, class): the least node reachable over links, by alternating large-star and small-star steps.
 
-    Each round is written; rounds end when nothing changes. No component is ever held by one task."""
+    Each round is written; rounds end when nothing changes, or raise an error after ``rounds`` if that is given. No
+    component is ever held by one task."""
     edges = written(links.select(F.col("b").alias("u"), F.col("a").alias("v")), "stars")
-    for _ in range(rounds):
+    for done in itertools.count(1):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).distinct()
@@ -259,6 +261,8 @@ def components(links: DataFrame, nodes: DataFrame, rounds: int = 30) -> DataFram
         new = written(small, "stars")
         if new.count() == edges.count() and new.exceptAll(edges).isEmpty():
             break
+        if done == rounds:
+            raise RuntimeError(f"components still change after {rounds} rounds")
         edges = new
     return nodes.select("node").distinct().join(edges.groupBy("u").agg(F.min("v").alias("class")), F.col("node") == F.col("u"), "left").select("node", F.coalesce("class", "node").alias("class"))
 

@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from gacetilla.llm import golden, near_dupes, newness
@@ -154,3 +155,12 @@ def test_forest_runs_merge(spark, tmp_path):
 def test_trees_for():
     t = newness.trees_for(0.6, 2, 0.99)
     assert 1 - (1 - 0.36) ** t >= 0.99 > 1 - (1 - 0.36) ** (t - 1)
+
+
+def test_components_are_whole_or_an_error(spark):
+    order = random.Random(5).sample(range(200), 200)
+    links = spark.createDataFrame([(min(a, b), max(a, b)) for a, b in zip(order, order[1:])], "a long, b long")
+    nodes = spark.createDataFrame([(i,) for i in range(200)], "node long")
+    assert {r["class"] for r in near_dupes.components(links, nodes).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        near_dupes.components(links, nodes, rounds=1)
