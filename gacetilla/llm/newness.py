@@ -3,7 +3,7 @@
 A headline becomes several signatures, one for each tree: its words in an order drawn by weighted sampling (a
 word's weight is its inverse document frequency), so that two headlines agree on the first word of a tree with about the
 probability of their weighted similarity, and on the first two with its square. The history is kept as runs: for each
-tree the signatures as keys of fixed depth, sorted. A batch is located by a range search on its keys at the full depth;
+tree the signatures as keys of fixed depth, sorted. A batch is joined with all runs on equal keys at the full depth;
 entries without a verified match are searched again with the prefix shortened by one word, until the chance of missing
 a headline of the stated similarity is below the recall target. Candidates whose figures or word bits rule them out are
 dropped at once, the others are verified word by word. Runs are merged
@@ -11,8 +11,8 @@ when there are many.
 
 Addresses are looked up first: the same site and article number (or path) is the same story.
 
-Scale: a batch reads the history's keys of its trees, never its texts; runs are written by tree and sorted by key, so a
-range search prunes row groups. Only words in more than one of a thousand headlines get an individual weight: at most
+Scale: each search reads the keys of the whole history, verification its words and the address lookup its links; the
+queries check all batches in one pass over one run, so the history is not read again for each batch. Only words in more than one of a thousand headlines get an individual weight: at most
 (words a headline) x 1000 of them whatever the size of the history, the bound of the broadcast table.
 
 Defined results: null and blank titles are found by address only, null addresses by title only; ties do not matter,
