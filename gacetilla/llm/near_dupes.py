@@ -1,9 +1,9 @@
 """Near-duplicate records by a prefix join over globally ordered n-gram sets.
 
 A record is the set of runs of n consecutive words in its text. All sets follow one global order, rare n-grams
-first, as the paths of a trie do. If sizes x and y need an overlap of o for similarity t, the first k n-grams in common lie
+first, as the paths of a trie would; no trie is built. If sizes x and y need an overlap of o for similarity t, the first k n-grams in common lie
 within the first x - o + k of the one and y - o + k of the other, for else the remaining lengths could no longer reach
-o. So only paths to the depth x - ceil(t x) + k are stored and traversed; of the pairs that meet, those are pruned
+o. So only the first x - ceil(t x) + k n-grams are stored, a row each, and joined; of the pairs that meet, those are pruned
 whose lengths do not allow t, that meet too deep, or that meet fewer than k times (k is MEETINGS, or o where that is
 less). The overlap of the others is counted over the whole sets. Nothing is lost: the order decides the work, not the result.
 
