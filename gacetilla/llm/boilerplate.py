@@ -1,14 +1,18 @@
 """Main content of pages by nearest-URL page differencing.
 
-Pages are sorted by site and address; each page is aligned with its nearest neighbours of the same site
-by longest common subsequence over its lines. What two neighbouring pages share belongs to the site. The
-alignment works on line tokens (``lines.page_lines``), so that a byline or a counter aligns although its
-name or figure differs; prose aligns only word for word, and neighbours that carry the same story are no
-evidence. A token is furniture of a site if pages of that site shared it often enough; its lines are then deleted there.
+Pages are sorted by site and address; each page is aligned with its nearest neighbours of the same site by longest common
+subsequence over its lines. Two lines align if they share a token (``lines``): they are word for word the same but for
+figures, or have the same opening, the same shape around other names, the same closing, or follow the same line. What
+neighbouring pages share belongs to the site. Pages that carry the same story are no pair; a token that the next
+neighbours lack is looked for in the nearest earlier page of the site that has it.
 
-Scale: one pass over the texts in Arrow batches leaves eight bytes a line; that table is written once,
-range-partitioned by site and address (a site with a third of all pages is split), and read for the
-alignment and for the result. Nothing is collected; the furniture tokens are joined, not broadcast by force.
+Each site decides by its own pages: a token's lines are deleted on the sites whose pairs shared it often enough, and everywhere
+only if pairs of several sites did.
+
+Scale: one pass over the texts in Arrow batches leaves some ten eight-byte tokens a page, written once, one row a page;
+it is range-partitioned by site and address, so that a site with a third of all pages is split over many tasks. Nothing is
+collected here. ``Sites`` gives other operators the site's lines by a broadcast of (site, token) hashes only if these are
+counted to be at most ``MOST_SHARED``; else by a join.
 
 Defined results: null, empty and blank texts have no lines; a page without address takes its source as
 site; repeated rows give one result and no evidence; a site with few comparable pages is judged by what pages of all sites share.
@@ -19,125 +23,124 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gacetilla.llm.lines import page_lines
-from gacetilla.llm.text import article_number, site, source_key, stable_hash, written
+from gacetilla.llm.lines import AFTER, LITERAL, PROSE, SHAPE, WITHIN, Describer, page_tokens
+from gacetilla.llm.text import article_number, mix, site, source_key, stable_hash, written
 
-PAGE_SCHEMA = "id string, host string, path string, nos array<int>, toks array<long>, sorts array<byte>"
-#: Sorts of lines in a page table: prose, other short lines, lines of a known kind, subheads and lists of an article.
-PROSE, SHORT, KIND, OWN = 0, 1, 2, 3
+PAGE_SCHEMA = "id string, host string, path string, nos array<int>, toks array<array<long>>, sorts array<byte>"
+#: (site, token) hashes that may be broadcast, 16 MB; with more of them the lines are joined instead.
+MOST_SHARED = 2_000_000
 
 
-def _signed(h: int) -> int:
-    return h - (1 << 64) if h >= 1 << 63 else h
+def host_of(url: Column, source: Column) -> Column:
+    """The site of a page: that of its address, else its source, else ''."""
+    return F.coalesce(site(url), source_key(source), F.lit(""))
 
 
-def _paginate(nav: frozenset[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, int] = {}
-        for batch in batches:
-            nos, toks, sorts = [], [], []
-            for text in batch.column("cuerpo").to_pylist():
-                rows = page_lines(text, nav)
-                nos.append([r[0] for r in rows])
-                out = []
-                for _, kind, token, _ in rows:
-                    if kind and kind != "own":
-                        h = memo.get(token)
-                        if h is None:
-                            h = memo[token] = _signed(stable_hash(token))
-                    else:
-                        h = _signed(stable_hash(token))
-                    out.append(h)
-                toks.append(out)
-                sorts.append([OWN if k == "own" else KIND if k else SHORT if len(t) < 60 else PROSE for _, k, t, _ in rows])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("host"), batch.column("path"), pa.array(nos, pa.list_(pa.int32())), pa.array(toks, pa.list_(pa.int64())), pa.array(sorts, pa.list_(pa.int8()))],
-                names=["id", "host", "path", "nos", "toks", "sorts"],
-            )
-
-    return run
+def _paginate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    describer = Describer()
+    for batch in batches:
+        nos, toks, sorts = [], [], []
+        for text in batch.column("cuerpo").to_pylist():
+            rows = page_tokens(text, describer)
+            nos.append([r[0] for r in rows])
+            toks.append([r[1] for r in rows])
+            sorts.append([r[2] for r in rows])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("id"), batch.column("host"), batch.column("path"), pa.array(nos, pa.list_(pa.int32())), pa.array(toks, pa.list_(pa.list_(pa.int64()))), pa.array(sorts, pa.list_(pa.int8()))],
+            names=["id", "host", "path", "nos", "toks", "sorts"],
+        )
 
 
-def pages(notes: DataFrame, nav: frozenset[str]) -> DataFrame:
-    """The line tokens of each note with its site and a sortable address, written once."""
+def pages(notes: DataFrame) -> DataFrame:
+    """The line tokens of each page with its site and a sortable address, one row an id, written once."""
     number = article_number(F.col("url_original"))
     address = F.lower(F.regexp_replace(F.trim("url_original"), r"^[a-z]+://[^/?]*|#.*$", ""))
-    keyed = notes.select(
-        F.col("id"),
-        F.coalesce(site(F.col("url_original")), source_key(F.col("fuente")), F.lit("")).alias("host"),
-        F.coalesce(F.lpad(number, 18, "0"), address, F.lit("")).alias("path"),
-        F.col("cuerpo"),
-    ).where(F.col("cuerpo").isNotNull())
-    return written(keyed.mapInArrow(_paginate(nav), PAGE_SCHEMA), "pages")
-
-
-def common_subsequence(a: list[int], b: list[int]) -> list[int]:
-    """A longest common subsequence of two token lists."""
-    common = set(a) & set(b)
+    keyed = notes.select("id", host_of(F.col("url_original"), F.col("fuente")).alias("host"), F.coalesce(F.lpad(number, 18, "0"), address, F.lit("")).alias("path"), "cuerpo").where("cuerpo is not null and id is not null")
+    return written(keyed.mapInArrow(_paginate, PAGE_SCHEMA).dropDuplicates(["id"]), "pages")
+
+
+def common_subsequence(a: list[tuple[int, ...]], b: list[tuple[int, ...]]) -> set[int]:
+    """The tokens by which the lines of a longest common subsequence of two pages align; lines are tuples of tokens and align
+    if they share one."""
+    common = {t for x in a for t in x} & {t for x in b for t in x}
     if not common:
-        return []
-    a, b = [x for x in a if x in common], [x for x in b if x in common]
-    head: list[int] = []
-    while a and b and a[0] == b[0]:
-        head.append(a[0])
-        a, b = a[1:], b[1:]
-    tail: list[int] = []
-    while a and b and a[-1] == b[-1]:
-        tail.append(a[-1])
-        a, b = a[:-1], b[:-1]
-    if a and b:
-        width = len(b) + 1
-        best = [[0] * width for _ in range(len(a) + 1)]
-        for i in range(len(a) - 1, -1, -1):
-            row, below = best[i], best[i + 1]
-            for j in range(len(b) - 1, -1, -1):
-                row[j] = below[j + 1] + 1 if a[i] == b[j] else max(below[j], row[j + 1])
+        return set()
+    sa = [k for x in a if (k := common.intersection(x))]
+    sb = [k for x in b if (k := common.intersection(x))]
+    met: set[int] = set()
+    while sa and sb and sa[0] & sb[0]:
+        met |= sa.pop(0) & sb.pop(0)
+    while sa and sb and sa[-1] & sb[-1]:
+        met |= sa.pop() & sb.pop()
+    if sa and sb:
+        width = len(sb) + 1
+        best = [[0] * width for _ in range(len(sa) + 1)]
+        for i in range(len(sa) - 1, -1, -1):
+            row, below, x = best[i], best[i + 1], sa[i]
+            for j in range(len(sb) - 1, -1, -1):
+                row[j] = max(below[j + 1] + (not x.isdisjoint(sb[j])), below[j], row[j + 1])
         i = j = 0
-        while i < len(a) and j < len(b):
-            if a[i] == b[j]:
-                head.append(a[i])
-                i, j = i + 1, j + 1
-            elif best[i + 1][j] >= best[i][j + 1]:
+        while i < len(sa) and j < len(sb):
+            if best[i][j] == best[i + 1][j]:
                 i += 1
-            else:
+            elif best[i][j] == best[i][j + 1]:
                 j += 1
-    return head + tail[::-1]
+            else:
+                met |= sa[i] & sb[j]
+                i, j = i + 1, j + 1
+    return met
+
+
+class _Page:
+    __slots__ = ("lines", "own", "prose")
+
+    def __init__(self, lines: list[tuple[int, ...]], sorts: list[int], recurrent: frozenset[int]):
+        self.lines = [x for x in lines if x]
+        self.prose = {x[0] for x, s in zip(lines, sorts) if x and s == PROSE}
+        self.own = self.prose - recurrent or {x[0] for x, s in zip(lines, sorts) if x and s != PROSE} - recurrent
+
+    def same_story(self, other: _Page) -> bool:
+        """Whether two pages tell one story, by their prose but for lines that recur over the site (by other lines if there is none).
 
+        Recurrent lines alone make no story, unless there are three and they are most of a page or nothing else is there."""
+        both = len(self.prose & other.prose)
+        if not self.own or not other.own:
+            return both > 0 and both * 3 >= min(len(self.prose), len(other.prose))
+        same = len(self.own & other.own)
+        return same > 0 and same * 3 >= min(len(self.own), len(other.own)) or both >= 3 and both * 2 > min(len(self.prose), len(other.prose))
 
-def _differences(reach: int, partners: int):
+
+def _differences(partners: int):
     """Compares each page with the nearest earlier pages of its site in a partition sorted by site and address.
 
-    Looks back over ``reach`` pages for ``partners`` that carry another story, and for each line of a known kind and each
-    recurrent line to the nearest earlier page of the site that has it and another story, however far: what is rare is
-    never met next door. A pair counts once for a token. The row with a null token counts the compared pages of a site."""
+    Each page is paired with the nearest ``partners`` earlier pages that carry another story, however far back they are, and
+    for each token that may be the site's with the nearest earlier page that has it and another story: what is rare is never met
+    next door. A pair counts once for a token. The row with a null token counts the compared pages of a site."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared: dict[tuple[str, int | None], int] = {}
-        recent: deque = deque(maxlen=reach)
-        carriers: dict[int, deque] = {}
-        site_now = page_now = None
+        recent: deque[_Page] = deque(maxlen=64)
+        carriers: dict[int, deque[_Page]] = {}
+        site_now = None
         for batch in batches:
-            for host, page, toks, sorts, recurrent in zip(*(batch.column(c).to_pylist() for c in ("host", "id", "toks", "sorts", "recurrent"))):
+            for host, toks, sorts, recurrent in zip(*(batch.column(c).to_pylist() for c in ("host", "toks", "sorts", "recurrent"))):
                 if host != site_now:
-                    site_now, page_now = host, None
+                    site_now = host
                     recent.clear()
                     carriers.clear()
-                if page == page_now:
-                    continue  # delivered again
-                page_now = page
-                site_lines = set(recurrent or ())
-                prose = {t for t, s in zip(toks, sorts) if s == PROSE}
-                story = prose, prose - site_lines or {t for t, s in zip(toks, sorts) if s == SHORT} - site_lines
-                kinds = {t for t, s in zip(toks, sorts) if s == KIND} | site_lines
+                again = frozenset(recurrent or ())
+                page = _Page(toks, sorts, again)
+                kinds = {t for x, s in zip(toks, sorts) if s != PROSE for t in x} | again
                 met: set[int] = set()
                 used = 0
-                for other, other_story in reversed(recent):
-                    if _same_story(story, other_story):
+                for other in reversed(recent):
+                    if page.same_story(other):
                         continue
-                    for t in set(common_subsequence(toks, other)):
+                    for t in common_subsequence(page.lines, other.lines):
                         shared[host, t] = shared.get((host, t), 0) + 1
                         met.add(t)
                     used += 1
@@ -145,15 +148,23 @@ def _differences(reach: int, partners: int):
                         break
                 if used:
                     shared[host, None] = shared.get((host, None), 0) + 1
+                wanted: dict[int, tuple[_Page, list[int]]] = {}
                 for t in kinds - met:
-                    for other, other_story in reversed(carriers.get(t, ())):
-                        if not _same_story(story, other_story):
-                            if t in common_subsequence(toks, other):
-                                shared[host, t] = shared.get((host, t), 0) + 1
+                    for other in reversed(carriers.get(t, ())):
+                        if not page.same_story(other):
+                            wanted.setdefault(id(other), (other, []))[1].append(t)
                             break
-                recent.append((toks, story))
+                for other, tokens in wanted.values():
+                    for t in common_subsequence(page.lines, other.lines).intersection(tokens):
+                        shared[host, t] = shared.get((host, t), 0) + 1
+                recent.append(page)
                 for t in kinds:
-                    carriers.setdefault(t, deque(maxlen=reach)).append((toks, story))
+                    held = carriers.get(t)
+                    if held is None:
+                        held = carriers[t] = deque(maxlen=2)
+                    # of pages that tell one story the first is enough, so that a story's copies do not hide the others
+                    if not held or not page.same_story(held[-1]):
+                        held.append(page)
             if len(shared) > 200_000:
                 yield _flush(shared)
         yield _flush(shared)
@@ -161,66 +172,137 @@ def _differences(reach: int, partners: int):
     return run
 
 
-def _same_story(a: tuple[set[int], set[int]], b: tuple[set[int], set[int]]) -> bool:
-    """Whether two pages, each given by its prose and its lines that do not recur over the site, tell one story.
-
-    Recurrent lines alone make no story, unless there are three and they are most of a page or nothing else is there."""
-    (prose, own), (other_prose, other_own) = a, b
-    both = len(prose & other_prose)
-    if not own or not other_own:
-        return both > 0 and both * 3 >= min(len(prose), len(other_prose))
-    same = len(own & other_own)
-    return same > 0 and same * 3 >= min(len(own), len(other_own)) or both >= 3 and both * 2 > min(len(prose), len(other_prose))
-
-
 def _flush(shared: dict[tuple[str, int | None], int]) -> pa.RecordBatch:
     out = pa.RecordBatch.from_arrays([pa.array([h for h, _ in shared], pa.string()), pa.array([t for _, t in shared], pa.int64()), pa.array(list(shared.values()), pa.int64())], names=["host", "tok", "shared"])
     shared.clear()
     return out
 
 
+def _kind(tok: Column) -> Column:
+    return tok.bitwiseAND(7)
+
+
 def recurrent_lines(pages_table: DataFrame, many: int) -> DataFrame:
-    """(id, recurrent): the literal lines of each page that stand on at least ``many`` pages of its site."""
-    literal = pages_table.select("id", "host", F.explode(F.arrays_zip("toks", "sorts")).alias("l")).where(F.col("l.sorts").isin(PROSE, SHORT)).select("id", F.col("l.toks").alias("tok"), F.xxhash64("host", "l.toks").alias("key"))
+    """(id, recurrent): the literal tokens of each page that stand on at least ``many`` pages of its site."""
+    literal = pages_table.select("id", "host", F.explode(F.array_distinct(F.transform(F.filter("toks", lambda x: F.size(x) > 0), lambda x: x[0]))).alias("tok")).select("id", "tok", F.xxhash64("host", "tok").alias("key"))
     often = literal.groupBy("key").count().where(F.col("count") >= many).select("key")
-    held = literal.join(often, "key", "left_semi").distinct()
-    return held.join(held.groupBy("key").count().where(F.col("count") >= many).select("key"), "key", "left_semi").groupBy("id").agg(F.collect_set("tok").alias("recurrent"))
+    return literal.join(often, "key", "left_semi").groupBy("id").agg(F.collect_list("tok").alias("recurrent"))
+
 
+def site_tokens(pages_table: DataFrame, partners: int = 2, least_pairs: int = 5, least_rate: float = 0.01, least_open_rate: float = 0.002, least_pooled_rate: float = 0.0005, least_compared: int = 50, many: int = 10, most_within: float = 0.35, least_followed: float = 0.4, least_sites: int = 5) -> DataFrame:
+    """(host, tok) of the tokens that belong to each site; written once.
 
-def furniture_lines(pages_table: DataFrame, reach: int = 6, partners: int = 2, least_pairs: int = 5, least_rate: float = 0.01, least_kind_rate: float = 0.002, least_compared: int = 50, many: int = 10) -> DataFrame:
-    """(id, line_no) of the lines that belong to the site.
+    A literal token needs ``least_pairs`` pairs of the site's pages that share it (on sites of fewer than 20 times as many
+    compared pages one in 20 of these) and as many as ``least_rate`` of its occurrences there; or one pair if on all sites
+    together pairs as many as ``least_pooled_rate`` of the compared pages share it.
 
-    Each site decides by its own pages: a token of a known kind needs as many pairs that share it as ``least_kind_rate`` of
-    the site's compared pages, and one at least; a literal line needs ``least_pairs`` pairs (on sites of fewer than 20 times
-    as many compared pages one in 20 of these) and as many as ``least_rate`` of its occurrences there. Literal lines on
-    ``many`` pages of a site do not tell that two pages carry one story. Sites of fewer than ``least_compared`` compared pages take the same rules over the pages of all
-    sites. Subheads and lists of an article are kept."""
-    order = pages_table.select("host", "path", "id", "toks", "sorts").join(recurrent_lines(pages_table, many), "id", "left")
+    The other tokens leave something open. They need as many pairs as ``least_open_rate`` of the site's compared pages, one at
+    least, and ``least_pooled_rate`` over all sites. A shape must not be the article's own (a subhead): not more than
+    ``most_within`` of its lines stand between the article's sentences. A line that others follow must be followed so in
+    ``least_followed`` of its occurrences.
+
+    What pairs of at least ``least_sites`` sites share, and as many as ``least_pooled_rate`` asks for, is taken for the
+    site's on every site. Sites of fewer than ``least_compared`` compared pages take the evidence of all sites."""
+    order = pages_table.select("id", "host", "path", "toks", "sorts").join(recurrent_lines(pages_table, many), "id", "left")
     aligned = (
-        order.repartitionByRange("host", "path", "id").sortWithinPartitions("host", "path", "id").select("host", "id", "toks", "sorts", "recurrent")
-        .mapInArrow(_differences(reach, partners), "host string, tok long, shared long").groupBy("host", "tok").agg(F.sum("shared").alias("shared"))
+        order.repartitionByRange("host", "path", "id").sortWithinPartitions("host", "path", "id").select("host", "toks", "sorts", "recurrent")
+        .mapInArrow(_differences(partners), "host string, tok long, shared long").groupBy("host", "tok").agg(F.sum("shared").alias("shared"))
     )
     aligned = written(aligned, "aligned")
     sites = aligned.where("tok is null").select("host", F.col("shared").alias("compared"))
     shares = aligned.where("tok is not null")
-    lines = pages_table.select("id", "host", F.explode(F.arrays_zip("nos", "toks", "sorts")).alias("l")).where(F.col("l.sorts") != OWN).select("id", "host", F.col("l.nos").alias("line_no"), F.col("l.toks").alias("tok"), (F.col("l.sorts") == KIND).alias("known"))
-    seen = lines.select("host", "tok", "known").join(shares.select("tok").distinct(), "tok", "left_semi").groupBy("host", "tok").agg(F.count("*").alias("seen"), F.max("known").alias("known"))
-    own = seen.join(shares, ["host", "tok"], "left").join(sites, "host", "left").fillna(0, ["shared", "compared"])
-    own = written(own.select("host", "tok", "known", "seen", "shared", "compared"), "shares")
-    pooled = own.groupBy("tok").agg(F.sum("shared").alias("all_shared"), F.sum("seen").alias("all_seen")).crossJoin(sites.agg(F.sum("compared").alias("all_compared")))
+    # how often the tokens that any pair shared stand on each site, in one row a token
+    flat = pages_table.select("host", F.explode(F.arrays_zip("toks", "sorts")).alias("l")).select("host", F.explode("l.toks").alias("tok"), (F.col("l.sorts") == WITHIN).cast("int").alias("within"))
+    seen = flat.groupBy("host", "tok").agg(F.count("*").alias("seen"), F.sum("within").alias("within")).join(shares.select("tok").distinct(), "tok", "left_semi")
+    own = written(seen.join(shares, ["host", "tok"], "left").join(sites, "host", "left").fillna(0, ["shared", "compared"]).select("host", "tok", "seen", "within", "shared", "compared"), "shares")
+    pooled = own.groupBy("tok").agg(F.sum("shared").alias("all_shared"), F.sum("seen").alias("all_seen"), F.sum("within").alias("all_within"), F.count_if(F.col("shared") > 0).alias("sharing"))
+    followed = pooled.where(_kind(F.col("tok")) == LITERAL).select((F.col("tok") + AFTER - LITERAL).alias("tok"), F.col("all_seen").alias("anchors"))
+    pooled = pooled.join(followed, "tok", "left").crossJoin(sites.agg(F.coalesce(F.sum("compared"), F.lit(0)).alias("all_compared")))
+    kind, few = _kind(F.col("tok")), F.col("compared") < least_compared
+    common = F.col("all_shared") >= F.greatest(F.lit(1.0), least_pooled_rate * F.col("all_compared"))
+    usual = common & (F.col("sharing") >= least_sites)
+
+    def literal(shared: str, seen: str, compared: str) -> Column:
+        return (F.col(shared) >= F.greatest(F.lit(1.0), F.least(F.lit(float(least_pairs)), F.col(compared) / 20))) & (F.col(shared) >= least_rate * F.col(seen))
+
+    whole = usual | F.when(few, literal("all_shared", "all_seen", "all_compared")).otherwise(literal("shared", "seen", "compared") | (F.col("shared") >= 1) & common)
+    open_ = common & (usual | few | (F.col("shared") >= F.greatest(F.lit(1.0), least_open_rate * F.col("compared"))))
+    outside = (kind != SHAPE) | (F.col("all_within") <= most_within * F.col("all_seen"))
+    follows = (kind != AFTER) | F.coalesce(F.col("all_seen") >= least_followed * F.col("anchors"), F.lit(False))
+    return written(own.join(pooled, "tok").where(F.when(kind == LITERAL, whole).otherwise(open_ & outside & follows)).select("host", "tok"), "site-tokens")
+
+
+def furniture_lines(pages_table: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(id, line_no) of the lines that hold one of their site's tokens, prose by its literal only."""
+    lines = pages_table.select("id", "host", F.explode(F.arrays_zip("nos", "toks")).alias("l")).select("id", "host", F.col("l.nos").alias("line_no"), F.explode("l.toks").alias("tok"))
+    return lines.join(tokens, ["host", "tok"], "left_semi").select("id", "line_no").distinct()
+
+
+def find_boilerplate(notes: DataFrame, **options) -> DataFrame:
+    """(id, line_no) of the non-blank lines of cuerpo that belong to the site and not to the article.
 
-    def enough(shared: str, seen: str, compared: str) -> Column:
-        return F.when(F.col("known"), F.col(shared) >= F.greatest(F.lit(1.0), least_kind_rate * F.col(compared))).otherwise((F.col(shared) >= F.least(F.lit(float(least_pairs)), F.col(compared) / 20)) & (F.col(shared) >= least_rate * F.col(seen)))
+    ``notes`` needs id, cuerpo, url_original and fuente; other columns are ignored."""
+    table = pages(notes)
+    return furniture_lines(table, site_tokens(table, **options))
 
-    furniture = own.join(pooled, "tok").where(F.when(F.col("compared") >= least_compared, enough("shared", "seen", "compared")).otherwise(enough("all_shared", "all_seen", "all_compared"))).select("host", "tok")
-    return lines.select("id", "host", "line_no", "tok").join(furniture, ["host", "tok"], "left_semi").select("id", "line_no").distinct()
 
+def _mark(shared, columns: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: np.ndarray = shared.value
+        describer = Describer()
+        for batch in batches:
+            gone = []
+            for host, text in zip(batch.column("_host").to_pylist(), batch.column("cuerpo").to_pylist()):
+                rows = page_tokens(text, describer)
+                flat = [t for r in rows for t in r[1]]
+                if not flat:
+                    gone.append([])
+                    continue
+                keys = _site_key(host, np.array(flat, np.int64))
+                at = np.searchsorted(held, keys)
+                hit = (held[np.minimum(at, len(held) - 1)] == keys) if len(held) else np.zeros(len(keys), bool)
+                ends = np.cumsum([len(r[1]) for r in rows])
+                sums = np.r_[0, np.cumsum(hit)]
+                gone.append([r[0] for r, e in zip(rows, ends) if sums[e] > sums[e - len(r[1])]])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(gone, pa.list_(pa.int32()))], names=[*columns, "gone"])
 
-def find_boilerplate(notes: DataFrame, nav: frozenset[str], **options) -> DataFrame:
-    """(id, line_no) of the non-blank lines of cuerpo that belong to the site and not to the article.
+    return run
 
-    ``notes`` needs id, cuerpo, url_original and fuente; other columns are ignored."""
-    return furniture_lines(pages(notes, nav), **options)
+
+def _site_key(host: str, tokens: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(tokens.view(np.uint64) + np.uint64(stable_hash(host)))
+
+
+def _site_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = [int(_site_key(h, np.array([t], np.int64))[0]) for h, t in zip(batch.column("host").to_pylist(), batch.column("tok").to_pylist())]
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64))], names=["key"])
+
+
+class Sites:
+    """The tokens of all sites, learned from all notes: ``marked`` tells which lines of some of these notes belong to their site.
+
+    The tokens are broadcast as sorted hashes if they are counted to be at most ``most_shared``; else each page's lines are joined."""
+
+    def __init__(self, notes: DataFrame, most_shared: int = MOST_SHARED, **options):
+        self.pages = pages(notes)
+        self.tokens = site_tokens(self.pages, **options)
+        self.shared = None
+        if self.tokens.count() <= most_shared:
+            keys = self.tokens.mapInArrow(_site_keys, "key long").collect()  # at most most_shared
+            self.shared = notes.sparkSession.sparkContext.broadcast(np.sort(np.array([r["key"] for r in keys], np.int64).view(np.uint64)))
+
+    def marked(self, notes: DataFrame, columns: list[str]) -> DataFrame:
+        """The given columns (id and cuerpo among them) and gone, the numbers of the lines of cuerpo that belong to the site.
+
+        Null texts have no such lines; ids and texts must be those from which the sites were learned."""
+        if self.shared is None:
+            gone = furniture_lines(self.pages, self.tokens).groupBy("id").agg(F.collect_list("line_no").alias("gone"))
+            return notes.select(*columns).join(gone, "id", "left")
+        source = notes.select(*columns, host_of(F.col("url_original"), F.col("fuente")).alias("_host"))
+        kinds = dict(notes.select(*columns).dtypes)
+        return source.mapInArrow(_mark(self.shared, columns), ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", gone array<int>")
 
 
 def main_text(notes: DataFrame, furniture: DataFrame) -> DataFrame:

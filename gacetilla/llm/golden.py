@@ -22,8 +22,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gacetilla.llm.lines import is_whole, page_lines
-from gacetilla.llm.text import clean_space, source_key, stable_hash
+from gacetilla.llm.boilerplate import Sites
+from gacetilla.llm.lines import is_whole, main_lines
+from gacetilla.llm.text import clean_space, fold, source_key, stable_hash
 
 FIELDS = ("cuerpo", "imagen_url", "fuente")
 #: Parts of the last path segment, or folders, that mark stand-ins and site graphics.
@@ -37,29 +38,25 @@ def usable_picture(c: Column) -> Column:
     return F.coalesce(F.trim(c).rlike(PICTURE) & ~path.rlike(STAND_INS), F.lit(False))
 
 
-def _body(nav: frozenset[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = []
-            for text in batch.column("cuerpo").to_pylist():
-                lines = page_lines(text, nav)
-                keys.append((stable_hash("\n".join(t for _, k, t, _ in lines if k in ("", "own"))) >> 1) if is_whole(lines) else None)
-            columns = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != "cuerpo"]
-            names = [n for n in batch.schema.names if n != "cuerpo"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(keys, pa.int64())], names=[*names, "body"])
+def _body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = []
+        for text, gone in zip(batch.column("cuerpo").to_pylist(), batch.column("gone").to_pylist()):
+            own = main_lines(text, gone)
+            keys.append((stable_hash(fold("\n".join(s for _, s in own))) >> 1) if is_whole(own) else None)
+        names = [n for n in batch.schema.names if n not in ("cuerpo", "gone")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(keys, pa.int64())], names=[*names, "body"])
 
-    return run
 
-
-def votes(notes: DataFrame, sources: DataFrame, nav: frozenset[str], half_life_days: float = 30.0) -> DataFrame:
+def votes(notes: DataFrame, sources: DataFrame, half_life_days: float = 30.0) -> DataFrame:
     """Long rows (grupo_id, campo, value, votes, best, low, high): one for each usable value of a field, and one with
     a null value for the records without; best is the best record as struct(trust, created_at, id)."""
     trust = sources.select(source_key(F.col("nombre")).alias("source"), F.col("confianza").alias("trust")).groupBy("source").agg(F.max("trust").alias("trust"))
     narrow = (
-        notes.where("grupo_id is not null and id is not null")
-        .select("id", "grupo_id", source_key(F.col("fuente")).alias("source"), F.col("fuente").isNotNull().alias("named"), F.when(usable_picture(F.col("imagen_url")), F.xxhash64(F.trim("imagen_url"))).alias("picture"), "created_at", "cuerpo")
+        Sites(notes).marked(notes.where("grupo_id is not null and id is not null"), ["id", "grupo_id", "fuente", "imagen_url", "created_at", "cuerpo"])
+        .select("id", "grupo_id", source_key(F.col("fuente")).alias("source"), F.col("fuente").isNotNull().alias("named"), F.when(usable_picture(F.col("imagen_url")), F.xxhash64(F.trim("imagen_url"))).alias("picture"), "created_at", "cuerpo", "gone")
     )
-    narrow = narrow.mapInArrow(_body(nav), "id string, grupo_id string, source string, named boolean, picture long, created_at timestamp, body long").dropDuplicates(["id"])
+    narrow = narrow.mapInArrow(_body, "id string, grupo_id string, source string, named boolean, picture long, created_at timestamp, body long").dropDuplicates(["id"])
     narrow = narrow.join(trust, "source", "left").withColumn("trust", F.coalesce("trust", F.lit(0)))
     age = F.coalesce(F.col("created_at").cast("double") / 86400.0, F.lit(0.0)) - 20000.0
     weight = F.col("trust") * F.pow(F.lit(2.0), age / half_life_days)
@@ -80,9 +77,9 @@ def winners(long: DataFrame, order: str = "votes", least_records: int = 2) -> Da
     return chosen.where(several & F.col("id").isNotNull()).select("grupo_id", "campo", "id")
 
 
-def best_record(notes: DataFrame, sources: DataFrame, nav: frozenset[str], order: str = "votes") -> DataFrame:
+def best_record(notes: DataFrame, sources: DataFrame, order: str = "votes") -> DataFrame:
     """(grupo_id, cuerpo, imagen_url, fuente and the id each comes from): the surviving record of each group."""
-    won = winners(votes(notes, sources, nav), order)
+    won = winners(votes(notes, sources), order)
     wide = won.groupBy("grupo_id").pivot("campo", list(FIELDS)).agg(F.first("id"))
     out = wide.select("grupo_id", *[F.col(f).alias(f"{f}_id") for f in FIELDS])
     for f in FIELDS:

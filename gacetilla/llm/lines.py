@@ -1,137 +1,161 @@
-"""Lines of a page: which of them look like the site's furniture and by what token they are aligned.
+"""Lines of a page as tokens by which pages are aligned, and the article's own lines once the site's are known.
 
-``page_lines`` gives every non-blank line a token. Lines of prose, subheads and lists get a literal
-token (they align only with the very same line); lines of a kind that sites repeat with changing names
-or figures (menus, bylines, counters, tags, teasers, legal notices ...) get the token of their kind.
-Whether a token is furniture is decided by page differencing (``boilerplate``); operators that only need
-the article's own text take every line of a known kind as furniture (``main_lines``).
+No list of phrases is kept: a line is described by its own words and signs, in five ways, and what belongs to a site is
+learned by comparing its pages (``boilerplate``).
+
+- literal: the folded line without ornaments, figures taken as the same;
+- head: what stands before the line's first ``: | » > /`` ("etiquetas:", "inicio >"), or a mark of two signs before the line;
+- shape: the line with its names (runs of capitalised words) left open ("por NAME", "NAME, NAME, calle NAME, NAME"), and of
+  a short line with figures or several separators also with all longer words open ("WORD 0 de WORD de 0");
+- tail: the words that open its last part after a comma ("saludos desde");
+- after: a line of some length that is no sentence and follows a certain line, alone or in a list (a teaser below
+  "mas leidas"); it carries that line's literal.
+
+Prose (sentences) has its literal only.
 """
 
 from __future__ import annotations
 
 import re
 
-from gacetilla.llm.text import fold
-
-_DECOR = re.compile(r"^[\s•»▸*\-–—>·.…!|#]+|[\s»\-–—*.…!·|]+$")
-_SENTENCES = re.compile(r"[.!?][\"”»]? +[\"“«¿¡]*[A-ZÁÉÍÓÚÑ]")
-_DAY = r"(?:lunes|martes|miercoles|jueves|viernes|sabado|domingo)"
-_N = r"[^.;:!?\"|]{2,70}"
-_W = r"[a-z'’.-]+"
-
-#: Kinds of lines that news sites add to a page, by their folded text without ornaments.
-_KINDS = [
-    ("cookies", r".{2,60} (?:utiliza|usa) cookies (?:propias|de terceros|para)\b.*|(?:usamos|utilizamos) cookies\b.*|(?:aceptar|rechazar|configurar|gestionar) (?:todas las |las )?cookies\b.*|si continuas en .*\bcookies\b.*|politica de cookies.{0,80}"),
-    ("byline", rf"por {_W}(?: {_W}){{1,3}}(?:,? (?:para|de|en) {_N})?|(?:escribe|escriben|texto|textos|produccion|fotos?|fotografias?|corresponsal|informe|video|cobertura|edicion|autora?|enviad[oa] especial|imagenes?|creditos?|ilustracion)\s?: ?{_N}|{_W}(?: {_W}){{1,3}} \(redaccion[^)]*\)|de la redaccion de {_N}|redaccion {_N}"),
-    ("contact", r"(?:redaccion|publicidad|contacto|ventas|correo|mail|¿?tenes algo para contar)\b.{0,120}@[a-z0-9.-]+\.[a-z]{2,}\b.{0,60}|oficina comercial de .{2,60}: .{2,60}|(?:auspicia|publicidad|aviso|espacio cedido|contacto|anuncie)\b.{2,80}\btel\.? ?\d[\d -]+|(?:whatsapp|telefono|tel\.?):? \+?\d[\d -]+"),
-    ("legal", r"(?:©|\(c\)|copyright) ?.{0,120}|todos los derechos reservados.{0,40}|registro de (?:la )?propiedad intelectual.{0,100}|edicion (?:digital )?n.{0,3}\d+\b.{0,100}|director(?:a)?(?: propietari[oa]| responsable|es)?: .{2,60}|prohibida la reproduccion.{0,140}|.{3,60} no se hace responsable por .{0,80}|.{3,60} es una publicacion de .{3,80}, con domicilio legal en .*|nosotros y nuestros socios .*|los comentarios publicados son .*|terminos y condiciones[^a-z]+politica de privacidad.{0,80}|politica de privacidad.{0,60}|aviso legal.{0,60}"),
-    ("share", r"segui(?:nos|me)\b.*|sumate\b.*|suscrib(?:ite|irse|ase)\b.*|compart(?:i|ir|ila|ilo|e)\b.*|¿?te gusto la nota\b.*|.*\bsuscribite|.*exclusiv[oa] para suscriptores.*|enviar por correo.*|copiar enlace.*|hace clic aca.*|imprimir\b.{0,60}|si esta (?:noticia|nota) te resulto util.*|¿?tenes algo para contar.*|descarga(?:te)? nuestra app.*|recibi (?:las|nuestras) noticias.*"),
-    ("counter", r"compartid[oa] [\d.]+ ve(?:z|ces)|[\d.]+ (?:lecturas?|comentarios?|visitas?|vistas|compartidos?|me gusta|veces compartid[oa])|me gusta:? ?[\d.]+|(?:tiempo de )?lectura(?: de|:)? ?\d+ min(?:utos|\.)?|hace \d+ (?:horas?|minutos?|dias?)(?: en .{2,60})?"),
-    ("date", rf"(?:(?:actualizad[oa]|publicad[oa]|fecha)(?: el)?:? ?)?(?:{_DAY},? )?(?:\d{{1,2}}[/.-]\d{{1,2}}[/.-]\d{{2,4}}|\d{{1,2}} de [a-z]+(?: de \d{{4}}))?(?:[ ,|-]*(?:a las )?\d{{1,2}}[:.h]\d{{2}}(?: ?hs?)?)?"),
-    ("weather", r"(?:tiempo|clima|pronostico)(?: hoy)?: .{2,60}\d.*|(?:hoy en )?.{2,60}:? (?:maxima|minima) -?\d+.*|.{2,60} -?\d+ ?(?:°|º|grados)(?: ?c)?(?: - humedad -?\d+ ?%.*)?"),
-    ("tags", rf"(?:etiquetas?|temas?|tags?|en esta nota|palabras clave)\s?: .{{2,160}}"),
-    ("comment", r".{3,60} (?:comento|respondio|escribio|dijo|opino|pregunto)(?: hace .{1,20})?: .{2,200}, saludos desde .{2,60}"),
-    ("more", r"(?:segui|seguir|continua|continuar|continue) leyendo.{0,40}|le(?:er|e) (?:mas|la nota|nota|completa).{0,30}|ver mas|para seguir leyendo.*|cargar mas.*|volver (?:arriba|al inicio)"),
-    ("teaser", r"(?:te puede interesar|mira tambien|lee tambien|ver tambien|relacionad[oa]s?|nota relacionada|en otra seccion|ademas|mas sobre (?:el|este) tema) ?[:|>»] ?.{8,}"),
-    ("header", r"(?:lo )?mas leid[oa]s?.{0,20}|notas? relacionadas?|(?:notas )?recomendadas?(?: para vos)?|lo ultimo(?: en .{2,60})?|ultimas noticias|te puede interesar|tambien en .{2,60}|en otras secciones|mas noticias"),
-]
-_KIND = re.compile("|".join(f"(?P<{k}{i}>{p})" for i, (k, p) in enumerate(_KINDS)))
-_LONG = re.compile(r"cookies|nosotros y nuestros socios|los comentarios publicados son|es una publicacion de|si esta (?:noticia|nota) te resulto|derechos reservados|prohibida la reproduccion|no se hace responsable|saludos desde|politica de privacidad|propiedad intelectual")
-_CRUMB = re.compile(r"(?:home|inicio|portada) *[>/»|] *.{3,}")
-_SEPARATED = re.compile(r"\s*[|·/»>•#]\s*|\s+-\s+|\s{2,}")
-_STREET = r"(?:calle|avenida|pasaje|diagonal|ruta|boulevard)"
-_TAGGED = re.compile(rf"[^.;:!?\"|#,]{{3,45}}(?P<s> \| | #|, | · ){_W}(?P=s){_STREET} {_W}(?P=s){_W}")
-_SUBHEAD = re.compile(r"(?:el antecedente de|la palabra de|que dijo|los [\d.]+ [a-z ]+ de) .{2,60}|(?:[\d.]*\d) [a-z ]{2,40} para .{2,60}")
-_HEADLINE = re.compile(rf".+, segun {_N}|{_N}: [\"“].+[\"”] en {_N}|con [\d.,]+ [a-z ]+, .+, dijo {_W}|.+ y {_W}(?: {_W})+ celebro|{_N} en {_N}: .+|.+ tras el reclamo de {_N}")
-_NUMBERED = re.compile(r"^(?:\d{1,2}[.)°-]+|[a-z]\)) +")
+from gacetilla.llm.text import fold, stable_hash
+
+#: Ways to describe a line, in the low three bits of a token.
+LITERAL, HEAD, SHAPE, TAIL, AFTER = range(5)
+#: Sorts of lines: prose, other lines between the first and the last prose of a page, other lines.
+PROSE, WITHIN, OUTSIDE = range(3)
+
+LEAST_PROSE, LEAST_LISTED, MOST_OPEN = 60, 45, 300
+
+_LOOSE = re.compile(r"\s+[»…*!·|\-–—]+$")
+_EDGES = re.compile(r"^[^\w(\"“«¿¡]+|[^\w)\"”».?…]+$")
+_NUMBERED = re.compile(r"^\d{1,2}[.)°-]+\s+")
+_NOT_WORD = re.compile(r"^\W+|\W+$")
+_SENTENCES = re.compile(r"[.!?][\"”»]? +[\"“«¿¡]*[A-ZÁÉÍÓÚÜÑ]")
+_NAME = re.compile(r"[A-ZÁÉÍÓÚÜÑ][\w'’-]*(?:\s+[A-ZÁÉÍÓÚÜÑ][\w'’-]*)*")
+_FIRST = re.compile(r"\w+")
+_HEAD = re.compile(r"^([^:|»>/]{2,45}?)\s*[:|»>/](?=\s*\S)")
+_MARK = re.compile(r"^\W*?(?<!\S)([^\w\s\"“«¿¡(\[]{2,3})(?=\s)")
+_LONG_WORDS = re.compile(r"(?:\b[^\W\d]{4,}\b ?)+")
+_SEPARATORS = re.compile(r"[,|#·]")
+_WORDS = re.compile(r"[a-z]{2}")
 _DIGITS = re.compile(r"\d+")
-
-#: Words of navigation bars besides the sections themselves.
-NAV = ("menu", "inicio", "buscar", "portada", "home", "contacto", "ultimas", "ultimo momento", "suscribite", "ingresar")
-
-#: Kinds that start a block of teasers.
-_OPENERS = {"header", "more"}
-_BREAK = re.compile(r"(?:\.\.\.|…|\(\+\)|\[\+\]|\(contin[uú]a?[^)]*\)|\(\.\.\.\)|\[\.\.\.\]|\(…\)|\[…\])$")
-
-
-def _kind(core: str, folded: str, nav: frozenset[str]) -> str:
-    """Kind of one line from its text alone, or '' for a line that may be the article's own."""
-    if folded in nav:
-        return "nav"
-    n = len(folded)
-    if n > 600 or n > 120 and not _LONG.search(folded) and _SENTENCES.search(core):
-        return ""
-    if _CRUMB.match(folded):
-        return "crumb"
-    if n <= 260:
-        parts = [p for p in _SEPARATED.split(folded) if p]
-        if len(parts) >= 3 and sum(p in nav for p in parts) * 2 >= len(parts):
-            return "nav"
-    if _TAGGED.fullmatch(folded):
-        return "tags"
-    m = _KIND.fullmatch(folded)
-    return m.lastgroup.rstrip("0123456789") if m and folded else ""
-
-
-def page_lines(text: str | None, nav: frozenset[str]) -> list[tuple[int, str, str, str]]:
-    """(line number from 1, kind, token, line) of every non-blank line.
-
-    kind is '' for prose, 'own' for subheads and lists, else the kind of furniture. The token of a
-    furniture line is its kind, with the literal text for kinds that keep it."""
-    out: list[tuple[int, str, str, str]] = []
+_SPACE = re.compile(r"\s+")
+_BREAK = re.compile(r"(?:\.\.\.|…|\(\+\)|\[\+\]|\(contin[uú]a?[^)]*\)|\(sigue\)|\(\.\.\.\)|\[\.\.\.\]|\(…\)|\[…\])$")
+
+
+def token(kind: int, text: str) -> int:
+    """Signed 64 bits of a description."""
+    h = stable_hash(text) & ~7 | kind
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def _figures(s: str) -> str:
+    return _SPACE.sub(" ", _DIGITS.sub("0", fold(s)))
+
+
+def _shapes(core: str, shouted: bool) -> list[str]:
+    """The line with its names open; once with its first word kept and once as part of a name."""
+    if shouted:
+        return [_figures(_LONG_WORDS.sub("§ ", fold(core))).strip()]
+    m = _FIRST.match(core)
+    at = m.end() if m else 0
+    kept, opened = _figures(core[:at] + _NAME.sub("§", core[at:])), _figures(_NAME.sub("§", core))
+    return [kept] if kept == opened else [kept, opened]
+
+
+def describe(line: str) -> tuple[int, tuple[int, ...], bool, bool, bool]:
+    """(literal, other tokens, whether it is prose, whether it may stand in a list of headlines, whether it has a literal) of
+    one line with white space collapsed."""
+    core = _EDGES.sub("", _LOOSE.sub("", _EDGES.sub("", line)))
+    core = _NUMBERED.sub("", core)
+    n = len(core)
+    folded = fold(core)
+    literal = _NOT_WORD.sub("", _DIGITS.sub("0", folded))
+    several = n > MOST_OPEN or bool(_SENTENCES.search(core))
+    sentence = several or core.endswith((".", "?", "…", '"', "”", "»"))
+    out: set[int] = set()
+    if literal and not several:
+        shouted = core == core.upper() and core != folded
+        shapes = _shapes(core, shouted)
+        for s in [_figures(core)] if shouted else shapes:
+            m = _HEAD.match(s)
+            if m and _WORDS.search(m[1]) and m[1].count(" ") < 5:
+                out.add(token(HEAD, m[0].replace(" ", "")))
+        if m := _MARK.match(line):
+            out.add(token(HEAD, m[1]))
+        if not sentence:
+            if n < LEAST_PROSE and core.count(" ") < 9 and (core != _DIGITS.sub("", core) or len(_SEPARATORS.findall(core)) >= 3):
+                out.add(token(SHAPE, "§" + _LONG_WORDS.sub("§", _figures(core))))
+            for s in shapes:
+                if "§" in s and (_WORDS.search(s) or "(" in s) or "0" in s and _WORDS.search(s):
+                    out.add(token(SHAPE, s))
+            if "," in core:
+                last = core.rsplit(",", 1)[1].split()
+                opening = last[:2] if shouted else last[: next((i for i, w in enumerate(last) if w[0].isupper()), len(last))]
+                if 0 < len(opening) <= 3:
+                    out.add(token(TAIL, _figures(" ".join(opening))))
+    return token(LITERAL, literal), tuple(sorted(out)), sentence and n >= LEAST_PROSE, not sentence and n >= LEAST_LISTED, bool(literal)
+
+
+class Describer:
+    """``describe`` with a bounded memory: a site's lines come again and again."""
+
+    def __init__(self, most: int = 100_000):
+        self.most, self.held = most, {}
+
+    def __call__(self, line: str) -> tuple[int, tuple[int, ...], bool, bool, bool]:
+        if len(line) > MOST_OPEN:
+            return describe(line)
+        d = self.held.get(line)
+        if d is None:
+            if len(self.held) >= self.most:
+                self.held.clear()
+            d = self.held[line] = describe(line)
+        return d
+
+
+def page_tokens(text: str | None, describer=describe) -> list[tuple[int, tuple[int, ...], int]]:
+    """(line number from 1, tokens with the literal first, sort) of every non-blank line; lines of signs only have no token."""
+    rows: list[tuple[int, tuple[int, ...], int]] = []
     if not text:
-        return out
-    block = False
+        return rows
+    anchor = None
     for no, raw in enumerate(text.split("\n"), 1):
         s = " ".join(raw.split())
         if not s:
             continue
-        core = _DECOR.sub("", s)
-        wide = fold(_DECOR.sub("", raw.replace("\xa0", " ")).strip()) if "  " in raw and len(raw) < 260 else None
-        f = fold(core)
-        if not f:
-            out.append((no, "", "", s))
+        literal, others, prose, listed, some = describer(s)
+        if not some:
+            rows.append((no, (), OUTSIDE))
             continue
-        if s.lstrip("•▸*-–—· ").startswith(">>") and len(f) > 20:
-            kind = "teaser"
+        if listed:
+            if anchor is not None:
+                others = (*others, anchor & ~7 | AFTER)
         else:
-            kind = _kind(core, f, nav)
-            if not kind and wide and wide != f and not wide.endswith(".") and len(_p := [p for p in re.split(r"\s{2,}", wide) if p]) >= 3 and sum(p in nav for p in _p) * 2 >= len(_p):
-                kind = "nav"
-        if not kind:
-            if _SUBHEAD.fullmatch(f):
-                kind, block = "own", False
-            elif block or f[0].isdigit():
-                t = _NUMBERED.sub("", f)
-                one = (block or t != f and bool(_HEADLINE.fullmatch(t))) and not _SENTENCES.search(_NUMBERED.sub("", core))
-                if one and 25 <= len(t) <= 220 and (not s.rstrip('"”»').endswith((".", "?", "…", "...", ")")) or _HEADLINE.fullmatch(t)):
-                    kind = "teaser"
-                else:
-                    block = False
-        elif kind in _OPENERS:
-            block = True
-        elif kind not in ("teaser",):
-            block = False
-        token = f"§{kind}" if kind and kind != "own" else _DIGITS.sub("0", f)
-        out.append((no, kind, token, s))
-    return out
-
-
-def main_lines(text: str | None, nav: frozenset[str]) -> list[tuple[int, str]]:
-    """The article's own lines (number, line with white space collapsed)."""
-    return [(no, s) for no, kind, _, s in page_lines(text, nav) if kind in ("", "own")]
-
-
-def is_whole(lines: list[tuple[int, str, str, str]]) -> bool:
-    """Whether a page's main text is there and is not broken off before its end."""
-    own = [r for r in lines if r[1] in ("", "own")]
-    if not any(kind == "" and token for _, kind, token, _ in own):
-        return False
-    _, kind, _, last = own[-1]
-    return kind == "own" or not _BREAK.search(last) and last.endswith((".", "!", "?", '"', "”", "»", ")"))
+            anchor = None if prose else literal
+        rows.append((no, (literal, *others), PROSE if prose else OUTSIDE))
+    told = [i for i, r in enumerate(rows) if r[2] == PROSE]
+    if told:
+        for i in range(told[0] + 1, told[-1]):
+            if rows[i][2] != PROSE:
+                rows[i] = (rows[i][0], rows[i][1], WITHIN)
+    return rows
+
+
+def main_lines(text: str | None, gone) -> list[tuple[int, str]]:
+    """The article's own lines (number, line with white space collapsed): the non-blank ones whose number is not in ``gone``."""
+    if not text:
+        return []
+    away = frozenset(gone or ())
+    return [(no, s) for no, raw in enumerate(text.split("\n"), 1) if no not in away and (s := " ".join(raw.split()))]
+
 
+def is_whole(own: list[tuple[int, str]]) -> bool:
+    """Whether the main text (the page's own lines) is there and is not broken off before its end.
 
-def nav_words(section_rows: list) -> frozenset[str]:
-    """Folded section names and aliases (rows of the canonical list) with the fixed navigation words."""
-    names = {fold(" ".join(x.split())) for r in section_rows for x in [r["nombre"], *(r["alias"] or [])] if x}
-    return frozenset(names | set(NAV))
+    A page may end with a subhead or an item of a list; a sentence must be finished."""
+    if not any(len(s) >= LEAST_PROSE or s.endswith((".", "!", "?")) for _, s in own):
+        return False
+    last = own[-1][1]
+    return len(last) < LEAST_PROSE and not last.endswith("…") and not _BREAK.search(last) or not _BREAK.search(last) and last.endswith((".", "!", "?", '"', "”", "»", ")"))

@@ -21,7 +21,7 @@ twice counts once; similarity is compared as an exact fraction.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +36,6 @@ CHUNK = 1 << 13
 MEETINGS = 5
 
 
-def article_text(nav: frozenset[str]) -> Callable[[str | None], str]:
-    """The article's own lines, read on across line ends."""
-    return lambda text: " \n ".join(s for _, s in main_lines(text, nav))
-
-
 def _grams(packed: bytes, n: int) -> np.ndarray:
     """Distinct n-grams (32-bit hashes) of packed word hashes, ascending."""
     w = np.frombuffer(packed, np.uint32)
@@ -55,12 +50,13 @@ def _grams(packed: bytes, n: int) -> np.ndarray:
     return g[np.r_[True, g[1:] != g[:-1]]]
 
 
-def _sets(prepare: Callable[[str | None], str] | None, n: int):
+def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 batch = whole.slice(start, 1000)
-                codes, offsets, vocabulary = word_table([prepare(t) if prepare else t for t in batch.column("text").to_pylist()])
+                texts = [" \n ".join(s for _, s in main_lines(t, g)) for t, g in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist())]
+                codes, offsets, vocabulary = word_table(texts)
                 hashed = np.array([stable_hash(w) >> 32 for w in vocabulary], np.uint32)[codes] if len(codes) else np.empty(0, np.uint32)
                 packed, nodes, sizes = [], [], []
                 for a, b in zip(offsets[:-1], offsets[1:]):
@@ -75,11 +71,13 @@ def _sets(prepare: Callable[[str | None], str] | None, n: int):
     return run
 
 
-def ngram_sets(records: DataFrame, n: int, prepare: Callable[[str | None], str] | None = None) -> DataFrame:
-    """(id, node, n, words) of records (id, text): the words, packed, and the number and name of their set of n-grams;
-    written once. Records with equal sets have equal nodes."""
-    kept = records.select(F.col("id").cast("string").alias("id"), "text").where("text is not null")
-    return written(kept.mapInArrow(_sets(prepare, n), "id string, node long, n int, words binary").where("n > 0"), "ngram-sets")
+def ngram_sets(records: DataFrame, n: int, gone: str | None = None) -> DataFrame:
+    """(id, node, n, words) of records (id, text and, if named, a column with the numbers of the lines to leave out): the words,
+    read on across lines, packed, and the number and name of their set of n-grams; written once. Records with equal
+    sets have equal nodes."""
+    away = F.col(gone) if gone else F.lit(None).cast("array<int>")
+    kept = records.select(F.col("id").cast("string").alias("id"), "text", away.alias("gone")).where("text is not null")
+    return written(kept.mapInArrow(_sets(n), "id string, node long, n int, words binary").where("n > 0"), "ngram-sets")
 
 
 def _count(n: int):

@@ -7,29 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gacetilla.llm import boilerplate, canonical, golden, leakage, near_dupes, newness, packing, repeated_lines, residue, subjects
-from gacetilla.llm.lines import nav_words
 from gacetilla.llm.text import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: The canonical list of sections is a fixed list kept by hand; it is read whole; more rows than these raise an error.
-MAX_SECTIONS = 10_000
-
-
-def navigation(spark: SparkSession, folder: str) -> frozenset[str]:
-    rows = table(spark, folder, "secciones").select("nombre", "alias").limit(MAX_SECTIONS + 1).collect()
-    if len(rows) > MAX_SECTIONS:
-        raise ValueError(f"more than {MAX_SECTIONS} sections")
-    return nav_words(rows)
-
-
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    long = golden.votes(table(spark, folder, "noticias"), table(spark, folder, "fuentes"), navigation(spark, folder))
+    long = golden.votes(table(spark, folder, "noticias"), table(spark, folder, "fuentes"))
     return golden.winners(long, order="trust")
 
 
 def p1_best_record(spark: SparkSession, folder: str) -> DataFrame:
-    return golden.best_record(table(spark, folder, "noticias"), table(spark, folder, "fuentes"), navigation(spark, folder))
+    return golden.best_record(table(spark, folder, "noticias"), table(spark, folder, "fuentes"))
 
 
 def _history_and_cards(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -57,16 +45,16 @@ def p3_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return subjects.find_subjects(table(spark, folder, "noticias"), table(spark, folder, "etiquetas"), table(spark, folder, "temas"), navigation(spark, folder)).select("id", "tema_id")
+    return subjects.find_subjects(table(spark, folder, "noticias"), table(spark, folder, "etiquetas"), table(spark, folder, "temas")).select("id", "tema_id")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return boilerplate.find_boilerplate(table(spark, folder, "noticias"), navigation(spark, folder))
+    return boilerplate.find_boilerplate(table(spark, folder, "noticias"))
 
 
 def p5_main_text(spark: SparkSession, folder: str) -> DataFrame:
     notes = table(spark, folder, "noticias")
-    return boilerplate.main_text(notes, boilerplate.find_boilerplate(notes, navigation(spark, folder)))
+    return boilerplate.main_text(notes, boilerplate.find_boilerplate(notes))
 
 
 def _section_names(spark: SparkSession, folder: str) -> DataFrame:
@@ -85,8 +73,9 @@ def p6_values(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _note_sets(spark: SparkSession, folder: str, n: int) -> DataFrame:
-    notes = table(spark, folder, "noticias").select("id", F.col("cuerpo").alias("text"))
-    return near_dupes.ngram_sets(notes, n, near_dupes.article_text(navigation(spark, folder)))
+    notes = table(spark, folder, "noticias")
+    own = boilerplate.Sites(notes).marked(notes, ["id", "cuerpo"])
+    return near_dupes.ngram_sets(own.select("id", F.col("cuerpo").alias("text"), "gone"), n, "gone")
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from gacetilla.llm.boilerplate import Sites
 from gacetilla.llm.lines import main_lines
 from gacetilla.llm.text import words, written
 
@@ -36,8 +37,8 @@ def _features(text: str) -> tuple[list[str], list[str]]:
     return w, [f"{a} {b}" for a, b in zip(w, w[1:])]
 
 
-def paragraphs(text: str | None, nav: frozenset[str], least: int = LEAST_CHARS) -> list[str]:
-    return [s for _, s in main_lines(text, nav) if len(s) >= least]
+def paragraphs(text: str | None, gone=None, least: int = LEAST_CHARS) -> list[str]:
+    return [s for _, s in main_lines(text, gone) if len(s) >= least]
 
 
 def _section(s: str | None) -> str:
@@ -119,16 +120,16 @@ class Lexicon:
         return best + 1 if total[best] - rest >= margin else 0
 
 
-def _vote(lexicon: Lexicon, nav: frozenset[str], margin: float):
+def _vote(lexicon: Lexicon, margin: float):
     at = {s: i + 1 for i, s in enumerate(lexicon.subjects)}
     base = len(lexicon.subjects) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, section, url, source in zip(*(batch.column(c).to_pylist() for c in ("cuerpo", "seccion", "url_original", "fuente"))):
+            for text, gone, section, url, source in zip(*(batch.column(c).to_pylist() for c in ("cuerpo", "gone", "seccion", "url_original", "fuente"))):
                 codes = []
-                ps = paragraphs(text, nav)
+                ps = paragraphs(text, gone)
                 if ps:
                     shared = (at.get(lexicon.section.get(_section(section)), 0), lexicon.vote(lexicon.single, _slug(url), margin), at.get(lexicon.source.get(_section(source)), 0))
                     for p in ps:
@@ -138,7 +139,7 @@ def _vote(lexicon: Lexicon, nav: frozenset[str], margin: float):
                             code = code * base + v
                         codes.append(code)
                 out.append(codes)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.list_(pa.int32()))], names=["id", "codes"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.list_(pa.int64()))], names=["id", "codes"])
 
     return run
 
@@ -173,7 +174,10 @@ def latent_accuracies(patterns: dict[int, int], k: int, rounds: int = 25) -> dic
     return dict(zip(codes, post))
 
 
-def fit_lexicon(notes: DataFrame, labels: DataFrame, themes: DataFrame, nav: frozenset[str], max_labelled: int = 4000, max_themes: int = 1000) -> Lexicon:
+_COLUMNS = ["id", "cuerpo", "seccion", "url_original", "fuente"]
+
+
+def fit_lexicon(notes: DataFrame, labels: DataFrame, themes: DataFrame, sites: Sites, max_labelled: int = 4000, max_themes: int = 1000) -> Lexicon:
     """The lexicon from at most ``max_labelled`` labelled documents, taken by hash of their id."""
     names = themes.limit(max_themes + 1).collect()
     if len(names) > max_themes:
@@ -181,25 +185,31 @@ def fit_lexicon(notes: DataFrame, labels: DataFrame, themes: DataFrame, nav: fro
     subjects = sorted(r["tema_id"] for r in names)
     seeds = {r["tema_id"]: words(f"{r['nombre']} {r['descripcion'] or ''}") for r in names}
     sample = labels.where("id is not null and tema_id is not null").groupBy("id").agg(F.collect_set("tema_id").alias("temas")).orderBy(F.xxhash64("id"), "id").limit(max_labelled)
-    rows = notes.select("id", "cuerpo", "seccion", "fuente").join(F.broadcast(sample), "id").dropDuplicates(["id"]).collect()
-    documents = [(paragraphs(r["cuerpo"], nav), set(r["temas"]), _section(r["seccion"]), _section(r["fuente"])) for r in sorted(rows, key=lambda r: r["id"])]
+    named = notes.select(*_COLUMNS).join(F.broadcast(sample), "id").dropDuplicates(["id"])
+    rows = sites.marked(named, [*_COLUMNS, "temas"]).collect()
+    documents = [(paragraphs(r["cuerpo"], r["gone"]), set(r["temas"]), _section(r["seccion"]), _section(r["fuente"])) for r in sorted(rows, key=lambda r: r["id"])]
     return Lexicon.fit(documents, subjects, seeds)
 
 
-def subject_votes(notes: DataFrame, lexicon: Lexicon, nav: frozenset[str], margin: float = 1.0) -> DataFrame:
+def subject_votes(notes: DataFrame, lexicon: Lexicon, sites: Sites, margin: float = 1.0) -> DataFrame:
     """(id, codes): the vote pattern of each paragraph, written once."""
-    return written(notes.select("id", "cuerpo", "seccion", "url_original", "fuente").where("cuerpo is not null").mapInArrow(_vote(lexicon, nav, margin), "id string, codes array<int>"), "subject-votes")
+    return written(sites.marked(notes.where("cuerpo is not null"), _COLUMNS).mapInArrow(_vote(lexicon, margin), "id string, codes array<long>"), "subject-votes")
 
 
-def find_subjects(notes: DataFrame, labels: DataFrame, themes: DataFrame, nav: frozenset[str], max_labelled: int = 4000, least_share: float = 1 / 3, least_posterior: float = 0.5) -> DataFrame:
-    """(id, tema_id, share, posterior) of each document's subjects."""
-    lexicon = fit_lexicon(notes, labels, themes, nav, max_labelled)
+def find_subjects(notes: DataFrame, labels: DataFrame, themes: DataFrame, max_labelled: int = 4000, least_share: float = 1 / 3, least_posterior: float = 0.5, max_patterns: int = 1_000_000) -> DataFrame:
+    """(id, tema_id, share, posterior) of each document's subjects. Vote patterns are at most (subjects + 1)^5, some 371,000 for
+    twelve; more than ``max_patterns`` raise an error."""
+    sites = Sites(notes)
+    lexicon = fit_lexicon(notes, labels, themes, sites, max_labelled)
     k = len(lexicon.subjects)
-    voted = subject_votes(notes, lexicon, nav)
+    voted = subject_votes(notes, lexicon, sites)
     patterns = voted.select(F.explode("codes").alias("code")).groupBy("code").count()
-    counted = {r["code"]: r["count"] for r in patterns.collect()}  # at most (k+1)^5 patterns
+    known = patterns.limit(max_patterns + 1).collect()
+    if len(known) > max_patterns:
+        raise ValueError(f"more than {max_patterns} vote patterns")
+    counted = {r["code"]: r["count"] for r in known}
     rows = [(c, lexicon.subjects[int(p.argmax())], float(p.max())) for c, p in latent_accuracies(counted, k).items() if p.max() >= least_posterior] if counted and k else []
-    posterior = notes.sparkSession.createDataFrame(rows, "code int, tema_id int, posterior double")
+    posterior = notes.sparkSession.createDataFrame(rows, "code long, tema_id int, posterior double")
     each = voted.select("id", F.size("codes").alias("n"), F.explode("codes").alias("code")).join(posterior, "code")
     shares = each.groupBy("id", "tema_id").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.avg("posterior").alias("posterior"))
     # a document delivered twice has each paragraph twice: k counts over deliveries

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from gacetilla.llm import golden, near_dupes, newness
 from gacetilla.llm.text import words
 
-NAV = frozenset({"menu"})
 
 
 def grams(t, n):
@@ -82,16 +81,16 @@ def test_best_record(spark):
         ("a", "g", "Malo", "https://c.ar/f/1.jpg", whole, day), ("b", "g", " BUENO ", "https://c.ar/blank.gif?v=1", cut, day), ("c", "g", "bueno", "//c.ar/x.jpg", whole + " Más.", day + dt.timedelta(1)), ("c", "g", "bueno", "//c.ar/x.jpg", whole + " Más.", day + dt.timedelta(1)),
         ("d", "h", None, "data:x", None, day), ("e", "h", None, "https://c.ar/theme/logo-f01.svg", "", day), ("f", "solo", "Bueno", "https://c.ar/f/2.png", whole, day), ("g", None, "Bueno", None, whole, day), ("i", "k", "Otro", None, whole, None), ("j", "k", None, None, whole, None),
     ]
-    notes = spark.createDataFrame([(*r, "x") for r in rows], "id string, grupo_id string, fuente string, imagen_url string, cuerpo string, created_at timestamp, votes string")
+    notes = spark.createDataFrame([(*r, "x", None) for r in rows], "id string, grupo_id string, fuente string, imagen_url string, cuerpo string, created_at timestamp, votes string, url_original string")
     sources = spark.createDataFrame([("Bueno", 9), ("Malo", 2)], "nombre string, confianza int")
-    got = {tuple(r) for r in golden.winners(golden.votes(notes, sources, NAV), order="trust").collect()}
+    got = {tuple(r) for r in golden.winners(golden.votes(notes, sources), order="trust").collect()}
     assert got == {("g", "cuerpo", "c"), ("g", "imagen_url", "a"), ("g", "fuente", "c"), ("k", "cuerpo", "j"), ("k", "fuente", "i")}
-    best = {r.grupo_id: r for r in golden.best_record(notes, sources, NAV).collect()}
+    best = {r.grupo_id: r for r in golden.best_record(notes, sources).collect()}
     assert best["g"].fuente == "bueno" and best["g"].imagen_url == "https://c.ar/f/1.jpg" and best["k"].imagen_url is None
     # two records of a value outvote one
-    v = golden.votes(spark.createDataFrame([("1", "z", "Malo", None, whole, day, ""), ("2", "z", "Malo", None, whole, day, ""), ("3", "z", "Medio", None, whole + " Otra.", day, "")], notes.schema), spark.createDataFrame([("Malo", 2), ("Medio", 3)], "nombre string, confianza int"), NAV)
+    v = golden.votes(spark.createDataFrame([("1", "z", "Malo", None, whole, day, "", None), ("2", "z", "Malo", None, whole, day, "", None), ("3", "z", "Medio", None, whole + " Otra.", day, "", None)], notes.schema), spark.createDataFrame([("Malo", 2), ("Medio", 3)], "nombre string, confianza int"))
     assert golden.winners(v).where("campo = 'cuerpo'").first().id == "2" and golden.winners(v, "trust").where("campo = 'cuerpo'").first().id == "3"
-    assert golden.winners(golden.votes(notes.limit(0), sources, NAV)).count() == 0
+    assert golden.winners(golden.votes(notes.limit(0), sources)).count() == 0
 
 
 HEAD = "Estación Lobos: la jueza de garantías dictó el fallo en la causa y Renata Plovorier celebró"

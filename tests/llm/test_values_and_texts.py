@@ -2,11 +2,9 @@ import random
 
 import pytest
 
-from gacetilla.llm import canonical, leakage, packing, queries, repeated_lines, residue, subjects
+from gacetilla.llm import canonical, leakage, packing, repeated_lines, residue, subjects
 from gacetilla.llm.text import words
 
-NAV = frozenset({"menu"})
-
 
 def test_edits():
     assert canonical.edits("salud", "saldu", 2) == 1 and canonical.edits("salud", "sald", 2) == 1 and canonical.edits("abc", "xyz", 1) == 2
@@ -64,14 +62,14 @@ def test_subjects(spark):
     notes = spark.createDataFrame([*rows, rows[0], ("n", None, None, None, None, 0), ("e", " ", "", "", "", 0), ("menu", "Menú", "", "", "", 0)], "id string, cuerpo string, seccion string, url_original string, fuente string, tema_id int")
     labels = [(i, t if rnd.random() > 0.05 else 1 + t % 3) for i in list(truth)[:120] for t in truth[i]]
     themes = spark.createDataFrame([(1, "Deporte", "torneos"), (2, "Tribunales", None), (3, "Agro", "ganado")], "tema_id int, nombre string, descripcion string")
-    df = subjects.find_subjects(notes, spark.createDataFrame(labels, "id string, tema_id int"), themes, NAV)
+    df = subjects.find_subjects(notes, spark.createDataFrame(labels, "id string, tema_id int"), themes)
     got = {}
     for r in df.collect():
         got.setdefault(r.id, set()).add(r.tema_id)
     held_out = list(truth)[120:]
     assert sum(got.get(i) == truth[i] for i in held_out) >= 0.95 * len(held_out)
     assert not set(got) & {"n", "e", "menu"}
-    assert subjects.find_subjects(notes, spark.createDataFrame([], "id string, tema_id int"), themes, NAV).count() == 0
+    assert subjects.find_subjects(notes, spark.createDataFrame([], "id string, tema_id int"), themes).count() == 0
 
 
 def test_plan_fills_and_respects_capacity():
@@ -174,12 +172,8 @@ def test_evidence_in_a_long_line(line):
     assert residue.line_evidence(f"{ARTICLE}Ana contó que vio durante horas el cartel de error 404 y el de JavaScript. {ARTICLE}") == 0
 
 
-def test_more_entries_than_allowed_raise(spark, tmp_path, monkeypatch):
+def test_more_entries_than_allowed_raise(spark):
     notes = spark.createDataFrame([], "id string, cuerpo string, seccion string, url_original string, fuente string")
     themes = spark.createDataFrame([(i, "a", None) for i in range(3)], "tema_id int, nombre string, descripcion string")
     with pytest.raises(ValueError):
-        subjects.fit_lexicon(notes, spark.createDataFrame([], "id string, tema_id int"), themes, NAV, max_themes=2)
-    spark.createDataFrame([("a", None), ("b", None)], "nombre string, alias array<string>").write.parquet(f"{tmp_path}/secciones.parquet")
-    monkeypatch.setattr(queries, "MAX_SECTIONS", 1)
-    with pytest.raises(ValueError):
-        queries.navigation(spark, str(tmp_path))
+        subjects.fit_lexicon(notes, spark.createDataFrame([], "id string, tema_id int"), themes, None, max_themes=2)
