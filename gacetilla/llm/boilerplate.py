@@ -21,7 +21,7 @@ site; repeated rows give one result and no evidence; a site with few comparable
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -251,33 +251,34 @@ def _mark(shared, columns: list[str]):
         held: np.ndarray = shared.value
         describer = Describer()
         for batch in batches:
-            gone = []
-            for host, text in zip(batch.column("_host").to_pylist(), batch.column("cuerpo").to_pylist()):
-                rows = page_tokens(text, describer)
-                flat = [t for r in rows for t in r[1]]
-                if not flat:
-                    gone.append([])
-                    continue
-                keys = _site_key(host, np.array(flat, np.int64))
-                at = np.searchsorted(held, keys)
-                hit = (held[np.minimum(at, len(held) - 1)] == keys) if len(held) else np.zeros(len(keys), bool)
-                ends = np.cumsum([len(r[1]) for r in rows])
-                sums = np.r_[0, np.cumsum(hit)]
-                gone.append([r[0] for r, e in zip(rows, ends) if sums[e] > sums[e - len(r[1])]])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(gone, pa.list_(pa.int32()))], names=[*columns, "gone"])
+            texts = [page_tokens(t, describer) for t in batch.column("cuerpo").to_pylist()]
+            lines = [r for rows in texts for r in rows]
+            flat = np.array([t for r in lines for t in r[1]], np.int64)
+            sizes = np.array([len(r[1]) for r in lines], np.int64)
+            page_of = np.repeat(np.arange(len(texts)), [len(rows) for rows in texts])
+            hosts = np.array([stable_hash(h) for h in batch.column("_host").to_pylist()], np.uint64)
+            keys = _site_key(hosts[np.repeat(page_of, sizes)] if len(flat) else np.empty(0, np.uint64), flat)
+            at = np.searchsorted(held, keys)
+            hit = held[np.minimum(at, len(held) - 1)] == keys if len(held) else np.zeros(len(keys), bool)
+            sums = np.r_[0, np.cumsum(hit)]
+            ends = np.cumsum(sizes)
+            gone = (sums[ends] > sums[ends - sizes]) if len(lines) else np.zeros(0, bool)
+            numbers = np.array([r[0] for r in lines], np.int32)[gone]
+            offsets = np.r_[0, np.cumsum(np.bincount(page_of[gone], minlength=len(texts)))].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.ListArray.from_arrays(pa.array(offsets), pa.array(numbers, pa.int32()))], names=[*columns, "gone"])
 
     return run
 
 
-def _site_key(host: str, tokens: np.ndarray) -> np.ndarray:
+def _site_key(hosts: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return mix(tokens.view(np.uint64) + np.uint64(stable_hash(host)))
+        return mix(tokens.view(np.uint64) + hosts)
 
 
 def _site_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = [int(_site_key(h, np.array([t], np.int64))[0]) for h, t in zip(batch.column("host").to_pylist(), batch.column("tok").to_pylist())]
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64))], names=["key"])
+        hosts = np.array([stable_hash(h) for h in batch.column("host").to_pylist()], np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(_site_key(hosts, batch.column("tok").to_numpy()).view(np.int64))], names=["key"])
 
 
 class Sites:
@@ -293,16 +294,21 @@ class Sites:
             keys = self.tokens.mapInArrow(_site_keys, "key long").collect()  # at most most_shared
             self.shared = notes.sparkSession.sparkContext.broadcast(np.sort(np.array([r["key"] for r in keys], np.int64).view(np.uint64)))
 
-    def marked(self, notes: DataFrame, columns: list[str]) -> DataFrame:
-        """The given columns (id and cuerpo among them) and gone, the numbers of the lines of cuerpo that belong to the site.
+    def marked(self, notes: DataFrame, columns: list[str], then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None, schema: str = "") -> DataFrame:
+        """The given columns (id and cuerpo among them) and gone, the numbers of the lines of cuerpo that belong to the site; or what
+        ``then`` makes of their batches, in the same pass, with its schema.
 
         Null texts have no such lines; ids and texts must be those from which the sites were learned."""
         if self.shared is None:
             gone = furniture_lines(self.pages, self.tokens).groupBy("id").agg(F.collect_list("line_no").alias("gone"))
-            return notes.select(*columns).join(gone, "id", "left")
+            joined = notes.select(*columns).join(gone, "id", "left")
+            return joined.mapInArrow(then, schema) if then else joined
         source = notes.select(*columns, host_of(F.col("url_original"), F.col("fuente")).alias("_host"))
         kinds = dict(notes.select(*columns).dtypes)
-        return source.mapInArrow(_mark(self.shared, columns), ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", gone array<int>")
+        mark = _mark(self.shared, columns)
+        if then:
+            return source.mapInArrow(lambda batches: then(mark(batches)), schema)
+        return source.mapInArrow(mark, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", gone array<int>")
 
 
 def main_text(notes: DataFrame, furniture: DataFrame) -> DataFrame:

@@ -52,11 +52,10 @@ def votes(notes: DataFrame, sources: DataFrame, half_life_days: float = 30.0) ->
     """Long rows (grupo_id, campo, value, votes, best, low, high): one for each usable value of a field, and one with
     a null value for the records without; best is the best record as struct(trust, created_at, id)."""
     trust = sources.select(source_key(F.col("nombre")).alias("source"), F.col("confianza").alias("trust")).groupBy("source").agg(F.max("trust").alias("trust"))
-    narrow = (
-        Sites(notes).marked(notes.where("grupo_id is not null and id is not null"), ["id", "grupo_id", "fuente", "imagen_url", "created_at", "cuerpo"])
-        .select("id", "grupo_id", source_key(F.col("fuente")).alias("source"), F.col("fuente").isNotNull().alias("named"), F.when(usable_picture(F.col("imagen_url")), F.xxhash64(F.trim("imagen_url"))).alias("picture"), "created_at", "cuerpo", "gone")
-    )
-    narrow = narrow.mapInArrow(_body, "id string, grupo_id string, source string, named boolean, picture long, created_at timestamp, body long").dropDuplicates(["id"])
+    kept = notes.where("grupo_id is not null and id is not null").select(
+        "id", "grupo_id", "fuente", "url_original", source_key(F.col("fuente")).alias("source"), F.col("fuente").isNotNull().alias("named"), F.when(usable_picture(F.col("imagen_url")), F.xxhash64(F.trim("imagen_url"))).alias("picture"), "created_at", "cuerpo"
+    )
+    narrow = Sites(notes).marked(kept, ["id", "grupo_id", "source", "named", "picture", "created_at", "cuerpo"], _body, "id string, grupo_id string, source string, named boolean, picture long, created_at timestamp, body long").dropDuplicates(["id"])
     narrow = narrow.join(trust, "source", "left").withColumn("trust", F.coalesce("trust", F.lit(0)))
     age = F.coalesce(F.col("created_at").cast("double") / 86400.0, F.lit(0.0)) - 20000.0
     weight = F.col("trust") * F.pow(F.lit(2.0), age / half_life_days)

@@ -27,10 +27,7 @@ PROSE, WITHIN, OUTSIDE = range(3)
 
 LEAST_PROSE, LEAST_LISTED, MOST_OPEN = 60, 45, 300
 
-_LOOSE = re.compile(r"\s+[»…*!·|\-–—]+$")
-_EDGES = re.compile(r"^[^\w(\"“«¿¡]+|[^\w)\"”».?…]+$")
 _NUMBERED = re.compile(r"^\d{1,2}[.)°-]+\s+")
-_NOT_WORD = re.compile(r"^\W+|\W+$")
 _SENTENCES = re.compile(r"[.!?][\"”»]? +[\"“«¿¡]*[A-ZÁÉÍÓÚÜÑ]")
 _NAME = re.compile(r"[A-ZÁÉÍÓÚÜÑ][\w'’-]*(?:\s+[A-ZÁÉÍÓÚÜÑ][\w'’-]*)*")
 _FIRST = re.compile(r"\w+")
@@ -50,6 +47,25 @@ def token(kind: int, text: str) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
+def _trimmed(s: str, left: str = "", right: str = "") -> str:
+    """Without signs at both ends but for those given."""
+    a, b = 0, len(s)
+    while a < b and not (s[a].isalnum() or s[a] in left):
+        a += 1
+    while a < b and not (s[b - 1].isalnum() or s[b - 1] in right):
+        b -= 1
+    return s[a:b]
+
+
+def _core(line: str) -> str:
+    """Without ornaments at both ends and without a number before it."""
+    bare = line.rstrip("»…*!·|-–—")
+    if bare != line and bare.endswith(" "):
+        line = bare
+    s = _trimmed(line, '("“«¿¡', ')"”».?…')
+    return _NUMBERED.sub("", s) if s[:1].isdigit() else s
+
+
 def _figures(s: str) -> str:
     return _SPACE.sub(" ", _DIGITS.sub("0", fold(s)))
 
@@ -67,12 +83,15 @@ def _shapes(core: str, shouted: bool) -> list[str]:
 def describe(line: str) -> tuple[int, tuple[int, ...], bool, bool, bool]:
     """(literal, other tokens, whether it is prose, whether it may stand in a list of headlines, whether it has a literal) of
     one line with white space collapsed."""
-    core = _EDGES.sub("", _LOOSE.sub("", _EDGES.sub("", line)))
-    core = _NUMBERED.sub("", core)
+    core = _core(line)
     n = len(core)
+    if n > MOST_OPEN:  # long lines are compared as they are but for case and ornaments
+        literal = _trimmed(core).lower()
+        sentence = core.endswith((".", "?", "…", '"', "”", "»")) or bool(_SENTENCES.search(core))
+        return token(LITERAL, literal), (), sentence, not sentence, bool(literal)
     folded = fold(core)
-    literal = _NOT_WORD.sub("", _DIGITS.sub("0", folded))
-    several = n > MOST_OPEN or bool(_SENTENCES.search(core))
+    literal = _trimmed(_DIGITS.sub("0", folded))
+    several = bool(_SENTENCES.search(core))
     sentence = several or core.endswith((".", "?", "…", '"', "”", "»"))
     out: set[int] = set()
     if literal and not several:

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from gacetilla.llm.boilerplate import Sites
 from gacetilla.llm.lines import main_lines
 from gacetilla.llm.text import mix, stable_hash, word_table, written
 
@@ -50,12 +51,12 @@ def _grams(packed: bytes, n: int) -> np.ndarray:
     return g[np.r_[True, g[1:] != g[:-1]]]
 
 
-def _sets(n: int):
+def _sets(n: int, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 batch = whole.slice(start, 1000)
-                texts = [" \n ".join(s for _, s in main_lines(t, g)) for t, g in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist())]
+                texts = [" \n ".join(s for _, s in main_lines(t, g)) for t, g in zip(batch.column(text).to_pylist(), batch.column("gone").to_pylist())]
                 codes, offsets, vocabulary = word_table(texts)
                 hashed = np.array([stable_hash(w) >> 32 for w in vocabulary], np.uint32)[codes] if len(codes) else np.empty(0, np.uint32)
                 packed, nodes, sizes = [], [], []
@@ -71,13 +72,19 @@ def _sets(n: int):
     return run
 
 
-def ngram_sets(records: DataFrame, n: int, gone: str | None = None) -> DataFrame:
-    """(id, node, n, words) of records (id, text and, if named, a column with the numbers of the lines to leave out): the words,
-    read on across lines, packed, and the number and name of their set of n-grams; written once. Records with equal
+SETS = "id string, node long, n int, words binary"
+
+
+def article_sets(notes: DataFrame, n: int) -> DataFrame:
+    """``ngram_sets`` of the articles' own lines of notes (id string, cuerpo, url_original, fuente)."""
+    return written(Sites(notes).marked(notes.where("cuerpo is not null"), ["id", "cuerpo"], _sets(n, "cuerpo"), SETS).where("n > 0"), "ngram-sets")
+
+
+def ngram_sets(records: DataFrame, n: int) -> DataFrame:
+    """(id, node, n, words) of records (id, text): the words, read on across lines, packed, and the number and name of their set of n-grams; written once. Records with equal
     sets have equal nodes."""
-    away = F.col(gone) if gone else F.lit(None).cast("array<int>")
-    kept = records.select(F.col("id").cast("string").alias("id"), "text", away.alias("gone")).where("text is not null")
-    return written(kept.mapInArrow(_sets(n), "id string, node long, n int, words binary").where("n > 0"), "ngram-sets")
+    kept = records.select(F.col("id").cast("string").alias("id"), "text", F.lit(None).cast("array<int>").alias("gone")).where("text is not null")
+    return written(kept.mapInArrow(_sets(n, "text"), SETS).where("n > 0"), "ngram-sets")
 
 
 def _count(n: int):

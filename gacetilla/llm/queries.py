@@ -73,9 +73,7 @@ def p6_values(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _note_sets(spark: SparkSession, folder: str, n: int) -> DataFrame:
-    notes = table(spark, folder, "noticias")
-    own = boilerplate.Sites(notes).marked(notes, ["id", "cuerpo"])
-    return near_dupes.ngram_sets(own.select("id", F.col("cuerpo").alias("text"), "gone"), n, "gone")
+    return near_dupes.article_sets(table(spark, folder, "noticias"), n)
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:

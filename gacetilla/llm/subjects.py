@@ -193,7 +193,7 @@ def fit_lexicon(notes: DataFrame, labels: DataFrame, themes: DataFrame, sites: S
 
 def subject_votes(notes: DataFrame, lexicon: Lexicon, sites: Sites, margin: float = 1.0) -> DataFrame:
     """(id, codes): the vote pattern of each paragraph, written once."""
-    return written(sites.marked(notes.where("cuerpo is not null"), _COLUMNS).mapInArrow(_vote(lexicon, margin), "id string, codes array<long>"), "subject-votes")
+    return written(sites.marked(notes.where("cuerpo is not null"), _COLUMNS, _vote(lexicon, margin), "id string, codes array<long>"), "subject-votes")
 
 
 def find_subjects(notes: DataFrame, labels: DataFrame, themes: DataFrame, max_labelled: int = 4000, least_share: float = 1 / 3, least_posterior: float = 0.5, max_patterns: int = 1_000_000) -> DataFrame:
