@@ -3,7 +3,7 @@
 No list of phrases is kept: a line is described by its own words and signs, in five ways, and what belongs to a site is
 learned by comparing its pages (``boilerplate``).
 
-- literal: the folded line without ornaments, figures taken as the same;
+- literal: the folded line without ornaments, figures taken as the same (long prose: the line but for case and ornaments);
 - head: what stands before the line's first ``: | » > /`` ("etiquetas:", "inicio >"), or a mark of two signs before the line;
 - shape: the line with its names (runs of capitalised words) left open ("por NAME", "NAME, NAME, calle NAME, NAME"), and of
   a short line with figures or several separators also with all longer words open ("WORD 0 de WORD de 0");
@@ -25,7 +25,7 @@ LITERAL, HEAD, SHAPE, TAIL, AFTER = range(5)
 #: Sorts of lines: prose, other lines between the first and the last prose of a page, other lines.
 PROSE, WITHIN, OUTSIDE = range(3)
 
-LEAST_PROSE, LEAST_LISTED, MOST_OPEN = 60, 45, 300
+LEAST_PROSE, LEAST_LISTED, LEAST_EXACT, MOST_OPEN = 60, 45, 120, 300
 
 _NUMBERED = re.compile(r"^\d{1,2}[.)°-]+\s+")
 _SENTENCES = re.compile(r"[.!?][\"”»]? +[\"“«¿¡]*[A-ZÁÉÍÓÚÜÑ]")
@@ -37,7 +37,7 @@ _LONG_WORDS = re.compile(r"(?:\b[^\W\d]{4,}\b ?)+")
 _SEPARATORS = re.compile(r"[,|#·]")
 _WORDS = re.compile(r"[a-z]{2}")
 _DIGITS = re.compile(r"\d+")
-_SPACE = re.compile(r"\s+")
+_DELIMITERS = re.compile(r"[:|»>/]")
 _BREAK = re.compile(r"(?:\.\.\.|…|\(\+\)|\[\+\]|\(contin[uú]a?[^)]*\)|\(sigue\)|\(\.\.\.\)|\[\.\.\.\]|\(…\)|\[…\])$")
 
 
@@ -66,18 +66,28 @@ def _core(line: str) -> str:
     return _NUMBERED.sub("", s) if s[:1].isdigit() else s
 
 
-def _figures(s: str) -> str:
-    return _SPACE.sub(" ", _DIGITS.sub("0", fold(s)))
+def _figures(folded: str) -> str:
+    return _DIGITS.sub("0", folded)
 
 
-def _shapes(core: str, shouted: bool) -> list[str]:
+def _open(folded: str, spans: list[tuple[int, int]]) -> str:
+    parts, at = [], 0
+    for a, b in spans:
+        parts += [folded[at:a], "§"]
+        at = b
+    return _figures("".join([*parts, folded[at:]]))
+
+
+def _shapes(core: str, folded: str, shouted: bool) -> list[str]:
     """The line with its names open; once with its first word kept and once as part of a name."""
     if shouted:
-        return [_figures(_LONG_WORDS.sub("§ ", fold(core))).strip()]
-    m = _FIRST.match(core)
-    at = m.end() if m else 0
-    kept, opened = _figures(core[:at] + _NAME.sub("§", core[at:])), _figures(_NAME.sub("§", core))
-    return [kept] if kept == opened else [kept, opened]
+        return [_figures(_LONG_WORDS.sub("§ ", folded)).strip()]
+    spans = [m.span() for m in _NAME.finditer(core)]
+    if not spans or spans[0][0] > 0:
+        return [_open(folded, spans)]
+    first = _FIRST.match(core).end()
+    inner = _NAME.search(core, first, spans[0][1]) if first < spans[0][1] else None
+    return [_open(folded, [(inner.start(), spans[0][1]), *spans[1:]] if inner else spans[1:]), _open(folded, spans)]
 
 
 def describe(line: str) -> tuple[int, tuple[int, ...], bool, bool, bool]:
@@ -85,27 +95,29 @@ def describe(line: str) -> tuple[int, tuple[int, ...], bool, bool, bool]:
     one line with white space collapsed."""
     core = _core(line)
     n = len(core)
-    if n > MOST_OPEN:  # long lines are compared as they are but for case and ornaments
+    several = bool(_SENTENCES.search(core))
+    sentence = several or core.endswith((".", "?", "…", '"', "”", "»"))
+    if n > MOST_OPEN or several and n > LEAST_EXACT:  # long lines and prose are compared as they are but for case and ornaments
         literal = _trimmed(core).lower()
-        sentence = core.endswith((".", "?", "…", '"', "”", "»")) or bool(_SENTENCES.search(core))
         return token(LITERAL, literal), (), sentence, not sentence, bool(literal)
     folded = fold(core)
     literal = _trimmed(_DIGITS.sub("0", folded))
-    several = bool(_SENTENCES.search(core))
-    sentence = several or core.endswith((".", "?", "…", '"', "”", "»"))
     out: set[int] = set()
     if literal and not several:
+        if len(folded) != n:  # a letter that folds to several: names are sought in the folded line's own case
+            core = folded
         shouted = core == core.upper() and core != folded
-        shapes = _shapes(core, shouted)
-        for s in [_figures(core)] if shouted else shapes:
+        headed = _DELIMITERS.search(core, 0, 60)
+        shapes = _shapes(core, folded, shouted) if headed or not sentence else []
+        for s in ([_figures(folded)] if shouted else shapes) if headed else ():
             m = _HEAD.match(s)
             if m and _WORDS.search(m[1]) and m[1].count(" ") < 5:
                 out.add(token(HEAD, m[0].replace(" ", "")))
         if m := _MARK.match(line):
             out.add(token(HEAD, m[1]))
         if not sentence:
-            if n < LEAST_PROSE and core.count(" ") < 9 and (core != _DIGITS.sub("", core) or len(_SEPARATORS.findall(core)) >= 3):
-                out.add(token(SHAPE, "§" + _LONG_WORDS.sub("§", _figures(core))))
+            if n < LEAST_PROSE and core.count(" ") < 9 and (_DIGITS.search(core) or len(_SEPARATORS.findall(core)) >= 3):
+                out.add(token(SHAPE, "§" + _LONG_WORDS.sub("§", _figures(folded))))
             for s in shapes:
                 if "§" in s and (_WORDS.search(s) or "(" in s) or "0" in s and _WORDS.search(s):
                     out.add(token(SHAPE, s))
@@ -113,7 +125,7 @@ def describe(line: str) -> tuple[int, tuple[int, ...], bool, bool, bool]:
                 last = core.rsplit(",", 1)[1].split()
                 opening = last[:2] if shouted else last[: next((i for i, w in enumerate(last) if w[0].isupper()), len(last))]
                 if 0 < len(opening) <= 3:
-                    out.add(token(TAIL, _figures(" ".join(opening))))
+                    out.add(token(TAIL, _figures(fold(" ".join(opening)))))
     return token(LITERAL, literal), tuple(sorted(out)), sentence and n >= LEAST_PROSE, not sentence and n >= LEAST_LISTED, bool(literal)
 
 
@@ -170,6 +182,14 @@ def main_lines(text: str | None, gone) -> list[tuple[int, str]]:
     return [(no, s) for no, raw in enumerate(text.split("\n"), 1) if no not in away and (s := " ".join(raw.split()))]
 
 
+def kept_text(text: str | None, gone) -> str:
+    """The text without the lines whose number is in ``gone``."""
+    if not text or not gone:
+        return text or ""
+    away = frozenset(gone)
+    return "\n".join(raw for no, raw in enumerate(text.split("\n"), 1) if no not in away)
+
+
 def is_whole(own: list[tuple[int, str]]) -> bool:
     """Whether the main text (the page's own lines) is there and is not broken off before its end.
 

@@ -20,6 +20,7 @@ twice counts once; similarity is compared as an exact fraction.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gacetilla.llm.boilerplate import Sites
-from gacetilla.llm.lines import main_lines
+from gacetilla.llm.lines import kept_text
 from gacetilla.llm.text import mix, stable_hash, word_table, written
 
 BUCKETS = 1 << 21
@@ -48,7 +49,9 @@ def _grams(packed: bytes, n: int) -> np.ndarray:
             g ^= g >> np.uint64(29)
     g = (g >> np.uint64(16)).astype(np.uint32)
     g.sort()
-    return g[np.r_[True, g[1:] != g[:-1]]]
+    first = np.ones(k, bool)
+    np.not_equal(g[1:], g[:-1], out=first[1:])
+    return g[first]
 
 
 def _sets(n: int, text: str):
@@ -56,7 +59,7 @@ def _sets(n: int, text: str):
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 batch = whole.slice(start, 1000)
-                texts = [" \n ".join(s for _, s in main_lines(t, g)) for t, g in zip(batch.column(text).to_pylist(), batch.column("gone").to_pylist())]
+                texts = [kept_text(t, g) for t, g in zip(batch.column(text).to_pylist(), batch.column("gone").to_pylist())]
                 codes, offsets, vocabulary = word_table(texts)
                 hashed = np.array([stable_hash(w) >> 32 for w in vocabulary], np.uint32)[codes] if len(codes) else np.empty(0, np.uint32)
                 packed, nodes, sizes = [], [], []
@@ -65,8 +68,7 @@ def _sets(n: int, text: str):
                     g = _grams(p, n) if b - a >= n else ()
                     packed.append(p)
                     sizes.append(len(g))
-                    with np.errstate(over="ignore"):
-                        nodes.append(int(mix(np.array([mix(g.astype(np.uint64)).sum() + np.uint64(len(g))], np.uint64))[0] >> np.uint64(1)) if len(g) else None)
+                    nodes.append(int.from_bytes(hashlib.blake2b(g.tobytes(), digest_size=8).digest(), "big") >> 1 if len(g) else None)
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(packed, pa.binary())], names=["id", "node", "n", "words"])
 
     return run
