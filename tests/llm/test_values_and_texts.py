@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from gacetilla.llm import canonical, leakage, packing, repeated_lines, residue, subjects
@@ -140,8 +141,31 @@ def test_leaks_equal_brute_force(spark):
     got = [tuple(r) for r in leakage.find_leaks(df, bench).collect()]
     assert set(got) == want and len(got) == len(want) and len(want) > 10
     assert leakage.find_leaks(df, bench.limit(0)).count() == 0 and leakage.find_leaks(df.limit(0), bench).count() == 0
-    with pytest.raises(ValueError):
-        leakage.find_leaks(df, bench, max_items=3)
+    assert {tuple(r) for r in leakage.find_leaks(df, bench, max_words=150).collect()} == want  # in many parts
+
+
+def test_block_bounds_prune_where_every_word_is_known():
+    rnd = random.Random(5)
+    pool = [f"w{i}" for i in range(3000)]
+    weights = [1 / (i + 1) for i in range(3000)]
+    items = [(i, " ".join(rnd.choices(pool, weights, k=80))) for i in range(300)]
+    index = leakage.ItemIndex(items, 12)
+    known = list(index.vocabulary)
+    text = rnd.choices(known, [1 / (int(w[1:]) + 1) for w in known], k=20_000)
+    leak = words(items[7][1])[20:32]
+    text[5000:5012] = leak
+    terms = index.vocabulary
+    starts, blocks = index.meetings(np.array([terms[w] for w in text]))
+    assert 5000 in starts  # no leak is pruned
+    assert len(starts) < 0.1 * len(text) * len(index.block_thresholds)  # what is left to score
+    got = [index.retrieved([terms[w] for w in leak], b) for s, b in zip(starts.tolist(), blocks.tolist()) if s == 5000]
+    assert any(7 in {index.ids[x] for x in g} for g in got)
+    # brute force: every passage that reaches an item's threshold meets its block
+    size = -(-len(index.ids) // leakage.BLOCKS)
+    met = set(zip(starts.tolist(), blocks.tolist()))
+    for s in range(4900, 5100):
+        for b in range(len(index.block_thresholds)):
+            assert {x // size for x in index.retrieved([terms[w] for w in text[s : s + 12]], b)} <= {k for t, k in met if t == s}
 
 
 ARTICLE = "La jueza dictó el fallo en la causa y los vecinos celebraron en la plaza del pueblo. " * 8
