@@ -1,8 +1,9 @@
 """Template residue, filler, error pages and script notices in place of content.
 
 Normalised lines are counted by source; lines that stand in many documents of a source are its boilerplate and are
-subtracted (unless they are themselves evidence: a source may serve its error page a thousand times). A document is
-excluded if what remains holds evidence:
+subtracted, whatever they say: a footer that asks for scripts excludes no article. Only where hardly any content of its own
+remains the document is judged by all its lines, since a source may serve its error page a thousand times. A document is excluded if
+what is judged holds evidence:
 
 - an unfilled placeholder anywhere in a line, unless the line quotes it;
 - filler (runs of pseudo-Latin, of keyboard mashing, or a form's empty headings);
@@ -23,7 +24,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gacetilla.llm.text import fold, source_key, stable_hash, written
 
@@ -137,9 +138,17 @@ def find_residue(documents: DataFrame, least_documents: int = 4, least_share: fl
     recurrent = single.groupBy("host", "key").agg(F.count("*").alias("k")).where(F.col("k") >= least_documents).join(totals, "host").where(F.col("k") >= least_share * F.col("n")).select("host", "key", F.lit(True).alias("recurrent"))
     suspects = weighed.where(F.exists("sorts", lambda s: s > 0))
     lines = suspects.select("doc_id", "host", F.explode(F.arrays_zip("keys", "sorts", "sizes")).alias("l")).select("doc_id", "host", F.col("l.keys").alias("key"), F.col("l.sorts").alias("sort"), F.col("l.sizes").alias("size"))
-    left = lines.join(recurrent, ["host", "key"], "left").where(F.col("recurrent").isNull() | F.col("sort").isin(STRONG, FORM))
-    seen = left.groupBy("doc_id").agg(
-        F.max((F.col("sort") == STRONG).cast("int")).alias("strong"), F.max((F.col("sort") == WEAK).cast("int")).alias("weak"), F.countDistinct(F.when(F.col("sort") == FORM, F.col("key"))).alias("form"),
-        F.sum(F.when(F.col("sort") == 0, F.col("size")).otherwise(0)).alias("rest"),
-    )
-    return seen.where((F.col("strong") == 1) | (F.col("form") >= 3) | (F.col("weak") == 1) & (F.col("rest") < little)).select("doc_id")
+    own = F.col("recurrent").isNull()
+
+    def evidence(where: Column, name: str) -> list[Column]:
+        """Of the lines that ``where`` takes: a strong one, a weak one, how many headings of a form."""
+        return [
+            F.coalesce(F.bool_or((F.col("sort") == STRONG) & where), F.lit(False)).alias(f"strong_{name}"), F.coalesce(F.bool_or((F.col("sort") == WEAK) & where), F.lit(False)).alias(f"weak_{name}"),
+            F.size(F.collect_set(F.when((F.col("sort") == FORM) & where, F.col("key")))).alias(f"form_{name}"),
+        ]
+
+    seen = lines.join(recurrent, ["host", "key"], "left").groupBy("doc_id").agg(*evidence(own, "own"), *evidence(F.lit(True), "all"), F.sum(F.when((F.col("sort") == 0) & own, F.col("size")).otherwise(0)).alias("rest"))
+    bare = F.col("rest") < little
+    residual = F.col("strong_own") | (F.col("form_own") >= 3)
+    whole = F.col("strong_all") | F.col("weak_all") | (F.col("form_all") >= 3)
+    return seen.where(residual | bare & whole).select("doc_id")
