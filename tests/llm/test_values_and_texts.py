@@ -182,7 +182,7 @@ def test_no_evidence(line):
 
 
 def test_residue(spark):
-    rows = [(i, "S", f"{ARTICLE}\nRecargar la página\nnota {i} propia") for i in range(20)]
+    rows = [(i, "S", f"{ARTICLE}Lo contó {'abcdefghijklmnopqrst'[i] * 3}.\nRecargar la página\nnota {i} propia") for i in range(20)]
     rows += [(50, "S", "Recargar la página\nEspere un momento…"), (51, "T", "Cargando…"), (52, None, f"{ARTICLE} {{{{autor}}}}"), (53, "T", ARTICLE), (54, "T", None), (55, "T", ""), (56, "T", " \n"), (57, "T", "Título\nBajada\nCuerpo de la noticia"), (58, "T", ARTICLE * 200)]
     df = spark.createDataFrame([(*r, 1) for r in rows + rows[20:22]], "doc_id long, source string, text string, n int")
     assert sorted(r.doc_id for r in residue.find_residue(df).collect()) == [50, 51, 52, 57]
@@ -192,7 +192,7 @@ def test_residue(spark):
 def test_what_a_site_says_on_every_page_excludes_no_article(spark):
     """The counts by site decide: the same footer excludes an article of a site that does not repeat it."""
     footer = "Por favor, habilite JavaScript para ver esta página."
-    rows = [(i, "Uno", f"{ARTICLE}\nnota {'abcdefghijklmnopqrst'[i]} propia\n{footer}") for i in range(20)]
+    rows = [(i, "Uno", f"{ARTICLE}Lo contó {'abcdefghijklmnopqrst'[i] * 3}.\n{footer}") for i in range(20)]
     rows += [(100 + i, "Uno", footer) for i in range(5)] + [(200, "Otro", f"{ARTICLE}\n{footer}")]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
     assert sorted(r.doc_id for r in residue.find_residue(df).collect()) == [100, 101, 102, 103, 104, 200]
