@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gacetilla.llm import canonical, leakage, packing, repeated_lines, residue, subjects
 from gacetilla.llm.text import words
@@ -47,6 +48,18 @@ def test_repeated_lines(spark):
     assert repeated_lines.repeated_lines(df.limit(0)).count() == 0
 
 
+def test_the_test_of_repeated_lines_rejects(spark):
+    """Nearly all lines are rejected by the likelihood ratio alone; without it nothing is found."""
+    rnd = random.Random(2)
+    rows = [(f"{s}{i}", "\n".join(["".join(rnd.choices("abcdefgh", k=12)) for _ in range(5)] + ([f"aviso de {s}"] if i % 3 == 0 else []) + ["menu"]), s) for s in ("uno", "dos", "tres") for i in range(60)]
+    df = spark.createDataFrame(rows, "id string, cuerpo string, fuente string")
+    docs = df.select("id", F.xxhash64("id").alias("doc"), F.col("fuente").alias("source"), repeated_lines.line_keys(F.col("cuerpo")).alias("keys"))
+    tested = repeated_lines.line_tests(docs, 0.01)
+    assert tested.count() == 3 * 302 and tested.where("p <= cut").count() == 6
+    assert tested.where("k = 1 and p <= cut").count() == 0
+    assert repeated_lines.repeated_lines(df).count() == 3 * 20 + 180 and repeated_lines.repeated_lines(df, rate=0.0).count() == 0
+
+
 def test_subjects(spark):
     rnd = random.Random(7)
     terms = {1: ["goles", "partido", "equipo", "torneo", "cancha"], 2: ["fiscal", "jueza", "causa", "fallo", "testigos"], 3: ["cosecha", "puerto", "barcos", "ganado", "siembra"]}
