@@ -1,13 +1,18 @@
 """Fixed values that results depend on, kept as plain lists in their natural order."""
 
 # Words without weight in headlines.
-STOPWORDS = (
-    "el la los las de del en un una y a que se con por es su al lo le esta este son ha fue para como más no ya sin ante sobre "
-    "pero sus muy ser hasta hay entre cómo cuándo qué cuál cuáles quién quiénes dónde también así aún según desde todo toda todos todas otro otra otros otras"
-).split()
+STOPWORDS = [
+    "el", "la", "los", "las", "de", "del", "en", "un", "una", "y", "a", "que", "se", "con", "por", "es", "su", "al", "lo", "le", "esta", "este",
+    "son", "ha", "fue", "para", "como", "más", "no", "ya", "sin", "ante", "sobre", "pero", "sus", "muy", "ser", "hasta", "hay", "entre", "cómo",
+    "cuándo", "qué", "cuál", "cuáles", "quién", "quiénes", "dónde", "también", "así", "aún", "según", "desde", "todo", "toda", "todos", "todas",
+    "otro", "otra", "otros", "otras",
+]
 
 # Words without weight in page titles and image queries.
-SHORT_STOPWORDS = "el la los las de del en un una y a que se con por es su al lo le esta este son ha fue".split()
+SHORT_STOPWORDS = [
+    "el", "la", "los", "las", "de", "del", "en", "un", "una", "y", "a", "que", "se", "con", "por", "es", "su", "al", "lo", "le", "esta", "este",
+    "son", "ha", "fue",
+]
 
 # Place words too common to tell events apart.
 LOW_SIGNAL = ["necochea", "quequén", "quequen", "mar", "plata", "argentina", "buenos", "aires", "provincia", "nacional", "país", "region", "región", "san"]
@@ -54,3 +59,36 @@ REQUIRED_FIELDS = ["titulo", "cuerpo", "resumen_seo", "instagram_text", "instagr
 
 # Texts at which a page of notices ends.
 NOTICE_ENDS = ["Más avisos fúnebres", "Noticias relacionadas", "Seguinos en redes", "BRANDSAFETY"]
+
+# Dates in free text, 'D/M/Y' with any dash or slash and 'D de MES [de] YYYY'.
+NUMERIC_DATE = r"\b(\d{1,2})\s*[/\-–—]\s*(\d{1,2})\s*[/\-–—]\s*(\d{2,4})\b"
+WRITTEN_DATE = r"(?i)\b(\d{1,2})\s+de\s+([a-záéíóúñ]+)(?:\s+de)?\s+(\d{4})\b"
+
+# Texts of the prompts for one note and for the versions of several sources.
+PROMPT_SECTION = "Sección: "
+PROMPT_TITLE = "Título original: "
+PROMPT_SOURCE = "Fuente original (para atribución opcional, no la copies textualmente): "
+PROMPT_BODY = "Cuerpo original:"
+PROMPT_REFERENCE = "Título referencial: "
+PROMPT_COUNT = "Cantidad de fuentes: "
+PROMPT_SOURCES = "Medios de origen (para atribución opcional, no los copies textualmente): "
+PROMPT_VERSIONS = ("A continuación las ", " versiones del mismo hecho:")
+VERSION = ("[Versión ", "]:")
+NEXT_VERSION = "--- VERSIÓN SIGUIENTE ---"
+
+# Parts of a page that are not its text.
+DROPPED = ["script", "style", "noscript", "header", "footer", "aside", "nav", ".sharedaddy", ".jp-relatedposts", ".tags-links", ".post-navigation", ".wp-block-buttons"]
+
+# Where the text of an article stands when the site has no selectors of its own.
+CONTENT = ["article", ".single-content", ".entry-content", ".post-content", ".content-body"]
+
+# Where the pictures of an article stand when the site has no selectors of its own.
+PICTURE_CONTENT = ["article", ".entry-content", ".post-content"]
+
+# Descriptions and pictures in a page's head, and attributes that hold a picture's address.
+DESCRIPTIONS = ['meta[property="og:description"]', 'meta[name="description"]', 'meta[name="twitter:description"]']
+HEAD_PICTURES = ['meta[property="og:image"]', 'meta[name="twitter:image"]', 'meta[property="og:image:secure_url"]']
+CARD_PICTURES = ["src", "data-src", "data-lazy-src", "data-original"]
+
+# The section line of a message.
+MESSAGE_SECTION = "📂 Sección: "

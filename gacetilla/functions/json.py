@@ -1,4 +1,4 @@
-"""Lenient JSON: as it is, without a code fence, or the outermost braces."""
+"""Strict JSON objects in lenient surroundings: the text as it is, without a code fence, or its outermost braces."""
 
 from __future__ import annotations
 
@@ -7,22 +7,37 @@ from pyspark.sql import Column, functions as F
 from gacetilla.functions import constants as K
 from gacetilla.functions.text import strip
 
+#: Values that the accepted dialect adds to the standard.
+_BEYOND = r"(?<=[:\[,]|[:\[,]\s)-?(?:NaN|Infinity)(?=\s*[,}\]])"
+
+
+def _standard(c: Column) -> Column:
+    """The same keys in standard JSON."""
+    return F.regexp_replace(c, _BEYOND, "null")
 
-def json_object(c: Column) -> Column:
-    """The text of the JSON object in c, or null: tried as it is, then without a code fence, then from the first to the last brace."""
 
-    def parsed(x: Column) -> Column:
-        return F.when(F.json_object_keys(x).isNotNull(), x)
+def _object(c: Column) -> Column:
+    """c if it is one JSON object and nothing else, else null. Single quotes and anything after the object make it none."""
+    closed = strip(c).rlike(r"(?s)\A\{.*\}\z")
+    value = F.try_parse_json(_standard(c))
+    # a parser may stop at the end of a first object: what it read must be all there is
+    alone = F.try_parse_json(F.concat(F.lit("["), _standard(c), F.lit("]")))
+    return F.when(closed & value.isNotNull() & alone.isNotNull() & F.try_variant_get(alone, "$[1]", "string").isNull() & F.schema_of_variant(value).startswith("OBJECT"), c)
 
-    bare = F.regexp_replace(strip(F.regexp_replace(strip(c), r"^```(?:json)?\s*", "")), r"\s*```$", "")
-    return F.coalesce(parsed(c), parsed(bare), parsed(F.regexp_extract(bare, r"(?s)\{.*\}", 0)))
+
+def json_object(c: Column) -> Column:
+    """The text of the JSON object in c, or null; readings are tried in order and the first that is an object is taken."""
+    unfenced = strip(F.regexp_replace(strip(c), r"\A```(?:json)?|```\z", ""))
+    between = F.regexp_extract(unfenced, r"(?s)\{.*\}", 0)
+    return F.coalesce(*[_object(reading) for reading in (c, unfenced, between)])
 
 
 def missing_fields(c: Column, required: list[str] | None = None) -> Column:
     """Required keys that an object lacks; a key with a null value is there."""
-    return F.array_except(F.array(*[F.lit(k) for k in required or K.REQUIRED_FIELDS]), F.json_object_keys(c))
+    return F.array_except(F.array(*[F.lit(k) for k in required or K.REQUIRED_FIELDS]), F.json_object_keys(_standard(c)))
 
 
 def is_rejected(c: Column) -> Column:
-    """Whether the object says that it should not be published."""
-    return F.coalesce(F.get_json_object(c, "$.publicar") == "false", F.lit(False))
+    """Whether the object says, with a boolean and not with a text, that it should not be published."""
+    flag = F.try_variant_get(F.try_parse_json(_standard(c)), "$.publicar", "variant")
+    return F.coalesce((F.schema_of_variant(flag) == "BOOLEAN") & ~F.try_variant_get(flag, "$", "boolean"), F.lit(False))

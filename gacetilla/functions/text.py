@@ -158,6 +158,11 @@ def message_title(c: Column) -> Column:
     return or_else(strip(F.regexp_extract(c, r"Título: (.*?)\n", 1)), F.lit("(Noticia)"))
 
 
+def message_section(c: Column, section: Column) -> Column:
+    """The message with its section line naming another section, cut to what a message may hold."""
+    return F.left(F.regexp_replace(c, F.lit(rf"{K.MESSAGE_SECTION}.*"), F.concat(F.lit(K.MESSAGE_SECTION), F.regexp_replace(section, r"([\\$])", r"\\$1"))), F.lit(4096))
+
+
 def urls_joined(base: Column, link: Column) -> Column:
     """Relative links resolved against their page."""
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gacetilla.functions.text import strip
+
 
 def updated(table: DataFrame, when: Column, values: dict[str, Column]) -> DataFrame:
     """Rows where ``when`` holds get the values; null is not true."""
@@ -67,6 +69,31 @@ def raw_rows(notes: DataFrame) -> DataFrame:
     )
 
 
+def pending_rows(notes: DataFrame) -> DataFrame:
+    """Rows to append for finished notes: as they are, titles, texts and slugs without outer blanks (empty where null)."""
+    bare = [strip(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in ("titulo", "cuerpo", "slug")]
+    kept = ["resumen_seo", "url_original", "imagen_url", "instagram_text", "instagram_titulo", "twitter_text", "guion_video"]
+    return notes.select("id", *bare, *kept, F.coalesce("seccion", F.lit("General")).alias("seccion"), F.lit("pendiente").alias("estado"), F.lit(False).alias("es_portada"))
+
+
+def discard_counts(table: DataFrame, as_of: Column, days: int = 15) -> DataFrame:
+    """One row with how many rows the discards would touch, over one snapshot: pending without group, and old pending and raw ones."""
+    old = F.col("created_at") < as_of - F.make_dt_interval(F.lit(days))
+    pending, raw = F.col("estado") == "pendiente", F.col("estado") == "raw"
+    return counts_by(table, {"huerfanas": pending & F.col("grupo_id").isNull(), "pendientes_viejas": pending & old, "raw_viejas": raw & old})
+
+
+def with_picture(table: DataFrame, pictures: DataFrame) -> DataFrame:
+    """Keyed update of a picture and its source by pictures (id, imagen_url, imagen_fuente)."""
+    new = pictures.select(F.col("id").alias("_id"), F.struct("imagen_url", "imagen_fuente").alias("_p")).groupBy("_id").agg(F.min("_p").alias("_p"))
+    return updated(table.join(new, F.col("id") == F.col("_id"), "left"), F.col("_id").isNotNull(), {c: F.col(f"_p.{c}") for c in ("imagen_url", "imagen_fuente")}).select(table.columns)
+
+
+def with_section(table: DataFrame, key: str, value: str, section: str) -> DataFrame:
+    """A new section for the rows whose key column has the value (an id, or a group)."""
+    return updated(table, F.col(key) == value, {"seccion": F.lit(section)})
+
+
 def rewritten(table: DataFrame, rewrites: DataFrame, columns: list[str], if_given: list[str] = ()) -> DataFrame:
     """Keyed update by rewrites (id, ...): the columns are taken over, those of ``if_given`` only where neither null nor empty;
     the section falls back to the stored one. The rows become pending."""

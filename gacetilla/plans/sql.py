@@ -67,8 +67,7 @@ def _slug(u: str, t: str) -> str:
 _DENY = " OR ".join(f"contains(lower({{u}}), '{p}')" for p in K.NOT_ARTICLES)
 _MONTHS = "CASE lower({c}) " + " ".join(f"WHEN '{k}' THEN {n}" for k, n in K.MONTHS) + " END"
 _NAMES = "CASE {c} " + " ".join(f"WHEN {n} THEN '{k.capitalize()}'" for k, n in K.MONTHS if k != "setiembre") + " ELSE CAST({c} AS VARCHAR) END"
-_NUM = r"\b(\d{1,2})\s*[/\-–—]\s*(\d{1,2})\s*[/\-–—]\s*(\d{2,4})\b"
-_TXT = r"(?i)\b(\d{1,2})\s+de\s+([a-záéíóúñ]+)(?:\s+de)?\s+(\d{4})\b"
+_NUM, _TXT = K.NUMERIC_DATE, K.WRITTEN_DATE
 
 
 def _dates(key: str, c: str, source: str) -> str:
@@ -92,6 +91,12 @@ keyed AS (SELECT *, doc_id || '-' || start AS k FROM bd),
 {_dates("k", "cuerpo", "keyed").lstrip()},
 notices AS (SELECT doc_id, CAST(start AS INTEGER) AS start, nombre, cuerpo, anio, mes FROM keyed JOIN dated USING (k) WHERE mes IS NOT NULL)"""
 
+_LETTERS = "abcdefghijklmnopqrstuvwxyzáéíóúñ"
+
+_OBITUARIES = """c AS (SELECT c_custkey, c_name, c_custkey % 12 + 1 AS k FROM customer),
+o AS (SELECT c_custkey, 2 AS start, c_name AS nombre, 'Falleció el 3/' || k || '/24' || chr(10) || 'Casa de duelo en la avenida' AS cuerpo, 2024 AS anio, CAST(k AS INTEGER) AS mes FROM c
+UNION ALL SELECT c_custkey, 5, 'Otro ' || c_name, 'fallecio el 5 de setiembre de 2023' || chr(10) || 'Sus restos descansan', 2023, 9 FROM c WHERE k > 6)"""
+
 _COHERENT = rf"(SELECT id, unnest(string_split_regex(regexp_replace(lower(titulo), '[^a-záéíóúñ ]', '', 'g'), ' +')) AS w FROM n)"
 
 
@@ -132,13 +137,44 @@ g AS (SELECT grupo_id, count(*) AS k, string_agg('[Versión ' || i || ']:' || ch
         "stored_once": f"WITH {_N}, r AS (SELECT id, url_original AS url, row_number() OVER (PARTITION BY url_original ORDER BY created_at NULLS FIRST, id) AS k FROM n WHERE url_original IS NOT NULL AND length(cuerpo) >= 60) SELECT id, url FROM r WHERE k = 1",
         "source_list": f"WITH {_N} SELECT grupo_id, min(id) AS lider, coalesce(string_agg(DISTINCT fuente, ', ' ORDER BY fuente) FILTER (fuente <> ''), '') AS fuentes, CAST(count(*) FILTER (url_original <> '') AS INTEGER) AS direcciones FROM n WHERE grupo_id IS NOT NULL GROUP BY grupo_id",
         "versions_concat": f"WITH {_N}, {merged} SELECT grupo_id, CAST(coalesce(k, 0) AS INTEGER) AS versiones, coalesce(texto, '') AS texto FROM (SELECT DISTINCT grupo_id FROM n WHERE grupo_id IS NOT NULL) LEFT JOIN g USING (grupo_id)",
-        "prompts": f"WITH {_N} SELECT id, 'Sección: ' || seccion || chr(10) || 'Título original: ' || titulo || chr(10) || CASE WHEN coalesce(fuente, '') <> '' THEN 'Fuente original (para atribución opcional, no la copies textualmente): ' || fuente || chr(10) ELSE '' END || 'Cuerpo original:' || chr(10) || CASE WHEN length(cuerpo) > 4500 THEN left(cuerpo, 4500) || '...' ELSE cuerpo END || chr(10) AS prompt FROM n WHERE cuerpo IS NOT NULL AND titulo IS NOT NULL AND seccion IS NOT NULL",
+        "prompts": f"WITH {_N.replace('*', "* REPLACE (coalesce(titulo, '') AS titulo, coalesce(seccion, '') AS seccion, coalesce(cuerpo, '') AS cuerpo)")} SELECT id, 'Sección: ' || seccion || chr(10) || 'Título original: ' || titulo || chr(10) || CASE WHEN coalesce(fuente, '') <> '' THEN 'Fuente original (para atribución opcional, no la copies textualmente): ' || fuente || chr(10) ELSE '' END || 'Cuerpo original:' || chr(10) || CASE WHEN length(cuerpo) > 4500 THEN left(cuerpo, 4500) || '...' ELSE cuerpo END || chr(10) AS prompt FROM n",
         "image_paths": rf"WITH {_N}, e AS (SELECT id, imagen_url, regexp_extract(imagen_url, '\.([a-z]+)$', 1) AS x FROM n) SELECT id, CASE WHEN starts_with(imagen_url, 'http') THEN 'noticias/' || id || '.' || CASE WHEN x IN ('png', 'webp', 'gif') THEN x ELSE 'jpg' END END AS path FROM e",
         "image_choice": f"WITH {_N} SELECT id, coalesce(nullif(imagen_url, ''), nullif(url_original, ''), 'none') AS image FROM n",
         "coherence": f"WITH {_N}, w AS (SELECT id, w FROM {_COHERENT} WHERE {short}), c AS (SELECT id, count(*) AS k, count(*) FILTER (contains(lower(cuerpo), w)) AS hit FROM w JOIN n USING (id) GROUP BY id) SELECT id, CASE WHEN coalesce(cuerpo, '') = '' OR k IS NULL THEN true ELSE hit / k >= 0.2 END AS coherent FROM n LEFT JOIN c USING (id)",
         "group_ids": f"WITH {_N}, h AS (SELECT id, md5(coalesce(url_original, '')) AS m FROM n) SELECT id, m[1:8] || '-' || m[9:12] || '-' || m[13:16] || '-' || m[17:20] || '-' || m[21:32] AS group_id FROM h",
         "masks": "SELECT p_partkey, CASE WHEN coalesce(p_name, '') = '' THEN '(VACÍO)' WHEN length(p_name) <= 6 THEN left(p_name, 2) || '***' ELSE left(p_name, 4) || '...' || right(p_name, 4) END AS masked FROM part",
-        "message_actions": f"WITH {_N} SELECT id, 'sec_grupo_set' AS action, grupo_id AS head, coalesce(seccion, '') AS tail FROM n WHERE grupo_id IS NOT NULL",
+        "message_actions": f"""WITH {_N}, x AS (SELECT id AS k, ascii(right(id, 1)) % 13 AS i, coalesce(seccion, '') AS r FROM n UNION ALL SELECT CAST(card_id AS VARCHAR), card_id % 13, coalesce(seccion, '') FROM cards),
+p AS (SELECT k, i, r, CASE WHEN i IN (0, 1, 2, 9) THEN true WHEN i < 12 THEN false END AS paired FROM x)
+SELECT k, ['toggle', 'img', 'sec_grupo_set', 'sec_grupo_volver', 'sec_grupo', 'procesar', 'des_grupo', 'sec_menu', 'sec_volver', 'sec', 'pub', 'des', NULL][i + 1] AS action, CASE WHEN paired THEN k WHEN NOT paired THEN k || '_' || r END AS head, CASE WHEN paired THEN r WHEN NOT paired THEN '' END AS tail FROM p""",
+        "message_sections": f"""WITH {_N} SELECT id, coalesce(nullif({_strip("regexp_extract(coalesce(titulo, ''), '^.*', 0)")}, ''), '(Noticia)') AS title, left('Título: ' || coalesce(titulo, '') || chr(10) || '📂 Sección: ' || coalesce(seccion, 'General') || chr(10) || regexp_replace(coalesce(cuerpo, ''), '📂 Sección: [^\n]*', '📂 Sección: ' || coalesce(seccion, 'General'), 'g'), 4096) AS message FROM n""",
+        "group_prompts": f"""WITH {_N}, {merged}, l AS (SELECT grupo_id, min(id) AS lider, string_agg(DISTINCT fuente, ', ' ORDER BY fuente) FILTER (fuente <> '') AS f FROM n WHERE grupo_id IS NOT NULL GROUP BY grupo_id)
+SELECT l.grupo_id, 'Sección: ' || coalesce(n.seccion, '') || chr(10) || 'Título referencial: ' || coalesce(n.titulo, '') || chr(10) || 'Cantidad de fuentes: ' || coalesce(k, 0) || chr(10) || coalesce('Medios de origen (para atribución opcional, no los copies textualmente): ' || f || chr(10), '') || chr(10) || 'A continuación las ' || coalesce(k, 0) || ' versiones del mismo hecho:' || chr(10) || chr(10) || coalesce(texto, '') || chr(10) AS prompt
+FROM l JOIN n ON n.id = l.lider LEFT JOIN g ON g.grupo_id = l.grupo_id""",
+        "image_checks": "SELECT card_id, CASE WHEN card_id % 6 NOT IN (1, 2, 5) AND starts_with(imagen_url, 'http') THEN 'noticias/' || card_id || '.' || CASE card_id % 6 WHEN 3 THEN 'jpg' WHEN 4 THEN 'webp' ELSE 'png' END END AS path FROM cards",
+        "json_texts": r"""WITH t AS (SELECT event_id, CASE event_id % 8 WHEN 0 THEN props WHEN 1 THEN '```json' || chr(10) || props || chr(10) || '```' WHEN 2 THEN 'Va: ' || props || ' fin' WHEN 3 THEN translate(props, '"', chr(39)) WHEN 4 THEN props || ' x ' || props WHEN 5 THEN '{"publicar": false, "event": ' || event_id || '}' WHEN 6 THEN '{"publicar": "false"}' ELSE left(props, length(props) - 1) END AS c FROM events),
+u AS (SELECT *, trim(regexp_replace(c, '^```json|```$', '', 'g'), chr(10) || ' ') AS bare FROM t), v AS (SELECT *, regexp_extract(bare, '(?s)\{.*\}', 0) AS braces FROM u),
+o AS (SELECT event_id, CASE WHEN json_valid(c) THEN c WHEN json_valid(bare) THEN bare WHEN json_valid(braces) THEN braces END AS object FROM v) SELECT event_id, object, coalesce(json_type(object, '$.publicar') = 'BOOLEAN' AND json_extract_string(object, '$.publicar') = 'false', false) AS rejected FROM o""",
+        "page_extraction": rf"""WITH {_N}, t AS (SELECT id, ascii(right(id, 1)) % 6 AS k, trim(regexp_replace(lower(coalesce(titulo, '')), '[^{_LETTERS}]+', ' ', 'g')) AS t FROM n),
+p AS (SELECT *, 'Primera parte de la nota sobre ' || t || ', con detalle.' AS a, 'Segunda parte de la nota sobre ' || t || ', con detalle.' AS b FROM t)
+SELECT id, CASE k WHEN 4 THEN 'Una descripción que supera en largo al texto de la página, sobre ' || t || '.' || chr(10) || chr(10) || 'Un encabezado largo' WHEN 5 THEN a || chr(10) || chr(10) || a ELSE a || chr(10) || chr(10) || b END AS text,
+CASE k WHEN 0 THEN 'https://s.example/og-' || id || '.jpg' WHEN 1 THEN 'http://s.example/tw.jpg' WHEN 5 THEN 'https://www.propio.example/c.gif' ELSE '' END AS image, CASE WHEN t <> '' THEN t WHEN k = 4 THEN 'Un encabezado largo' ELSE '' END AS title FROM p""",
+        "home_page_cards": rf"""WITH t AS (SELECT card_id, card_id || trim(' ' || regexp_replace(lower(coalesce(titulo, '')), '[^{_LETTERS}]+', ' ', 'g')) AS x, trim('Nota ' || card_id || ' ' || trim(regexp_replace(lower(coalesce(titulo, '')), '[^{_LETTERS}]+', ' ', 'g'))) AS t FROM cards)
+SELECT * FROM (SELECT card_id, 0 AS pos, t AS titulo, CASE WHEN card_id % 2 = 1 THEN 'https://www.propio.example/n/' ELSE 'https://s.example/n/' END || card_id AS url, CASE WHEN card_id % 2 = 1 THEN 'https://www.propio.example/i.png' ELSE 'https://s.example/i.jpg' END AS imagen_url, CASE WHEN card_id % 2 = 1 THEN 'Campo' ELSE 'Salud' END AS seccion FROM t
+UNION ALL SELECT card_id, 1, 'Otra ' || t, 'https://o.example/' || card_id, NULL, 'General' FROM t WHERE card_id % 2 = 0) WHERE length(titulo) >= 8""",
+        "pharmacy_shifts": rf"""WITH t AS (SELECT p_partkey, trim(regexp_replace(lower(coalesce(p_name, '')), '[^{_LETTERS}]+', ' ', 'g')) AS t FROM part),
+raw AS (SELECT *, p_partkey % 3 <> 0 AS long, length('Farmacias' || 'Turnos del mes de mayo' || 'Atención de 8 a 20 en toda la ciudad' || '1' || t || 'Centro' || '2') + 5 + CASE WHEN t <> '' THEN 1 ELSE 0 END AS n FROM t)
+SELECT p_partkey, 'Farmacias' || chr(10) || chr(10) || '## Turnos del mes de mayo' || chr(10) || chr(10) || 'Atención de 8 a 20 en toda la ciudad' || chr(10) || chr(10) || '### Día 1' || chr(10) || chr(10) || CASE WHEN t <> '' THEN t || ' · ' ELSE '' END || 'Centro' || chr(10) || chr(10) || '### Día 2' || chr(10) || chr(10) || CASE WHEN long THEN 'Mitre y la costa · Mitre y la costa · Mitre y la costa · Mitre y la costa' ELSE '' END AS cuerpo
+FROM raw WHERE n + CASE WHEN long THEN 68 ELSE 0 END >= 100""",
+        "obituaries": f"WITH {_OBITUARIES} SELECT * FROM o",
+        "obituaries_by_month": f"WITH {_OBITUARIES} SELECT anio, mes, count(*) AS cantidad, printf('%d-%02d', anio, mes) AS slug FROM o GROUP BY anio, mes",
+        "discard_counts": f"SELECT count(*) FILTER (estado = 'pendiente' AND grupo_id IS NULL) AS huerfanas, count(*) FILTER (estado = 'pendiente' AND created_at < {as_of} - INTERVAL 15 DAY) AS pendientes_viejas, count(*) FILTER (estado = 'raw' AND created_at < {as_of} - INTERVAL 15 DAY) AS raw_viejas FROM noticias",
+        "pending_insert": f"SELECT CAST(card_id AS VARCHAR) AS id, {_strip("coalesce(titulo, '')")} AS titulo, {_strip("coalesce(titulo, '')")} AS cuerpo, CASE WHEN card_id % 2 = 0 THEN 'un-slug' ELSE '' END AS slug, coalesce(seccion, 'General') AS seccion, 'pendiente' AS estado, false AS es_portada, imagen_url FROM cards",
+        "picture_update": "SELECT id, CASE WHEN coalesce(imagen_url, '') = '' THEN 'https://i.example/' || id ELSE imagen_url END AS imagen_url, CASE WHEN coalesce(imagen_url, '') = '' THEN 'archivo' ELSE imagen_fuente END AS imagen_fuente FROM noticias",
+        "section_update": "SELECT id, CASE WHEN estado = 'pendiente' THEN 'Cultura' ELSE seccion END AS seccion FROM noticias",
+        "upsert_repeated": "WITH n AS (SELECT fuente AS slug, id, min(titulo) AS titulo FROM noticias WHERE fuente IS NOT NULL GROUP BY 1, 2), d AS (SELECT nombre AS slug, clave AS titulo FROM fuentes UNION ALL SELECT r_name, 'nueva' FROM region), r AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY id) AS k FROM n) SELECT coalesce(r.slug, d.slug) AS slug, id, CASE WHEN d.slug IS NOT NULL AND coalesce(k, 1) = 1 THEN d.titulo ELSE r.titulo END AS titulo FROM r FULL OUTER JOIN d ON r.slug = d.slug",
+        "single_lookup": "SELECT id, min(titulo) AS titulo, min(estado) AS estado, min(seccion) AS seccion FROM noticias GROUP BY id HAVING count(*) = 1",
+        "gate_texts": "SELECT card_id, card_id % 7 <> 0 AND card_id % 5 <> 1 AS may_run, CASE card_id % 5 WHEN 0 THEN '14/01/2026' WHEN 1 THEN '14/01/2026' END AS dia FROM cards",
+        "source_pairs": f"WITH {_N} SELECT grupo_id, CAST(row_number() OVER (PARTITION BY grupo_id ORDER BY id) - 1 AS INTEGER) AS pos, coalesce(fuente, '') AS fuente, url_original AS url FROM n WHERE grupo_id IS NOT NULL AND url_original <> ''",
         "line_segments": f"WITH {_NOTICES} SELECT doc_id, start, nombre, cuerpo, anio, mes FROM notices",
         "month_rollup": f"WITH {_NOTICES} SELECT anio, mes, {_NAMES.format(c='mes')} AS mes_nombre, count(*) AS cantidad, string_agg('### ' || nombre || chr(10) || chr(10) || cuerpo, chr(10) || chr(10) ORDER BY doc_id, start) AS contenido, printf('%d-%02d', anio, mes) AS slug FROM notices GROUP BY anio, mes",
         "shift_table": f"""WITH raw AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL)),

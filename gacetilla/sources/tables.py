@@ -6,7 +6,8 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gacetilla.functions.text import strip
+from gacetilla.functions.dates import iso_instant
+from gacetilla.functions.text import strip, url_domain
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -40,9 +41,29 @@ def config_row(config: DataFrame) -> DataFrame:
     return found.select(F.coalesce("activo", F.lit(True)).alias("activo"), "fuentes_activas", "fecha_inicio")
 
 
+def gate(active: Column, start: Column, as_of: Column) -> Column:
+    """Active and not scheduled for later; a start that is null or was no instant holds nothing back."""
+    return F.coalesce(active, F.lit(True)) & F.coalesce(start <= as_of, F.lit(True))
+
+
 def may_run(config: DataFrame, as_of: Column) -> DataFrame:
-    """One row (may_run): active and not scheduled for later."""
-    return config_row(config).select((F.col("activo") & F.coalesce(F.col("fecha_inicio") <= as_of, F.lit(True))).alias("may_run"))
+    """One row (may_run): active and not scheduled for later. A textual start is read as an instant with an offset, else ignored."""
+    start = F.col("fecha_inicio") if dict(config.dtypes)["fecha_inicio"].startswith("timestamp") else iso_instant(F.col("fecha_inicio"))
+    return config_row(config).select(gate(F.col("activo"), start, as_of).alias("may_run"))
+
+
+def single_rows(table: DataFrame, key: str, asked: DataFrame, columns: list[str]) -> DataFrame:
+    """(key, columns) of the asked keys (a column of that name) that exactly one row has; keys of none or several give no row."""
+    one = table.join(asked.select(key).distinct(), key).groupBy(key).agg(F.count("*").alias("_n"), F.first(F.struct(*columns)).alias("_r"))
+    return one.where("_n = 1").select(key, *[F.col(f"_r.{c}").alias(c) for c in columns])
+
+
+def with_site(pages: DataFrame, sites: DataFrame) -> DataFrame:
+    """Landed pages (url) with the columns of their site (dominio, fuente and its selectors); null where the site is not listed.
+
+    The sites are a list kept by hand, one row a domain; without a statistic of its size Spark decides how to join it."""
+    own = sites.withColumn("_d", F.lower("dominio")).dropDuplicates(["_d"])
+    return pages.withColumn("_d", url_domain(F.col("url"))).join(own, "_d", "left").drop("_d")
 
 
 def active_sources(sources: DataFrame, config: DataFrame, key: str = "clave") -> DataFrame:
@@ -63,4 +84,4 @@ def by_ids(notes: DataFrame, ids: list[str], columns: list[str]) -> DataFrame:
     """Rows of an id list with their place in the list, so that the first is the leader; an empty list gives no rows."""
     spark = notes.sparkSession
     asked = spark.createDataFrame([(str(x), i) for i, x in enumerate(ids)], "id string, place int")
-    return notes.join(F.broadcast(asked), "id").select("place", *columns)
+    return notes.join(asked, "id").select("place", *columns)

@@ -9,11 +9,12 @@ from pyspark.sql.streaming import StreamingQuery
 from gacetilla.operators.ingest import unseen
 
 
-def append_unseen(stream: DataFrame, store: str, checkpoint: str, order: list[str], url: str = "url") -> StreamingQuery:
+def append_unseen(stream: DataFrame, store: str, checkpoint: str, order: list[str], url: str = "url", every: str | None = None) -> StreamingQuery:
     """Starts a query that appends to ``store`` the rows of each micro-batch whose address neither the store nor the batch had.
 
     Deduplication has no time limit, so it is an anti-join with the stored table, not watermarked state. A batch is
-    written under its number; one that is tried again after a failure overwrites itself."""
+    written under its number; one that is tried again after a failure overwrites itself. Everything that is there is read once,
+    or what arrives ``every`` so often ("15 minutes")."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -26,7 +27,7 @@ def append_unseen(stream: DataFrame, store: str, checkpoint: str, order: list[st
         stored = held.select(F.col(url).alias("url"))
         unseen(batch, stored, order, url).write.mode("overwrite").parquet(f"{store}/batch={number}")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**({"processingTime": every} if every else {"availableNow": True})).start()
 
 
 def landed_stream(spark: SparkSession, folder: str, schema: str, files_a_batch: int = 1) -> DataFrame:

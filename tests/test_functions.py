@@ -67,9 +67,20 @@ def test_first_date(spark):
 def test_json(spark):
     for t in ('{"a": 1}', '```json\n{"a": 1}\n```', 'Va: {"a": 1} listo'):
         assert one(spark, J.json_object(F.col("t")), t=t) == '{"a": 1}'
-    assert one(spark, J.json_object(F.col("t")), t="nada") is None
+    for t in ("nada", "{'a': 1}", '{"a":1} x {"b":2}', '{"a":1}}', '{"a": ', "[1]", "null", "", None):
+        assert one(spark, J.json_object(F.col("t")), t=t) is None, t
+    assert one(spark, J.json_object(F.col("t")), t='{"a": NaN}') == '{"a": NaN}'
     assert one(spark, J.missing_fields(F.col("t"), ["a", "b"]), t='{"a": null}') == ["b"]
-    assert one(spark, J.is_rejected(F.col("t")), t='{"publicar": false}') and not one(spark, J.is_rejected(F.col("t")), t="{}")
+    assert one(spark, J.is_rejected(F.col("t")), t='{"publicar": false}') and not any(one(spark, J.is_rejected(F.col("t")), t=t) for t in ("{}", '{"publicar": "false"}', '{"publicar": true}', '{"publicar": null}', "no", None))
+
+
+def test_instants(spark):
+    assert one(spark, dates.iso_instant(F.col("t")).isNotNull(), t="2027-01-01T00:00:00Z") and one(spark, dates.local_day(dates.iso_instant(F.col("t")), "America/Argentina/Buenos_Aires"), t="2027-01-01T00:00:00+00:00") == "31/12/2026"
+    assert [one(spark, dates.iso_instant(F.col("t")), t=t) for t in ("2027-01-01T00:00:00", "pronto", "2027-13-01T00:00:00Z", "", None)] == [None] * 5
+
+
+def test_message_section(spark):
+    assert one(spark, T.message_section(F.col("m"), F.lit("Salud $1")), m="📂 Sección: Local\nfin") == "📂 Sección: Salud $1\nfin" and len(one(spark, T.message_section(F.col("m"), F.lit("x")), m="y" * 5000)) == 4096
 
 
 LONG = "Una frase bastante larga que supera los treinta caracteres."
@@ -80,17 +91,17 @@ def test_article_text():
     assert html.article_text(page) == f"{LONG}\n\nSegunda: {LONG}"
     assert html.article_text(f"<body><ul><li>{LONG}</li><li>b {LONG}</li></ul></body>") == f"{LONG}\n\nb {LONG}"
     assert html.article_text(f'<head><meta name="description" content="{LONG}{LONG}"></head><body><p>corto</p></body>') == LONG * 2
-    assert html.article_text(f"<body><div class='c'><p>{LONG}</p><p>2 {LONG}</p></div><article><p>otra</p></article></body>", "a.b", {"a.b": ["div.c"]}).endswith(f"2 {LONG}")
+    assert html.article_text(f"<body><div class='c'><p>{LONG}</p><p>2 {LONG}</p></div><article><p>otra</p></article></body>", ["div.c"]).endswith(f"2 {LONG}")
     assert html.article_text("") == "" and html.article_text(None) == ""
 
 
 def test_images_and_cards(spark):
     assert html.og_image('<meta property="og:image" content="/x"><meta name="twitter:image" content="http://i">') == "http://i"
     page = '<article><img src="data:x"><img src="a.png" width="199"><img src="b.png" width="200"></article>'
-    assert html.content_image(page, "", "http://h/n/") == "http://h/n/b.png" and html.content_image(page.replace('"199"', '"auto"'), "", "http://h/") == "http://h/a.png"
+    assert html.content_image(page, "http://h/n/") == "http://h/n/b.png" and html.content_image(page.replace('"199"', '"auto"'), "http://h/") == "http://h/a.png"
     home = '<article><a href="/n/1"><h3>Volanta</h3><h2>Un título largo</h2></a><img data-src="i.jpg"><span class="category">Salud</span></article><article><h2>sin link</h2></article>'
     df = spark.createDataFrame([(1, "http://s.ar/", home), (2, "http://s.ar/", None)], "page_id int, url string, html string")
-    rows = html.home_cards(df, title="h2").collect()
+    rows = html.home_cards(df, {"title": F.lit("h2")}).collect()
     assert [(r.page_id, r.titulo, r.url, r.imagen_url, r.seccion) for r in rows] == [(1, "Un título largo", "http://s.ar/n/1", "http://s.ar/i.jpg", "Salud")]
 
 

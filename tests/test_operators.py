@@ -134,13 +134,35 @@ def test_shift_table(spark):
 
 
 def test_rewriter_reports_failures(spark):
+    tried = []
+
     def answer(p):
-        if "mal" in p:
+        tried.append(p)
+        if p == "mal":
             raise RuntimeError("no")
-        return p.upper()
+        if p == "lento" and len(tried) < 3 or p == "nunca":
+            raise ingest.Retry("429")
+        return p.upper() if p != "nada" else " "
+
+    def ask(*prompts):
+        return [(r.id, r.answer, r.error) for r in ingest.rewritten_by(spark.createDataFrame([(p, p) for p in prompts], "id string, prompt string").coalesce(1), answer, pauses=()).collect()]
+
+    assert ask("ok", "mal", "nada", "nunca") == [("ok", "OK", None), ("mal", None, "RuntimeError: no"), ("nada", None, "empty"), ("nunca", None, "Retry: 429")]
+    assert ask("lento") == [("lento", "LENTO", None)]
+
+
+def test_single_rows_and_sites(spark):
+    t = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "k int, v string")
+    assert [tuple(r) for r in S.single_rows(t, "k", spark.createDataFrame([(1,), (1,), (2,), (3,)], "k int"), ["v"]).collect()] == [(1, "a")]
+    pages = spark.createDataFrame([("https://www.a.ar/x",), ("https://b.ar/",), (None,)], "url string")
+    sites = spark.createDataFrame([("A.ar", "uno"), ("a.ar", "dos")], "dominio string, fuente string").limit(1)
+    assert {r.url: r.fuente for r in S.with_site(pages, sites).collect()} == {"https://www.a.ar/x": "uno", "https://b.ar/": None, None: None}
+
 
-    rows = ingest.rewritten_by(spark.createDataFrame([("1", "ok"), ("2", "mal")], "id string, prompt string"), answer).collect()
-    assert [(r.id, r.answer, r.error) for r in rows] == [("1", "OK", None), ("2", None, "RuntimeError: no")]
+def test_gate_ignores_what_is_no_instant(spark):
+    cfg = "id int, activo boolean, fuentes_activas array<string>, fecha_inicio string"
+    run = lambda t: S.may_run(spark.createDataFrame([(1, True, None, t)], cfg), F.to_timestamp(F.lit("2026-01-01"))).first().may_run
+    assert [run(t) for t in ("2027-01-01T00:00:00Z", "2025-01-01T00:00:00Z", "2027-01-01T00:00:00", "pronto", None)] == [False, True, True, True, True]
 
 
 def test_stream_stores_each_address_once(spark, tmp_path):
