@@ -3,16 +3,20 @@
 A headline becomes several signatures, one for each tree: its words in an order drawn by weighted sampling (a
 word's weight is its inverse document frequency), so that two headlines agree on the first word of a tree with about the
 probability of their weighted similarity, and on the first two with its square. The history is kept as runs: for each
-tree the signatures as keys of fixed depth, sorted. A batch is joined with all runs on equal keys at the full depth;
-entries without a verified match are searched again with the prefix shortened by one word, until the chance of missing
-a headline of the stated similarity is below the recall target. Candidates whose figures or word bits rule them out are
-dropped at once, the others are verified word by word. Runs are merged
+tree one key a headline, range-partitioned and sorted, whose upper bits are the key of the words before, so that the entries
+below a prefix stand together. A batch is joined with all runs on equal keys at the full depth;
+headlines without a verified match are searched again with the prefix shortened by one word, until the chance of missing
+a headline of the stated similarity is below the recall target. Candidates whose figures, numbers of words or word bits rule them
+out are dropped at once (``same_headline`` would reject each of them), the others are verified word by word. Runs are merged
 when there are many.
 
-Addresses are looked up first: the same site and article number (or path) is the same story.
+Addresses and headlines of the same words written together are looked up first: the same site and article number (or path) is the
+same story. What is left is searched headline by headline, not record by record, however often a headline repeats.
 
 Scale: each search reads the keys of the whole history, verification its words and the address lookup its links; the
-queries check all batches in one pass over one run, so the history is not read again for each batch. Only words in more than one of a thousand headlines get an individual weight: at most
+queries check all batches in one pass over one run, so the history is not read again for each batch. Keys are hashes, so a batch
+of B headlines asks for B x trees places spread evenly over the sorted run; unless that is fewer than the run's row groups, a range
+search reads every one of them, which is what the join does once and in order. Only words in more than one of a thousand headlines get an individual weight: at most
 (words a headline) x 1000 of them whatever the size of the history, the bound of the broadcast table.
 
 Defined results: null and blank titles are found by address only, null addresses by title only; ties do not matter,
@@ -128,29 +132,42 @@ def common_words(heads: DataFrame, share: float = RARE) -> dict[str, float]:
     return {r["w"]: max(0.05, math.log(total / r["count"])) for r in seen.collect()}
 
 
+#: Bits of a key that each word beyond the shallowest depth adds.
+WORD_BITS = 16
+
+
+def _shift(depth: int, depths: tuple[int, ...]) -> int:
+    """How far a key is shifted to leave its prefix of a depth."""
+    return WORD_BITS * (max(depths) - depth)
+
+
 def _signatures(shared, trees: int, depths: tuple[int, ...]):
-    """Rows (id, lote, tree, bits, figures, k<depth> ...): for each tree the hashes of the first words of its order.
+    """Rows (id, lote, tree, bits, figures, content, key): for each tree a key of the first words of its order. A key's upper bits
+    are the key of the words before, so that entries sorted by key stand as the leaves of a prefix tree.
 
     bits has one of 64 bits for each word but link words: headlines that differ in m words each differ in at most 2 m bits.
-    figures is a hash of all figures, which must agree."""
+    figures is a hash of all figures, which must agree; content counts the words but link words."""
     salts = mix(np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    low, high = min(depths), max(depths)
+    upper = np.uint64(((1 << 64) - 1) ^ ((1 << WORD_BITS * (high - low)) - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rare = shared.value, math.log(1 / RARE)
-        memo: dict[str, tuple[int, float, int, int]] = {}
+        memo: dict[str, tuple[int, float, int, int, int]] = {}
         for batch in batches:
-            owner, hashes, w, bits, figures = [], [], [], [], []
+            owner, hashes, w, bits, figures, content = [], [], [], [], [], []
             for i, words in enumerate(batch.column("words").to_pylist()):
-                b = f = 0
+                b = f = c = 0
                 for x in words:
                     m = memo.get(x)
                     if m is None:
                         h = stable_hash(x)
-                        m = memo[x] = (h, known.get(x, rare) ** SHARPNESS, 0 if x in LINKS or x.isdigit() else 1 << (h >> 7 & 63), h if x.isdigit() else 0)
+                        m = memo[x] = (h, known.get(x, rare) ** SHARPNESS, 0 if x in LINKS or x.isdigit() else 1 << (h >> 7 & 63), h if x.isdigit() else 0, x not in LINKS)
                     b ^= m[2]
                     f = (f + m[3]) & 0xFFFFFFFFFFFFFFFF
+                    c += m[4]
                     owner.append(i), hashes.append(m[0]), w.append(m[1])
-                bits.append(b), figures.append(f)
+                bits.append(b), figures.append(f), content.append(c)
             if len(memo) > 1_000_000:
                 memo.clear()
             if not owner:
@@ -160,23 +177,28 @@ def _signatures(shared, trees: int, depths: tuple[int, ...]):
             o, h, w = o[once], h[once], w[once]
             starts = np.flatnonzero(np.r_[True, o[1:] != o[:-1]])
             size = np.diff(np.r_[starts, len(o)])
-            keys: dict[int, list[np.ndarray]] = {d: [] for d in depths}
+            keys: list[np.ndarray] = []
             for t in range(trees):
                 r = mix(h ^ salts[t])
                 race = -np.log((r >> np.uint64(11)).astype(np.float64) / 2.0**53 + 1e-18) / w
                 r = r[np.lexsort((h, race, o))]
                 acc = np.zeros(len(starts), np.uint64)
-                for d in range(max(depths)):
+                key = acc
+                for d in range(high):
                     with np.errstate(over="ignore"):
                         acc = mix(acc * np.uint64(31) + np.where(size > d, r[np.minimum(starts + d, len(r) - 1)], np.uint64(7)))
-                    if d + 1 in keys:
-                        keys[d + 1].append(acc.view(np.int64))
+                    if d + 1 == low:
+                        key = acc & upper
+                    elif d + 1 > low:
+                        at = np.uint64(WORD_BITS * (high - d - 1))
+                        key = key | (acc >> np.uint64(64 - WORD_BITS)) << at
+                keys.append(key.view(np.int64))
             at = np.tile(o[starts], trees)
             tree = np.repeat(np.arange(trees, dtype=np.int32), len(starts))
             ids, lotes = (batch.column(c).to_numpy(zero_copy_only=False)[at] for c in ("id", "lote"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array(lotes), pa.array(tree), pa.array(np.array(bits, np.uint64)[at].view(np.int64)), pa.array(np.array(figures, np.uint64)[at].view(np.int64)), *(pa.array(np.concatenate(keys[d])) for d in depths)],
-                names=["id", "lote", "tree", "bits", "figures", *(f"k{d}" for d in depths)],
+                [pa.array(ids), pa.array(lotes), pa.array(tree), pa.array(np.array(bits, np.uint64)[at].view(np.int64)), pa.array(np.array(figures, np.uint64)[at].view(np.int64)), pa.array(np.array(content, np.int32)[at]), pa.array(np.concatenate(keys))],
+                names=["id", "lote", "tree", "bits", "figures", "content", "key"],
             )
 
     return run
@@ -184,7 +206,7 @@ def _signatures(shared, trees: int, depths: tuple[int, ...]):
 
 def signatures(heads: DataFrame, weights: dict[str, float], trees: int = TREES, depths: tuple[int, ...] = DEPTHS) -> DataFrame:
     shared = heads.sparkSession.sparkContext.broadcast(weights)
-    schema = "id long, lote int, tree int, bits long, figures long, " + ", ".join(f"k{d} long" for d in depths)
+    schema = "id long, lote int, tree int, bits long, figures long, content int, key long"
     return heads.where(F.size("words") > 0).select("id", "lote", "words").mapInArrow(_signatures(shared, trees, depths), schema)
 
 
@@ -204,8 +226,7 @@ class HashForest:
 
     def _write(self, rows: DataFrame) -> str:
         path = f"{self.folder}/run-{len(self.runs)}-{uuid.uuid4().hex}"
-        shallow = f"k{min(self.depths)}"
-        rows.repartition("tree", F.pmod(shallow, F.lit(16))).sortWithinPartitions("tree", *(f"k{d}" for d in sorted(self.depths))).write.parquet(path)
+        rows.repartitionByRange("tree", "key").sortWithinPartitions("tree", "key").write.parquet(path)
         return path
 
     def add(self, heads: DataFrame) -> None:
@@ -221,11 +242,11 @@ class HashForest:
     def search(self, batch: DataFrame, depth: int) -> DataFrame:
         """(id, other): entries of the forest that came before a batch entry, share a prefix of this depth with it and can
         still be the same headline by their figures and words."""
-        k = f"k{depth}"
-        asked = signatures(batch, self.weights, self.trees, self.depths).select("tree", k, "id", "lote", "bits", "figures")
-        held = self.rows().select("tree", k, "figures", F.col("id").alias("other"), F.col("lote").alias("earlier"), F.col("bits").alias("other_bits"))
-        near = F.bit_count(F.col("bits").bitwiseXOR(F.col("other_bits"))) <= 2 * MOST_CHANGED
-        return asked.join(held, ["tree", k, "figures"]).where((F.col("earlier") < F.col("lote")) & near).select("id", "other").distinct()
+        prefix = F.shiftright("key", _shift(depth, self.depths)).alias("prefix")
+        asked = signatures(batch, self.weights, self.trees, self.depths).select("tree", prefix, "id", "lote", "bits", "figures", "content")
+        held = self.rows().select("tree", prefix, "figures", F.col("id").alias("other"), F.col("lote").alias("earlier"), F.col("bits").alias("other_bits"), F.col("content").alias("other_content"))
+        near = (F.abs(F.col("content") - F.col("other_content")) <= 1) & (F.bit_count(F.col("bits").bitwiseXOR(F.col("other_bits"))) <= 2 * MOST_CHANGED)
+        return asked.join(held, ["tree", "prefix", "figures"]).where((F.col("earlier") < F.col("lote")) & near).select("id", "other").distinct()
 
 
 def _same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +257,7 @@ def _same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def verified(candidates: DataFrame, heads: DataFrame) -> DataFrame:
     """The ids whose headline a candidate repeats."""
-    words = heads.select("id", "words")
+    words = heads.select("id", "words").hint("merge")  # its size on disk says little about its size in memory
     both = candidates.join(words, "id").join(words.select(F.col("id").alias("other"), F.col("words").alias("other_words")), "other")
     return both.select("id", "words", "other_words").mapInArrow(_same, "id long").distinct()
 
@@ -247,17 +268,32 @@ def _seen_before(heads: DataFrame, asked: DataFrame, column: str) -> DataFrame:
     return asked.join(first, column).where("first < lote").select("id")
 
 
-def _known(heads: DataFrame, asked: DataFrame, forest: HashForest, similarity: float, recall: float) -> DataFrame:
-    """(id) of asked entries whose story an earlier entry of heads tells."""
-    title = F.when(F.size("words") > 0, F.xxhash64(F.array_join("words", " ")))
-    narrow, short = (df.select("id", "lote", "link", title.alias("title")) for df in (heads, asked))
+def titles(heads: DataFrame) -> DataFrame:
+    """(id, lote, words): one entry for all heads of the same words written together, with the first batch that has it; written
+    once. However often a headline stands in the history, it is one entry of the forest."""
+    told = heads.where(F.size("words") > 0).select(_title().alias("id"), "lote", "words")
+    return written(told.groupBy("id").agg(F.min("lote").alias("lote"), F.min("words").alias("words")), "titles")
+
+
+def _title():
+    return F.when(F.size("words") > 0, F.xxhash64(F.array_join("words", "")))
+
+
+def _known(heads: DataFrame, asked: DataFrame, told: DataFrame, forest: HashForest, similarity: float, recall: float) -> DataFrame:
+    """(id) of asked entries whose story an earlier entry of heads tells; told: the titles of heads."""
+    narrow, short = (df.select("id", "lote", "link", _title().alias("title")) for df in (heads, asked))
     known = written(_seen_before(narrow, short, "link").unionByName(_seen_before(narrow, short, "title")).distinct(), "known")
+    # the other headlines that are not known are those of their first batch: each is looked for once
+    left = written(short.join(known, "id", "left_anti").where("title is not null").select("id", "title", "lote"), "open")
+    open_titles = written(told.join(left.select(F.col("title").alias("id"), "lote").distinct(), ["id", "lote"], "left_semi"), "open-titles")
+    found = None
     for depth in sorted(forest.depths, reverse=True):
-        open_entries = asked.join(known, "id", "left_anti")
-        known = known.unionByName(written(verified(forest.search(open_entries, depth), heads), "known"))
+        again = written(verified(forest.search(open_titles, depth), told), "found")
+        found = again if found is None else found.unionByName(again)
         if trees_for(similarity, depth, recall) <= forest.trees:
             break
-    return known
+        open_titles = open_titles.join(again, "id", "left_anti")
+    return known.unionByName(left.join(found.select(F.col("id").alias("title")), "title", "left_semi").select("id"))
 
 
 def known_entries(history: DataFrame, batches: DataFrame, similarity: float = 0.6, recall: float = 0.99) -> DataFrame:
@@ -265,23 +301,26 @@ def known_entries(history: DataFrame, batches: DataFrame, similarity: float = 0.
 
     history: (key, titulo, url); batches: (key, lote, titulo, url). Keys are strings, unique over both."""
     heads = tokenized(history.select("key", F.lit(-1).alias("lote"), "titulo", "url").unionByName(batches.select("key", F.col("lote").cast("int").alias("lote"), "titulo", "url")))
-    forest = HashForest(heads.sparkSession, f"{shared_folder(heads.sparkSession)}/forest", common_words(heads))
-    forest.add(heads)
-    known = _known(heads, heads.where("lote >= 0"), forest, similarity, recall)
+    told = titles(heads)
+    forest = HashForest(heads.sparkSession, f"{shared_folder(heads.sparkSession)}/forest", common_words(told))
+    forest.add(told)
+    known = _known(heads, heads.where("lote >= 0"), told, forest, similarity, recall)
     return batches.select("key", F.xxhash64("key").alias("id")).distinct().join(known, "id", "left_semi").select("key")
 
 
 class History:
-    """A growing history: each batch is checked against what was added before, then added as a run of its own.
+    """A growing history: each batch is checked against what was added before, then its headlines that are new to it are added as
+    a run of their own.
 
     Word weights are those of the first records; they only decide how selective the trees are. ``merge_at`` runs are
     merged into one."""
 
     def __init__(self, records: DataFrame, folder: str, merge_at: int = 8):
         first = self._heads(records, -1)
-        self.forest = HashForest(first.sparkSession, folder, common_words(first))
+        self.told = titles(first)
+        self.forest = HashForest(first.sparkSession, folder, common_words(self.told))
         self.parts, self.merge_at, self.batches = [first], merge_at, 0
-        self.forest.add(first)
+        self.forest.add(self.told)
 
     @staticmethod
     def _heads(records: DataFrame, lote: int) -> DataFrame:
@@ -293,13 +332,16 @@ class History:
         heads = asked
         for p in self.parts:
             heads = heads.unionByName(p)
-        known = written(_known(heads, asked, self.forest, similarity, recall), "known")
+        fresh = written(titles(asked).join(self.told.select("id"), "id", "left_anti"), "titles")
+        told = self.told.unionByName(fresh)
+        known = written(_known(heads, asked, told, self.forest, similarity, recall), "known")
         self.parts.append(asked)
-        self.forest.add(asked)
+        self.told = told
+        self.forest.add(fresh)
         self.batches += 1
         if len(self.forest.runs) >= self.merge_at:
             self.forest.merge()
-            self.parts = [written(heads, "headlines")]
+            self.parts, self.told = [written(heads, "headlines")], written(told, "titles")
         return batch.select("key", F.xxhash64("key").alias("id")).distinct().join(known, "id", "left_semi").select("key")
 
 
