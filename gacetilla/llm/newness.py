@@ -244,7 +244,7 @@ class HashForest:
         still be the same headline by their figures and words."""
         prefix = F.shiftright("key", _shift(depth, self.depths)).alias("prefix")
         asked = signatures(batch, self.weights, self.trees, self.depths).select("tree", prefix, "id", "lote", "bits", "figures", "content")
-        held = self.rows().select("tree", prefix, "figures", F.col("id").alias("other"), F.col("lote").alias("earlier"), F.col("bits").alias("other_bits"), F.col("content").alias("other_content"))
+        held = self.rows().hint("merge").select("tree", prefix, "figures", F.col("id").alias("other"), F.col("lote").alias("earlier"), F.col("bits").alias("other_bits"), F.col("content").alias("other_content"))
         near = (F.abs(F.col("content") - F.col("other_content")) <= 1) & (F.bit_count(F.col("bits").bitwiseXOR(F.col("other_bits"))) <= 2 * MOST_CHANGED)
         return asked.join(held, ["tree", "prefix", "figures"]).where((F.col("earlier") < F.col("lote")) & near).select("id", "other").distinct()
 
@@ -265,7 +265,7 @@ def verified(candidates: DataFrame, heads: DataFrame) -> DataFrame:
 def _seen_before(heads: DataFrame, asked: DataFrame, column: str) -> DataFrame:
     """(id) of asked entries whose value of the column an earlier entry has."""
     first = heads.where(F.col(column).isNotNull()).groupBy(column).agg(F.min("lote").alias("first"))
-    return asked.join(first, column).where("first < lote").select("id")
+    return asked.join(first.hint("merge"), column).where("first < lote").select("id")
 
 
 def titles(heads: DataFrame) -> DataFrame:
@@ -284,8 +284,8 @@ def _known(heads: DataFrame, asked: DataFrame, told: DataFrame, forest: HashFore
     narrow, short = (df.select("id", "lote", "link", _title().alias("title")) for df in (heads, asked))
     known = written(_seen_before(narrow, short, "link").unionByName(_seen_before(narrow, short, "title")).distinct(), "known")
     # the other headlines that are not known are those of their first batch: each is looked for once
-    left = written(short.join(known, "id", "left_anti").where("title is not null").select("id", "title", "lote"), "open")
-    open_titles = written(told.join(left.select(F.col("title").alias("id"), "lote").distinct(), ["id", "lote"], "left_semi"), "open-titles")
+    left = written(short.join(known.hint("merge"), "id", "left_anti").where("title is not null").select("id", "title", "lote"), "open")
+    open_titles = written(told.join(left.select(F.col("title").alias("id"), "lote").distinct().hint("merge"), ["id", "lote"], "left_semi"), "open-titles")
     found = None
     for depth in sorted(forest.depths, reverse=True):
         again = written(verified(forest.search(open_titles, depth), told), "found")
@@ -305,7 +305,7 @@ def known_entries(history: DataFrame, batches: DataFrame, similarity: float = 0.
     forest = HashForest(heads.sparkSession, f"{shared_folder(heads.sparkSession)}/forest", common_words(told))
     forest.add(told)
     known = _known(heads, heads.where("lote >= 0"), told, forest, similarity, recall)
-    return batches.select("key", F.xxhash64("key").alias("id")).distinct().join(known, "id", "left_semi").select("key")
+    return batches.select("key", F.xxhash64("key").alias("id")).distinct().join(known.hint("merge"), "id", "left_semi").select("key")
 
 
 class History:
