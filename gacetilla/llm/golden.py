@@ -79,10 +79,10 @@ def winners(long: DataFrame, order: str = "votes", least_records: int = 2) -> Da
 def best_record(notes: DataFrame, sources: DataFrame, order: str = "votes") -> DataFrame:
     """(grupo_id, cuerpo, imagen_url, fuente and the id each comes from): the surviving record of each group."""
     won = winners(votes(notes, sources), order)
-    wide = won.groupBy("grupo_id").pivot("campo", list(FIELDS)).agg(F.first("id"))
-    out = wide.select("grupo_id", *[F.col(f).alias(f"{f}_id") for f in FIELDS])
-    for f in FIELDS:
-        value = clean_space(F.col(f)) if f != "cuerpo" else F.col(f)
-        source = notes.select(F.col("id").alias(f"{f}_id"), value.alias(f)).join(won.where(F.col("campo") == f).select(F.col("id").alias(f"{f}_id")), f"{f}_id", "left_semi").dropDuplicates([f"{f}_id"])
-        out = out.join(source, f"{f}_id", "left")
-    return out.select("grupo_id", *[c for f in FIELDS for c in (f, f"{f}_id")])
+    # each surviving value meets its record once, by id; rows of a group are then pivoted back
+    fields = won.groupBy("id").agg(F.collect_set(F.struct("grupo_id", "campo")).alias("_won"))
+    records = notes.select("id", *[(clean_space(F.col(f)) if f != "cuerpo" else F.col(f)).alias(f"_{f}") for f in FIELDS]).join(fields, "id").dropDuplicates(["id"])
+    value = F.element_at(F.create_map(*[x for f in FIELDS for x in (F.lit(f), F.col(f"_{f}"))]), F.col("w.campo"))
+    long = records.select("id", *[f"_{f}" for f in FIELDS], F.explode("_won").alias("w")).select(F.col("w.grupo_id").alias("grupo_id"), F.col("w.campo").alias("campo"), F.struct(value.alias("v"), "id").alias("r"))
+    wide = long.groupBy("grupo_id").pivot("campo", list(FIELDS)).agg(F.first("r"))
+    return wide.select("grupo_id", *[c for f in FIELDS for c in (F.col(f"{f}.v").alias(f), F.col(f"{f}.id").alias(f"{f}_id"))])
