@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from gacetilla.llm.text import fold
+from gacetilla.llm.text import fold, written
 
 #: Wrappers that pages put around a section's name.
 _BEFORE = re.compile(r"^(?:(?:home|inicio|portada) *[>/»|:-]+ *|(?:secci[oó]n|categor[ií]a|tema|rubro) *[:/>-]+ *|noticias de +|[#/\[(*>»•·\s-]+)+", re.I)
@@ -112,11 +112,13 @@ def match_values(values: DataFrame, names: DataFrame, threshold: float = 0.2) ->
 
     values: (value); names: (key int, name)."""
     tidied = values.select("value").where("value is not null").distinct().mapInArrow(_tidied, "value string, tidy string, cut boolean, pairs array<string>")
-    tidied = tidied.where("tidy <> ''")
+    tidied = written(tidied.where("tidy <> ''"), "tidied")
     forms = tidied.groupBy("tidy", "cut").agg(F.first("pairs").alias("pairs"))
     listed = names.select("key", F.col("name").alias("value")).where("value is not null")
     tidy_names = listed.select("value").distinct().mapInArrow(_tidied, "value string, tidy string, cut boolean, pairs array<string>").join(listed, "value").where("tidy <> ''").groupBy("key", F.col("tidy").alias("name")).agg(F.first("pairs").alias("pairs"))
+    tidy_names = written(tidy_names, "names")
     rarity = forms.select(F.explode("pairs").alias("pair")).unionAll(tidy_names.select(F.explode("pairs").alias("pair"))).groupBy("pair").agg(F.count("*").alias("n"))
+    rarity = written(rarity, "rarity")
 
     def prefixes(df: DataFrame, keys: list[str]) -> DataFrame:
         placed = df.select(*keys, F.size("pairs").alias("size"), F.explode("pairs").alias("pair")).join(rarity, "pair")
