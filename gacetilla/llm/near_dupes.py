@@ -233,7 +233,7 @@ def _verify(n: int, num: int, den: int):
     return run
 
 
-def node_links(sets: DataFrame, n: int, threshold: tuple[int, int] = (4, 5), hot: int = 100_000) -> DataFrame:
+def node_links(sets: DataFrame, n: int, threshold: tuple[int, int] = (4, 5), hot: int = 20_000) -> DataFrame:
     """(a, b, common, union), a < b: every two nodes with Jaccard similarity of at least threshold[0]/threshold[1]."""
     num, den = threshold
     shared = sets.sparkSession.sparkContext.broadcast(_frequencies(sets, n))
