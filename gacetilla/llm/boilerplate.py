@@ -99,7 +99,7 @@ class _Page:
     __slots__ = ("lines", "own", "prose")
 
     def __init__(self, lines: list[tuple[int, ...]], sorts: list[int], recurrent: frozenset[int]):
-        self.lines = [x for x in lines if x]
+        self.lines = list({x[0]: x for x in reversed(lines) if x}.values())[::-1]  # a line that a page repeats counts once
         self.prose = {x[0] for x, s in zip(lines, sorts) if x and s == PROSE}
         self.own = self.prose - recurrent or {x[0] for x, s in zip(lines, sorts) if x and s != PROSE} - recurrent
 
