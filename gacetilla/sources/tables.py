@@ -18,7 +18,7 @@ _FALLBACK: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, as spark.checkpoint.dir names it.
+    """This application's folder below the one that all executors share, as spark.checkpoint.dir names it.
 
     Where it is unset, a temporary folder serves a session on one machine; a cluster must name one."""
     d = spark.conf.get("spark.checkpoint.dir", None)
@@ -27,7 +27,13 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         d = _FALLBACK.get(app) or _FALLBACK.setdefault(app, tempfile.mkdtemp(prefix="gacetilla-shared-"))
-    return d.rstrip("/")
+    return f"{d.rstrip('/')}/gacetilla-{spark.sparkContext.applicationId}"
+
+
+def discard_scratch(spark: SparkSession) -> None:
+    """Removes all intermediate tables of this application. Results that still read them must have been stored before."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def known_urls(notes: DataFrame, column: str = "url_original") -> DataFrame:

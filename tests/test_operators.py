@@ -184,7 +184,16 @@ def test_shared_folder_without_setting(spark):
     assert S.shared_folder(_Session("local[2]")) == S.shared_folder(_Session("local[2]"))
     with pytest.raises(ValueError):
         S.shared_folder(_Session("spark://host:7077"))
-    assert S.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+    assert S.shared_folder(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_scratch_is_removed(spark):
+    import os
+
+    cluster.written(spark.range(3), "x")
+    assert os.listdir(S.shared_folder(spark))
+    S.discard_scratch(spark)
+    assert not os.path.exists(S.shared_folder(spark))
 
 
 def test_properties(spark, notes):
