@@ -49,12 +49,13 @@ _ERROR = re.compile(
 )
 _SCRIPT = re.compile(
     rf".{{0,60}}\b(?:habilit[ea]r?|activ[ae]r?|enable|requires?|encend[ea]r?)\b (?:el |los |your )?(?:java ?script|scripts)\b.{{0,60}}|(?:su|tu) navegador (?:no (?:admite|soporta|es compatible)|tiene (?:los )?(?:java ?)?scripts? (?:desactivad|deshabilitad|bloquead)).{{0,60}}|this (?:site|app|page) requires (?:java)?scripts?.{{0,80}}"
-    rf"|noscript\b.{{0,80}}|como activar (?:los scripts|java ?script).{{0,40}}|checking your browser.{{0,60}}|verific(?:ando|amos) que no (?:sos|eres|es) un robot.{{0,20}}|(?:por favor )?complet[ea]r? el captcha.{{0,40}}|ddos protection.{{0,40}}|{_HOST} necesita revisar la seguridad de la conexion|.{{0,20}}no soy un robot|(?:please )?verify (?:that )?you are (?:a )?human.{{0,40}}|just a moment|javascript (?:is )?(?:disabled|required|desactivado|requerido).{{0,40}}"
+    rf"|noscript\b.{{0,80}}|como activar (?:los scripts|java ?script).{{0,40}}|checking your browser.{{0,60}}|verific(?:ando|amos) que no (?:sos|eres|es) un robot.{{0,20}}|(?:por favor )?complet[ea]r? el captcha.{{0,40}}|ddos protection.{{0,40}}|{_HOST} necesita revisar la seguridad de la conexion|.{{0,20}}no soy un robot|(?:please )?verify (?:that )?you are (?:a )?human.{{0,40}}|just a moment|(?:please )?(?:turn on|enable) (?:your )?cookies\b.{{0,60}}|(?:por favor )?(?:habilit[ea]r?|activ[ae]r?) (?:las |sus |tus )?cookies\b.{{0,60}}|javascript (?:is )?(?:disabled|required|desactivado|requerido).{{0,40}}"
 )
 _WAITING = re.compile(r"(?:espere|aguarde|espera|aguarda) un momento.{0,20}|redirigiendo en .{0,20}|cargando.{0,12}|loading.{0,12}|recargar la pagina|intenta con el buscador.{0,40}|nginx(?:/[\d.]+)?|cloudflare|ray id.{0,40}|tal vez te interesen estas notas")
 _EDGES = re.compile(r"^[\s•»▸*\-–—>·.…!¡|#]+|[\s»\-–—*.…!·|:]+$")
 
 _DIGITS = re.compile(r"\d+")
+_SPOKEN = re.compile(r"[^\W\d_]+")
 STRONG, WEAK, FORM = 1, 2, 3
 
 
@@ -64,11 +65,19 @@ def _quoted(line: str, at: int) -> bool:
     return bool(before.count('"') % 2 and '"' in line[at:] or before.count("“") > before.count("”") or before.count("«") > before.count("»"))
 
 
+def _in_speech(line: str, start: int, end: int) -> bool:
+    """Whether quoted words stand on both sides of a place within quotation marks: speech into which a template put it. What is quoted
+    for its own sake begins or ends the quotation."""
+    opened = max(line.rfind(q, 0, start) for q in '"“«')
+    closed = min((k for q in '"”»' if (k := line.find(q, end)) >= 0), default=len(line))
+    return len(_SPOKEN.findall(line[opened + 1 : start])) >= 2 and bool(_SPOKEN.search(line[end:closed]))
+
+
 #: A line without any of these holds no placeholder; the same for filler below.
 _HINT = re.compile(r"[\[{<%$#@]|__|&lt;|[Xx]/|tk tk|undefined|null null|nan nan", re.I)
 _LATIN_HINTS, _MASH_HINTS = ("ipsum", "lorem", "amet", "commodo", "cillum"), ("asdf", "xxx", "qwert", "aaa", "bla", "test", "texto", "foo")
 #: No script notice is without one of these.
-_SCRIPT_HINTS = ("script", "robot", "captcha", "browser", "ddos", "seguridad", "human", "moment")
+_SCRIPT_HINTS = ("script", "robot", "captcha", "browser", "ddos", "seguridad", "human", "moment", "cookies")
 _SENTENCE_ENDS = re.compile(r"[.!?…][)\]]* +| [|»·-] ")
 _SAMPLE_HINTS = ("ejemplo", "prueba", "relleno", "simulad", "borrar antes", "va el", "va la")
 
@@ -89,7 +98,7 @@ def line_evidence(line: str, folded: str | None = None) -> int:
     """STRONG, WEAK, FORM (one heading of an empty form) or 0."""
     if _HINT.search(line):
         for m in PLACEHOLDER.finditer(line):
-            if not _quoted(line, m.start()):
+            if not _quoted(line, m.start()) or _in_speech(line, *m.span()):
                 return STRONG
     f = fold(line) if folded is None else folded
     if any(h in f for h in _LATIN_HINTS):

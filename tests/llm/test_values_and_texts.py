@@ -184,12 +184,12 @@ def test_block_bounds_prune_where_every_word_is_known():
 ARTICLE = "La jueza dictó el fallo en la causa y los vecinos celebraron en la plaza del pueblo. " * 8
 
 
-@pytest.mark.parametrize("line", ["{{titulo}}", "Junto a {autor} y otros", "%CUERPO%", "[completar fecha]", "<bajada aquí>", "&lt;autor&gt;", "XX/XX/XXXX", "Error 404", "503 Service Unavailable", "Acceso denegado", "Por favor, habilite JavaScript para ver esta página.", "asdf asdf asdf asdf asdf", "Lorem ipsum dolor sit amet consectetur elit", "Fatal error: Uncaught Exception in /srv/x.php on line 3", "[object Object]"])
+@pytest.mark.parametrize("line", ["{{titulo}}", "Junto a {autor} y otros", "%CUERPO%", "[completar fecha]", "<bajada aquí>", "&lt;autor&gt;", "XX/XX/XXXX", "Error 404", "503 Service Unavailable", "Acceso denegado", "Por favor, habilite JavaScript para ver esta página.", "asdf asdf asdf asdf asdf", "Lorem ipsum dolor sit amet consectetur elit", "Fatal error: Uncaught Exception in /srv/x.php on line 3", "[object Object]", "Please turn on cookies and reload the page", '"Lo hablamos con todos %CUERPO% los sectores", dijo Ana.', '"No fue fácil llegar [INSERTAR POST_EXCERPT] hasta acá", respondió Ana.'])
 def test_evidence(line):
     assert residue.line_evidence(line) == residue.STRONG
 
 
-@pytest.mark.parametrize("line", ["El taller de JavaScript que dicta Ana todavía tiene vacantes.", 'Un cartel apareció con la frase "lorem ipsum" y se rieron.', "Vieron durante horas un cartel de error 404, reconoció Ana.", '"Me salió página no encontrada", relató Ana.', '"Dijimos que [la obra] iba a estar {sic} terminada", leyó.', "La baja fue del 30% al 40% (Ana) [N. de la R.: datos provisorios]", "404 árboles para Lobos", "525 lecturas", "La clave era <admin> y nadie la cambió.", 'El modelo dice "Estimado {nombre}" y nadie lo llenó.'])
+@pytest.mark.parametrize("line", ["El taller de JavaScript que dicta Ana todavía tiene vacantes.", 'Un cartel apareció con la frase "lorem ipsum" y se rieron.', "Vieron durante horas un cartel de error 404, reconoció Ana.", '"Me salió página no encontrada", relató Ana.', '"Dijimos que [la obra] iba a estar {sic} terminada", leyó.', "La baja fue del 30% al 40% (Ana) [N. de la R.: datos provisorios]", "404 árboles para Lobos", "525 lecturas", "Aceptar todas las cookies de s.example", "Este sitio usa cookies para mejorar tu experiencia.", "La clave era <admin> y nadie la cambió.", 'El modelo dice "Estimado {nombre}" y nadie lo llenó.'])
 def test_no_evidence(line):
     assert residue.line_evidence(line) == 0
 
