@@ -410,13 +410,6 @@ def source_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return merged.select("grupo_id", F.posexplode("fuentes_urls").alias("pos", "p")).select("grupo_id", "pos", "p.fuente", "p.url")
 
 
-def article_text(spark: SparkSession, folder: str) -> DataFrame:
-    """Articles of pages made of each note's paragraphs (rows only: no page table is given)."""
-    n = _notes(spark, folder).where("cuerpo is not null")
-    page = F.concat(F.lit("<html><head><title>"), F.coalesce("titulo", F.lit("")), F.lit("</title></head><body><nav>Menu</nav><article><p>"), F.regexp_replace("cuerpo", "\n+", "</p><p>"), F.lit("</p></article></body></html>"))
-    return n.select("id", html.article(page, F.coalesce("url_original", F.lit(""))).alias("a")).select("id", "a.text", "a.title")
-
-
 def stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """All cards as a stream, each address stored once."""
     base = f"{S.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
@@ -429,7 +422,7 @@ def stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
 _NAMES = (
     "lifecycle_stats expire_rows discard_orphans discard_siblings front_page_swap publish_rows upsert_by_key rewrite_update raw_insert seed_config last_k point_lookup group_lookup in_list_lookup "
     "active_source_union run_gate known_url_anti url_slug url_domain url_denylist section_normalize title_tokens title_entities query_terms token_idf similar_pairs leader_clusters group_limit stored_once "
-    "source_list versions_concat prompts image_paths image_choice coherence group_ids masks message_actions line_segments month_rollup shift_table first_dates json_required article_text stream_dedup "
+    "source_list versions_concat prompts image_paths image_choice coherence group_ids masks message_actions line_segments month_rollup shift_table first_dates json_required stream_dedup "
     "group_prompts image_checks message_sections json_texts page_extraction home_page_cards pharmacy_shifts obituaries obituaries_by_month discard_counts pending_insert picture_update section_update upsert_repeated single_lookup gate_texts source_pairs"
 ).split()
 

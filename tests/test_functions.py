@@ -67,7 +67,7 @@ def test_first_date(spark):
 def test_json(spark):
     for t in ('{"a": 1}', '```json\n{"a": 1}\n```', 'Va: {"a": 1} listo'):
         assert one(spark, J.json_object(F.col("t")), t=t) == '{"a": 1}'
-    for t in ("nada", "{'a': 1}", '{"a":1} x {"b":2}', '{"a":1}}', '{"a": ', "[1]", "null", "", None):
+    for t in ("nada", "{'a': 1}", '{"a":1} x {"b":2}', '{"a":1}}', '{"a":1}],[{"b":2}', '{"a":1}, {"b":2}', '{"a": ', "[1]", "null", "", None):
         assert one(spark, J.json_object(F.col("t")), t=t) is None, t
     assert one(spark, J.json_object(F.col("t")), t='{"a": NaN}') == '{"a": NaN}'
     assert one(spark, J.missing_fields(F.col("t"), ["a", "b"]), t='{"a": null}') == ["b"]
