@@ -291,8 +291,8 @@ class Sites:
         self.tokens = site_tokens(self.pages, **options)
         self.shared = None
         if self.tokens.count() <= most_shared:
-            keys = self.tokens.mapInArrow(_site_keys, "key long").collect()  # at most most_shared
-            self.shared = notes.sparkSession.sparkContext.broadcast(np.sort(np.array([r["key"] for r in keys], np.int64).view(np.uint64)))
+            keys = self.tokens.mapInArrow(_site_keys, "key long").toArrow()  # at most most_shared
+            self.shared = notes.sparkSession.sparkContext.broadcast(np.sort(keys.column("key").to_numpy().view(np.uint64)))
 
     def marked(self, notes: DataFrame, columns: list[str], then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None, schema: str = "") -> DataFrame:
         """The given columns (id and cuerpo among them) and gone, the numbers of the lines of cuerpo that belong to the site; or what
