@@ -6,14 +6,16 @@ probability of their weighted similarity, and on the first two with its square.
 tree one key a headline, range-partitioned and sorted, whose upper bits are the key of the words before, so that the entries
 below a prefix stand together. A batch is joined with all runs on equal keys at the full depth;
 headlines without a verified match are searched again with the prefix shortened by one word, until the chance of missing
-a headline of the stated similarity is below the recall target. Candidates whose figures, numbers of words or word bits rule them
-out are dropped at once (``same_headline`` would reject each of them), the others are verified word by word. Runs are merged
-when there are many.
+a headline of the stated similarity is below the recall target. Candidates whose figures, numbers of words, word bits or letter
+counts rule them out are dropped within the join (``same_headline`` would reject each of them), the others are verified word by
+word. Runs are merged when there are many.
 
 Addresses and headlines of the same words written together are looked up first: the same site and article number (or path) is the
 same story. What is left is searched headline by headline, not record by record, however often a headline repeats.
 
-Scale: each search reads the keys of the whole history, verification its words and the address lookup its links; the
+Scale: headlines made of the same phrases meet under their prefixes, so that pairs in the join grow faster than the history; each
+costs a few operations on integers there, and what their letters let through to Python is close to what is found. Each search
+reads the keys of the whole history, verification its words and the address lookup its links; the
 queries check all batches in one pass over one run, so the history is not read again for each batch. Keys are hashes, so a batch
 of B headlines asks for B x trees places spread evenly over the sorted run; unless that is fewer than the run's row groups, a range
 search reads every one of them, which is what the join does once and in order. Only words in more than one of a thousand headlines get an individual weight: at most
@@ -141,12 +143,63 @@ def _shift(depth: int, depths: tuple[int, ...]) -> int:
     return WORD_BITS * (max(depths) - depth)
 
 
+#: Letters by the bits of their counters, in two integers of 64 bits; other characters share the last counter of the first.
+_COUNTERS = ([*zip("aeoirnsdlt", [6] * 10), ("", 4)], [*zip("cumpbgvqfzhjy", [6] * 2 + [5] * 6 + [4] * 5)])
+_KINDS = sum(map(len, _COUNTERS))
+
+
+def _kind_of() -> np.ndarray:
+    """The counter of each character up to 128, which stands for all beyond."""
+    kinds = np.full(129, len(_COUNTERS[0]) - 1)
+    for k, (letter, _) in enumerate([*_COUNTERS[0], *_COUNTERS[1]]):
+        if letter:
+            kinds[ord(letter)] = k
+    return kinds
+
+
+_KIND = _kind_of()
+
+
+def letter_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Two integers for each text with the numbers of its letters. A counter of t bits steps through 2 t states, neighbours of which differ
+    in one bit: texts whose letters differ in m places, order aside, differ in at most m bits."""
+    chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    counts = np.bincount(owner * _KINDS + _KIND[np.minimum(chars, 128)], minlength=len(texts) * _KINDS).reshape(-1, _KINDS)
+    out, k = [], 0
+    for counters in _COUNTERS:
+        packed, at = np.zeros(len(texts), np.uint64), 0
+        for _, t in counters:
+            states = np.array([(1 << c) - 1 if c <= t else (1 << t) - (1 << c - t) for c in range(2 * t)], np.uint64)
+            packed |= states[counts[:, k] % (2 * t)] << np.uint64(at)
+            at, k = at + t, k + 1
+        out.append(packed.view(np.int64))
+    return out[0], out[1]
+
+
+#: What a signature holds of its headline besides its key.
+_SHAPE = {"bits": "long", "content": "int", "letters": "int", "counts_a": "long", "counts_b": "long"}
+
+
+def _may_match():
+    """Whether two headlines can pass ``same_headline`` by their shapes (the other's columns begin with other_).
+
+    If as many words stand in either, each of at most MOST_CHANGED pairs of words differs by one slip, in two letters at most. If
+    one has a word more, one pair less may differ, and of the letters that are apart those of that word are a surplus on its side."""
+    other = {c: F.col(f"other_{c}") for c in _SHAPE}
+    more = F.col("content") - other["content"]
+    apart = sum(F.bit_count(F.col(c).bitwiseXOR(other[c])) for c in ("counts_a", "counts_b"))
+    words = F.bit_count(F.col("bits").bitwiseXOR(other["bits"]))
+    return (F.abs(more) <= 1) & (words <= 2 * MOST_CHANGED - F.abs(more)) & (apart - more * (F.col("letters") - other["letters"]) <= 2 * (MOST_CHANGED - F.abs(more)))
+
+
 def _signatures(shared, trees: int, depths: tuple[int, ...]):
-    """Rows (id, lote, tree, bits, figures, content, key): for each tree a key of the first words of its order. A key's upper bits
+    """Rows (id, lote, tree, figures, shape, key): for each tree a key of the first words of its order. A key's upper bits
     are the key of the words before, so that entries sorted by key stand as the leaves of a prefix tree.
 
     bits has one of 64 bits for each word but link words: headlines that differ in m words each differ in at most 2 m bits.
-    figures is a hash of all figures, which must agree; content counts the words but link words."""
+    figures is a hash of all figures, which must agree; content counts the words but link words, letters the characters of these
+    without figures, of which counts_a and counts_b tell the numbers of each."""
     salts = mix(np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     low, high = min(depths), max(depths)
     upper = np.uint64(((1 << 64) - 1) ^ ((1 << WORD_BITS * (high - low)) - 1))
@@ -155,9 +208,10 @@ def _signatures(shared, trees: int, depths: tuple[int, ...]):
         known, rare = shared.value, math.log(1 / RARE)
         memo: dict[str, tuple[int, float, int, int, int]] = {}
         for batch in batches:
-            owner, hashes, w, bits, figures, content = [], [], [], [], [], []
+            owner, hashes, w, bits, figures, content, spelled = [], [], [], [], [], [], []
             for i, words in enumerate(batch.column("words").to_pylist()):
                 b = f = c = 0
+                spelled.append("".join([x for x in words if x not in LINKS and not x.isdigit()]))
                 for x in words:
                     m = memo.get(x)
                     if m is None:
@@ -196,9 +250,10 @@ def _signatures(shared, trees: int, depths: tuple[int, ...]):
             at = np.tile(o[starts], trees)
             tree = np.repeat(np.arange(trees, dtype=np.int32), len(starts))
             ids, lotes = (batch.column(c).to_numpy(zero_copy_only=False)[at] for c in ("id", "lote"))
+            counts = letter_counts(spelled)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array(lotes), pa.array(tree), pa.array(np.array(bits, np.uint64)[at].view(np.int64)), pa.array(np.array(figures, np.uint64)[at].view(np.int64)), pa.array(np.array(content, np.int32)[at]), pa.array(np.concatenate(keys))],
-                names=["id", "lote", "tree", "bits", "figures", "content", "key"],
+                [pa.array(ids), pa.array(lotes), pa.array(tree), pa.array(np.array(figures, np.uint64)[at].view(np.int64)), pa.array(np.array(bits, np.uint64)[at].view(np.int64)), pa.array(np.array(content, np.int32)[at]), pa.array(np.array([len(t) for t in spelled], np.int32)[at]), *(pa.array(x[at]) for x in counts), pa.array(np.concatenate(keys))],
+                names=["id", "lote", "tree", "figures", *_SHAPE, "key"],
             )
 
     return run
@@ -206,7 +261,7 @@ def _signatures(shared, trees: int, depths: tuple[int, ...]):
 
 def signatures(heads: DataFrame, weights: dict[str, float], trees: int = TREES, depths: tuple[int, ...] = DEPTHS) -> DataFrame:
     shared = heads.sparkSession.sparkContext.broadcast(weights)
-    schema = "id long, lote int, tree int, bits long, figures long, content int, key long"
+    schema = f"id long, lote int, tree int, figures long, {', '.join(f'{c} {t}' for c, t in _SHAPE.items())}, key long"
     return heads.where(F.size("words") > 0).select("id", "lote", "words").mapInArrow(_signatures(shared, trees, depths), schema)
 
 
@@ -241,12 +296,11 @@ class HashForest:
 
     def search(self, batch: DataFrame, depth: int) -> DataFrame:
         """(id, other): entries of the forest that came before a batch entry, share a prefix of this depth with it and can
-        still be the same headline by their figures and words."""
+        still be the same headline by their figures, words and letters."""
         prefix = F.shiftright("key", _shift(depth, self.depths)).alias("prefix")
-        asked = signatures(batch, self.weights, self.trees, self.depths).select("tree", prefix, "id", "lote", "bits", "figures", "content")
-        held = self.rows().hint("merge").select("tree", prefix, "figures", F.col("id").alias("other"), F.col("lote").alias("earlier"), F.col("bits").alias("other_bits"), F.col("content").alias("other_content"))
-        near = (F.abs(F.col("content") - F.col("other_content")) <= 1) & (F.bit_count(F.col("bits").bitwiseXOR(F.col("other_bits"))) <= 2 * MOST_CHANGED)
-        return asked.join(held, ["tree", "prefix", "figures"]).where((F.col("earlier") < F.col("lote")) & near).select("id", "other").distinct()
+        asked = signatures(batch, self.weights, self.trees, self.depths).select("tree", prefix, "figures", "id", "lote", *_SHAPE)
+        held = self.rows().hint("merge").select("tree", prefix, "figures", F.col("id").alias("other"), F.col("lote").alias("earlier"), *(F.col(c).alias(f"other_{c}") for c in _SHAPE))
+        return asked.join(held, ["tree", "prefix", "figures"]).where((F.col("earlier") < F.col("lote")) & _may_match()).select("id", "other").distinct()
 
 
 def _same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

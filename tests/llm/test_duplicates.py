@@ -151,6 +151,35 @@ def test_forest_runs_merge(spark, tmp_path):
     assert len(f.runs) == 1 and f.search(heads, 2).count() == before == 9
 
 
+def _slip(word, rnd):
+    k = rnd.randrange(len(word) - 1)
+    return rnd.choice((word[:k] + word[k + 1 :], word[:k] + rnd.choice("aeioxñ7ж") + word[k:], word[:k] + rnd.choice("zq") + word[k + 1 :], word[:k] + word[k + 1] + word[k] + word[k + 2 :]))
+
+
+def test_headlines_of_the_same_phrases_are_dropped_before_verification(spark, tmp_path):
+    rnd = random.Random(7)
+    name = lambda: "".join(rnd.choice("bcdfglmnprst") + rnd.choice("aeiou") for _ in range(5))
+    titles = [f"la maratonista veterana empató el partido de vuelta según {name()} {name()} de {name()}" for _ in range(120)]
+    changed = []
+    for t in titles[:60]:
+        w = t.split()
+        for k in rnd.sample([k for k, x in enumerate(w) if len(x) > 5], rnd.randrange(1, 5)):
+            w[k] = _slip(w[k], rnd)
+        if len(changed) % 3 == 0:
+            w.insert(rnd.randrange(len(w)), "extraordinariamente")
+        changed.append(" ".join(w))
+    heads = newness.tokenized(spark.createDataFrame([(f"k{i}", i, t, None) for i, t in enumerate(titles + changed)], "key string, lote int, titulo string, url string"))
+    f = newness.HashForest(spark, str(tmp_path), {})
+    f.add(heads)
+    assert f.search(heads, 2).count() < 400  # of 16,110 pairs
+
+    shape = f.rows().where("tree = 0").join(heads.select("id", "words"), "id").select("id", "words", *newness._SHAPE)
+    other = shape.select(*(F.col(c).alias(f"other_{c}") for c in shape.columns))
+    pairs = shape.crossJoin(other).where("id < other_id").select("words", "other_words", newness._may_match().alias("kept")).collect()
+    same = [r for r in pairs if newness.same_headline(r.words, r.other_words)]
+    assert len(same) > 40 and all(r.kept for r in same)
+
+
 def test_trees_for():
     t = newness.trees_for(0.6, 2, 0.99)
     assert 1 - (1 - 0.36) ** t >= 0.99 > 1 - (1 - 0.36) ** (t - 1)
